@@ -65,3 +65,20 @@ def broadcast_checked(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df`` as it is,
     so that the planner takes a shuffled join."""
     return F.broadcast(df) if small_enough(df, max_rows) else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context, so that executors need not have it installed."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_wayline_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="wayline-package-")) / "wayline.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path("wayline") / p.relative_to(root))
+    sc.addPyFile(str(to))
+    sc._wayline_shipped = True
