@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.llm.linkage import fold, link
 from wayline.llm.lookalike import lookalike_pairs, with_skeleton
 from wayline.llm.spans import shared_runs, shared_shares
-from wayline.session import table
+from wayline.operators.spatial import position, region_of
+from wayline.session import broadcast_checked, table
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +22,72 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return with_skeleton(table(spark, d, "federal").select("id", "name").distinct(), "name", "form")
 
 
+def _folded(c):
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else fold(v) or None)
+
+    return run(c)
+
+
+def _federal(spark: SparkSession, d: str) -> DataFrame:
+    """Designated places as linkage wants them; rows of one id are the same."""
+    codes = table(spark, d, "provs").select(F.upper(F.trim("prov")).alias("code"), F.lower(F.trim("name")).alias("said"))
+    codes = codes.unionByName(codes.select("code", F.lower("code").alias("said"))).distinct()
+    marks = table(spark, d, "designations").select("designation", "des").distinct()
+    f = table(spark, d, "federal").dropDuplicates(["id"]).where("id is not null and name is not null")
+    f = f.withColumn("said", F.lower(F.trim("prov"))).join(broadcast_checked(codes, 10_000), "said", "left").join(broadcast_checked(marks, 10_000), "designation", "left")
+    text = "array<string>"
+    return f.select(
+        "id", F.concat(F.array("name"), F.coalesce("others", F.array().cast(text))).alias("names"),
+        F.when(F.col("code").isNotNull(), F.array("code")).otherwise(F.array().cast(text)).alias("regions"), F.array().cast(text).alias("near"),
+        F.filter(F.array(_folded(F.col("area"))), lambda x: x.isNotNull()).alias("places"),
+        F.expr("try_cast(nullif(regexp_extract(dated, '([0-9]{4})', 1), '') as int)").alias("year"),
+        F.filter(F.array("des"), lambda x: x.isNotNull()).alias("marks"),
+    )
+
+
+#: Degrees that an item's position may lie over a border, looked for in eight directions.
+OVER_BORDER = (0.1, 0.3)
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    """Heritage items, one row per item, with the provinces that hold its position and those close to it."""
+    num = r"(-?[0-9]+(?:[.][0-9]+)?)"
+    part = lambda i: F.regexp_extract("coord", rf"^Point[(]{num} {num}[)]$", i).try_cast("double")
+    w = table(spark, d, "wditems").where("item is not null")
+    at = w.select("item", position(part(1), part(2)).alias("p")).where("p is not null").distinct()
+    steps = [(0.0, 0.0)] + [(r * x, r * y) for r in OVER_BORDER for x in (-1, 0, 1) for y in (-1, 0, 1) if x or y]
+    moved = F.array(*[F.struct(F.lit(i).alias("step"), F.struct((F.col("p.lon") + x).alias("lon"), (F.col("p.lat") + y).alias("lat")).alias("pos")) for i, (x, y) in enumerate(steps)])
+    pts = at.select("item", F.explode(moved).alias("m")).select(F.struct("item", F.col("m.step").alias("step")).alias("id"), "m.pos")
+    held = region_of(pts, table(spark, d, "provs").select(F.upper(F.trim("prov")).alias("region"), "ring")).select("id.item", "id.step", "region")
+    held = held.groupBy("item").agg(F.collect_set(F.when(F.col("step") == 0, F.col("region"))).alias("regions"), F.collect_set(F.when(F.col("step") > 0, F.col("region"))).alias("near"))
+    one = w.groupBy("item").agg(
+        F.array_union(F.collect_set("name_en"), F.collect_set("name_fr")).alias("names"), F.max("place").alias("place"),
+        F.min(F.expr("try_cast(nullif(regexp_extract(since, '([0-9]{4})', 1), '') as int)")).alias("year"), F.collect_set("des").alias("marks"),
+    )
+    none = F.array().cast("array<string>")
+    return one.join(held, "item", "left").select(
+        F.col("item").alias("id"), "names", F.coalesce("regions", none).alias("regions"), F.coalesce("near", none).alias("near"),
+        F.filter(F.array(_folded(F.col("place"))), lambda x: x.isNotNull()).alias("places"), "year", "marks",
+    )
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    # the table of designations is a few words; its names are left out of the names of places
+    phrases = tuple(r.designation for r in table(spark, d, "designations").where("designation is not null").select("designation").distinct().limit(1000).collect())
+    return link(_federal(spark, d), _items(spark, d), phrases)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _linked(spark, d).select(F.col("a").alias("federal_id"), F.col("b").alias("item"))
+
+
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    """The matches with their confidence."""
+    return _linked(spark, d).select(F.col("a").alias("federal_id"), F.col("b").alias("item"), F.round("score", 4).alias("score"), "confidence")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_runs(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
@@ -28,5 +97,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.col("doc").alias("doc_id"), "chars", "shared", "share")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p6_found, p6_links, p9_found, p9_shares)}
 SQL: dict[str, str] = {}
