@@ -6,6 +6,9 @@ soon as a round removes little: what is left (the thin core: long chains and cyc
 is solved by pointer doubling, whose rounds grow with the logarithm of the depth.
 Peeled layers then get their paths in reverse peel order.  Descendants are the exploded
 paths, one row per pair, so no list of a large subtree is ever held in one row.
+
+The joins of the rounds ask for sort-merge: tables broadcast in one round would stay in the
+driver's memory for the rounds after it.
 """
 
 from __future__ import annotations
@@ -45,13 +48,13 @@ def hierarchy(nodes: DataFrame, peel_share: float = PEEL_SHARE, peel_rounds: int
     real = nodes.select("id", "parent", F.lit(True).alias("has_row"))
     ghosts = (
         nodes.where(F.col("parent").isNotNull()).select(F.col("parent").alias("id")).distinct()
-        .join(nodes.select("id"), "id", "left_anti")
+        .join((nodes.select("id")).hint("merge"), "id", "left_anti")
         .select("id", F.lit(None).cast("string").alias("parent"), F.lit(False).alias("has_row"))
     )
     every = real.unionByName(ghosts)
     kids = every.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids"))
     active = cut(
-        every.join(kids, "id", "left")
+        every.join(kids.hint("merge"), "id", "left")
         .select("id", "parent", "has_row", F.coalesce("kids", F.lit(0)).alias("kids"), (F.coalesce("kids", F.lit(0)) > 0).alias("inner"), F.lit(1).cast("long").alias("size"))
     )
     layers: list[DataFrame] = []
@@ -66,7 +69,7 @@ def hierarchy(nodes: DataFrame, peel_share: float = PEEL_SHARE, peel_rounds: int
         layers.append(leaves.drop("kids"))
         sent = leaves.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("gone"), F.sum("size").alias("sent"))
         active = cut(
-            rest.join(sent, "id", "left").select(
+            rest.join(sent.hint("merge"), "id", "left").select(
                 "id", "parent", "has_row", (F.col("kids") - F.coalesce("gone", F.lit(0))).alias("kids"), "inner",
                 (F.col("size") + F.coalesce("sent", F.lit(0))).alias("size"),
             )
@@ -78,7 +81,7 @@ def hierarchy(nodes: DataFrame, peel_share: float = PEEL_SHARE, peel_rounds: int
     parts = [placed]
     for layer in reversed(layers):
         above = _union([p.where("inner") for p in parts]).select(F.col("id").alias("parent"), F.col("top").alias("p_top"), F.col("path").alias("p_path"), F.col("status").alias("p_status"))
-        got = layer.join(above, "parent", "left").select(
+        got = layer.join(above.hint("merge"), "parent", "left").select(
             "id", "parent", "has_row", "inner",
             F.coalesce("p_top", "id").alias("top"),
             F.when(F.col("parent").isNull(), F.array("id")).when(F.col("p_path").isNotNull(), F.concat("p_path", F.array("id"))).alias("path"),
@@ -105,30 +108,30 @@ def _core(core: DataFrame, n: int) -> DataFrame:
     while open_n:
         to = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("up").alias("up2"))
         done, going = state.where("ptr is null"), state.where("ptr is not null")
-        state = cut(done.unionByName(going.join(to, "ptr").select("id", F.col("ptr2").alias("ptr"), F.concat("up", "up2").alias("up"))))
+        state = cut(done.unionByName(going.join(to.hint("merge"), "ptr").select("id", F.col("ptr2").alias("ptr"), F.concat("up", "up2").alias("up"))))
         now = state.where("ptr is not null").count()
         # depths have no holes: a round that completes no node leaves cycles and what leads into them
         if now == open_n:
             break
         open_n = now
     ended = state.where("ptr is null").select("id", F.concat(F.reverse("up"), F.array("id")).alias("path"))
-    weight = ended.join(core.select("id", "size"), "id").select(F.explode("path").alias("id"), "size").groupBy("id").agg(F.sum("size").alias("subtree_size"))
+    weight = ended.join((core.select("id", "size")).hint("merge"), "id").select(F.explode("path").alias("id"), "size").groupBy("id").agg(F.sum("size").alias("subtree_size"))
     trees = (
-        ended.join(core, "id").join(weight, "id")
+        ended.join(core.hint("merge"), "id").join(weight.hint("merge"), "id")
         .select("id", "parent", "has_row", "inner", F.col("path")[0].alias("top"), "path", "subtree_size", F.lit("tree").alias("status"))
     )
     if not open_n:
         return cut(trees)
-    walk = cut(core.join(state.where("ptr is not null").select("id"), "id").select("id", "parent", F.col("parent").alias("ptr"), F.col("id").alias("low"), "has_row", "inner", "size"))
+    walk = cut(core.join((state.where("ptr is not null").select("id")).hint("merge"), "id").select("id", "parent", F.col("parent").alias("ptr"), F.col("id").alias("low"), "has_row", "inner", "size"))
     for _ in range(max(1, math.ceil(math.log2(open_n + 1)))):
         to = walk.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
-        walk = cut(walk.join(to, "ptr").select("id", "parent", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low"), "has_row", "inner", "size"))
+        walk = cut(walk.join(to.hint("merge"), "ptr").select("id", "parent", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low"), "has_row", "inner", "size"))
     # 2^rounds steps end on the cycle, and every node of a cycle is the end of some walk
-    loop = walk.select(F.col("ptr").alias("id")).distinct().join(walk.select("id", F.col("low").alias("top")), "id")
-    rings = walk.join(loop.select(F.col("id").alias("ptr"), "top"), "ptr").join(loop.select("id", F.lit(True).alias("on")), "id", "left")
+    loop = walk.select(F.col("ptr").alias("id")).distinct().join((walk.select("id", F.col("low").alias("top"))).hint("merge"), "id")
+    rings = walk.join((loop.select(F.col("id").alias("ptr"), "top")).hint("merge"), "ptr").join((loop.select("id", F.lit(True).alias("on"))).hint("merge"), "id", "left")
     # what leads into a cycle still has a finite subtree: sizes go down the pointers once more
     sizes = _feeder_sizes(rings)
-    looped = rings.join(sizes, "id", "left").select(
+    looped = rings.join(sizes.hint("merge"), "id", "left").select(
         "id", "parent", "has_row", "inner", "top", F.lit(None).cast("array<string>").alias("path"),
         F.when(F.col("on").isNull(), F.col("fed")).alias("subtree_size"),
         F.when(F.col("on"), "loop").otherwise("into_loop").alias("status"),
@@ -141,13 +144,13 @@ def _feeder_sizes(rings: DataFrame) -> DataFrame:
     tail = rings.where("on is null").select("id", "parent", "size")
     keep = tail.select(F.col("id").alias("parent"), F.lit(True).alias("tail_parent"))
     state = cut(
-        tail.join(keep, "parent", "left")
+        tail.join(keep.hint("merge"), "parent", "left")
         .select("id", F.when(F.col("tail_parent"), F.col("parent")).alias("ptr"), F.when(F.col("tail_parent"), F.array("parent")).otherwise(F.array().cast("array<string>")).alias("up"), "size")
     )
     while state.where("ptr is not null").limit(1).count():
         to = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("up").alias("up2"))
         done, going = state.where("ptr is null"), state.where("ptr is not null")
-        state = cut(done.unionByName(going.join(to, "ptr").select("id", F.col("ptr2").alias("ptr"), F.concat("up", "up2").alias("up"), "size")))
+        state = cut(done.unionByName(going.join(to.hint("merge"), "ptr").select("id", F.col("ptr2").alias("ptr"), F.concat("up", "up2").alias("up"), "size")))
     return state.select(F.explode(F.concat("up", F.array("id"))).alias("id"), "size").groupBy("id").agg(F.sum("size").alias("fed"))
 
 

@@ -26,7 +26,7 @@ def sorted_intervals(df: DataFrame, key: str, start: str, end: str, parts: int |
     end before they start, are left out."""
     parts = parts or shuffle_width(df.sparkSession)
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).where("k is not null and s is not null and e is not null and e >= s")
-    return cut(rows.repartitionByRange(parts, "k", "s", "e").sortWithinPartitions("k", "s", "e").withColumn("pid", F.spark_partition_id()))
+    return cut(rows.repartitionByRange(parts, "k", "s", "e").sortWithinPartitions("k", "s", "e").withColumn("pid", F.spark_partition_id()), keep_layout=True)
 
 
 def _scan(k: np.ndarray, s: np.ndarray, e: np.ndarray, carry_k: str | None, carry_e: int, carry_s: int):

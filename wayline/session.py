@@ -42,10 +42,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
+def cut(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there.
+
+    A checkpoint remembers how its rows are laid out (partitioning, order, and every alias of those columns).
+    In loops of joins that memory doubles with each round until planning takes minutes, so it is dropped
+    unless ``keep_layout`` asks for it.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if keep_layout:
+        return kept
+    spark = df.sparkSession
+    inner = getattr(spark._jsparkSession, "internalCreateDataFrame", None)
+    try:
+        plain = inner(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    except Exception:  # noqa: BLE001  another Spark version: by way of the public call
+        plain = spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema())
+    return DataFrame(plain, spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
