@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from wayline.llm.linkage import fold, link
 from wayline.llm.lookalike import lookalike_pairs, with_skeleton
+from wayline.llm.mixing import mix, shares
+from wayline.llm.packing import fill_report, pack
 from wayline.llm.spans import shared_runs, shared_shares
 from wayline.operators.spatial import position, region_of
 from wayline.session import broadcast_checked, table
@@ -88,6 +90,24 @@ def p6_links(spark: SparkSession, d: str) -> DataFrame:
     return _linked(spark, d).select(F.col("a").alias("federal_id"), F.col("b").alias("item"), F.round("score", 4).alias("score"), "confidence")
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """What each container holds, for every capacity."""
+    return pack(table(spark, d, "documents"), table(spark, d, "containers"), "doc_id", "text", "lang").withColumnRenamed("id", "doc_id")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(p7_packed(spark, d))
+
+
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture's records in order."""
+    return mix(table(spark, d, "documents"), table(spark, d, "mixture"), "doc_id", "text", "source").withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(p8_mixed(spark, d), table(spark, d, "mixture"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_runs(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
 
@@ -97,5 +117,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return x.select(F.col("doc").alias("doc_id"), "chars", "shared", "share")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p6_found, p6_links, p9_found, p9_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p6_found, p6_links, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_shares)}
 SQL: dict[str, str] = {}
