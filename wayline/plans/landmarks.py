@@ -170,8 +170,8 @@ def translation_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anti_report(spark: SparkSession, d: str) -> DataFrame:
-    """Parts that no line item of a second half of the month orders."""
-    used = table(spark, d, "lineitem").where(F.dayofmonth("l_shipdate") > 15).select(F.col("l_partkey").alias("p_partkey"))
+    """Parts that no line item of the last days of a month orders."""
+    used = table(spark, d, "lineitem").where(F.dayofmonth("l_shipdate") > 29).select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, d, "part").join(used, "p_partkey", "left_anti").select("p_partkey", "p_brand")
 
 
@@ -267,7 +267,7 @@ l as (select name, lang, arg_max(name || ':' || doc_id, doc_id) as text from d g
 a as (select doc_id, name, unnest([{'lang': 'ja', 'pos': 0}, {'lang': lang, 'pos': 1}, {'lang': 'en', 'pos': 2}]) as q from d),
 h as (select a.doc_id, a.q.pos as pos, l.lang, l.text from a join l on l.name = a.name and l.lang = a.q.lang)
 select doc_id, arg_min(lang, pos) as lang, arg_min(text, pos) as text from h group by doc_id""",
-    "anti_report": "select p_partkey, p_brand from part where p_partkey not in (select l_partkey from lineitem where day(l_shipdate) > 15)",
+    "anti_report": "select p_partkey, p_brand from part where p_partkey not in (select l_partkey from lineitem where day(l_shipdate) > 29)",
     "fact_reducers": """select o_custkey as item, string_agg(distinct o_orderpriority, ' | ' order by o_orderpriority) as priority, min(strftime(o_orderdate, '%Y-%m-%d')) as date_earliest, max(o_totalprice) as price_largest, min(o_totalprice) as price_least from orders group by 1""",
     "fuzzy_merge": r"""with fa as (select id as a, lower(trim(area)) as cell, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-zà-ÿ]+'), lambda x: length(x) >= 3)) as wa from (select id, any_value(name) as name, any_value(area) as area from federal group by id) where name is not null and area is not null),
 wb as (select distinct item as b, lower(trim(place)) as cell, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(name_en), '[^a-zà-ÿ]+'), lambda x: length(x) >= 3))) as wb from wditems where name_en is not null and place is not null)

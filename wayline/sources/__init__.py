@@ -1 +1,13 @@
+"""Sources and sinks.  register(spark) makes the formats known to a session."""
 
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+
+def register(spark: SparkSession) -> None:
+    from wayline.sources.osm import OsmPbfSource
+    from wayline.sources.pmtiles import PmtilesSource
+
+    for s in (PmtilesSource, OsmPbfSource):
+        spark.dataSource.register(s)
