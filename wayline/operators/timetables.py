@@ -16,7 +16,7 @@ def seconds(c: Column) -> Column:
 def service_dates(calendar: DataFrame, exceptions: DataFrame) -> DataFrame:
     """(service_id, date): the days of calendar rows (flags monday to sunday, start_date, end_date as yyyymmdd) without the
     exceptions of type 2 and with those of type 1.  Rows with unreadable dates give no days."""
-    day = lambda c: F.try_to_date(F.trim(F.col(c)), F.lit("yyyyMMdd"))
+    day = lambda c: F.try_to_date(F.trim(F.col(c)), "yyyyMMdd")
     names = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
     x = calendar.select("service_id", F.array(*[F.trim(F.col(n)) == "1" for n in names]).alias("runs"), day("start_date").alias("a"), day("end_date").alias("b")).where("a is not null and b >= a")
     x = x.select("service_id", "runs", F.explode(F.sequence("a", "b")).alias("date")).where(F.get("runs", F.weekday("date"))).select("service_id", "date")
