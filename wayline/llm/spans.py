@@ -317,11 +317,13 @@ class Pieces:
         first = np.cumsum(self.n) - self.n
         shared = _several(h, self.who[of])[0] & (self.who[of] >= 0)
         w = np.flatnonzero(shared)
+        if not len(w):
+            return w, w, w
         p = of[w]
-        new = np.flatnonzero(np.append(True, (w[1:] != w[:-1] + 1) | (p[1:] != p[:-1]))[: len(w)])
+        new = np.flatnonzero(np.append(True, (w[1:] != w[:-1] + 1) | (p[1:] != p[:-1])))
         end = np.append(new[1:], len(w)) - 1
         at = w[new] - first[p[new]] + self.start[p[new]]
-        return self.who[p[new]], at, at + (w[end] - w[new])[: len(new)] + length
+        return self.who[p[new]], at, at + (w[end] - w[new]) + length
 
 
 def _window_hashes(pieces: np.ndarray, length: int) -> np.ndarray:
