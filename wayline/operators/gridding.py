@@ -20,45 +20,55 @@ CHUNK = 1440
 
 
 def clean_readings(df: DataFrame, key: Column, t: Column, fields: dict[str, tuple[float, float]]) -> DataFrame:
-    """(k, t, fields): rows with a key, a time and a valid value; a reading sent again counts once,
-    with each field taken from whichever copy has it (the greatest if copies disagree)."""
+    """(k, t, fields): rows with a key, a time and a valid value; values out of range, NaN and null are null."""
     rows = df.select(key.alias("k"), t.alias("t"), *[within(F.col(f).cast("double"), *lim).alias(f) for f, lim in fields.items()])
-    rows = rows.where(F.col("k").isNotNull() & F.col("t").isNotNull() & F.coalesce(*fields).isNotNull())
-    return rows.groupBy("k", "t").agg(*[F.max(f).alias(f) for f in fields])
+    return rows.where(F.col("k").isNotNull() & F.col("t").isNotNull() & F.coalesce(*fields).isNotNull())
 
 
-def kernel_sums(readings: DataFrame, fields: list[str], step: float, bandwidth: float) -> DataFrame:
-    """Per (k, slot): what the local line needs of each field, and what the slot's own readings are."""
-    slot = F.floor(F.col("t") / step)
-    reach = F.sequence(
-        F.least(slot, F.ceil((F.col("t") - bandwidth) / step - 0.5)), F.greatest(slot, F.floor((F.col("t") + bandwidth) / step - 0.5))
-    )
-    rows = readings.select("k", "t", *fields, slot.alias("own"), F.explode(reach).alias("slot"))
+def local_lines(readings: DataFrame, fields: list[str], step: float, bandwidth: float) -> DataFrame:
+    """Per (k, chunk, slot) near a reading: the slot's own readings (n, t_min, t_max, ``f_n``) and per field the local line's value and support.
+
+    One shuffle: readings go to their chunk of the series, and those near a chunk's edge to its neighbour too; merging
+    readings that were sent again (each field from whichever copy has it, the greatest if copies disagree) and summing keep that layout.
+    """
+    length = CHUNK * step
+    at = lambda d: F.floor((F.col("t") + d) / length)
+    rows = readings.withColumn("chunk", F.explode(F.array_distinct(F.array(at(0.0), at(-bandwidth), at(bandwidth))))).repartition("k", "chunk")
+    rows = rows.groupBy("k", "chunk", "t").agg(*[F.max(f).alias(f) for f in fields])
+    own = F.floor(F.col("t") / step)
+    reach = F.sequence(F.least(own, F.ceil((F.col("t") - bandwidth) / step - 0.5)), F.greatest(own, F.floor((F.col("t") + bandwidth) / step - 0.5)))
+    rows = rows.select("k", "chunk", "t", *fields, own.alias("own"), F.explode(reach).alias("slot")).where(F.floor(F.col("slot") / CHUNK) == F.col("chunk"))
     u = (F.col("t") - (F.col("slot") + 0.5) * step) / bandwidth
     rows = rows.withColumn("u", u).withColumn("w", F.when(F.abs("u") < 1, F.pow(1 - F.pow(F.abs("u"), 3), 3)).otherwise(0.0))
-    own = F.col("own") == F.col("slot")
-    aggs = [F.count(F.when(own, 1)).alias("n"), F.min(F.when(own, F.col("t"))).alias("t_min"), F.max(F.when(own, F.col("t"))).alias("t_max")]
+    here = F.col("own") == F.col("slot")
+    aggs = [F.count(F.when(here, 1)).alias("n"), F.min(F.when(here, F.col("t"))).alias("t_min"), F.max(F.when(here, F.col("t"))).alias("t_max")]
     for f in fields:
         w = F.when(F.col(f).isNotNull(), F.col("w"))
         u, y = F.col("u"), F.col(f)
-        aggs += [F.count(F.when(own, y)).alias(f"{f}_n")] + [
-            F.sum(x).alias(f"{f}_{name}")
-            for name, x in (("w", w), ("wu", w * u), ("wuu", w * u * u), ("wy", w * y), ("wuy", w * u * y), ("ww", w * w))
+        aggs += [F.count(F.when(here, y)).cast("int").alias(f"{f}_n")] + [
+            F.sum(x).alias(f"{f}_{name}") for name, x in (("w", w), ("wu", w * u), ("wuu", w * u * u), ("wy", w * y), ("wuy", w * u * y), ("ww", w * w))
         ]
-    return rows.groupBy("k", "slot").agg(*aggs)
+    sums = rows.groupBy("k", "chunk", "slot").agg(*aggs)
+    out: list[Column] = [F.col(c) for c in ("k", "chunk", "slot", "n", "t_min", "t_max")]
+    for f in fields:
+        s = {x: F.col(f"{f}_{x}") for x in ("w", "wu", "wuu", "wy", "wuy", "ww")}
+        det = s["w"] * s["wuu"] - s["wu"] * s["wu"]
+        support = F.when(s["ww"] > 0, s["w"] * s["w"] / s["ww"]).otherwise(0.0)
+        line = F.when((support >= 2) & (det > 1e-6 * s["w"] * s["w"]), (s["wuu"] * s["wy"] - s["wu"] * s["wuy"]) / det).when(s["w"] > 0, s["wy"] / s["w"])
+        out += [F.col(f"{f}_n"), line.alias(f), support.alias(f"{f}_support")]
+    return sums.select(*out)
 
 
-def previous_cell(cells: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def previous_cell(cells: DataFrame) -> DataFrame:
     """Adds p_slot and p_t: slot and last time of the series' cell before this one.
 
     Only a chunk's cells are ever sorted together; the last cell of each chunk is passed on to the next."""
-    c = cells.withColumn("chunk", F.floor(F.col("slot") / chunk))
-    last = c.groupBy("k", "chunk").agg(F.max(F.struct("slot", "t_max")).alias("last"))
+    last = cells.groupBy("k", "chunk").agg(F.max(F.struct("slot", "t_max")).alias("last"))
     before = last.withColumn("carry", F.lag("last").over(Window.partitionBy("k").orderBy("chunk"))).drop("last")
     w = Window.partitionBy("k", "chunk").orderBy("slot")
-    c = c.withColumn("prev", F.lag(F.struct("slot", "t_max")).over(w)).join(before, ["k", "chunk"], "left")
+    c = cells.withColumn("prev", F.lag(F.struct("slot", "t_max")).over(w)).join(before, ["k", "chunk"], "left")
     prev = F.coalesce("prev", "carry")
-    return c.withColumn("p_slot", prev["slot"]).withColumn("p_t", prev["t_max"]).drop("prev", "carry", "chunk")
+    return c.withColumn("p_slot", prev["slot"]).withColumn("p_t", prev["t_max"]).drop("prev", "carry")
 
 
 def regular_grid(readings: DataFrame, fields: list[str], step: float = 60, max_gap: float = 1800, bandwidth: float = 150, min_support: float = 1.5) -> DataFrame:
@@ -69,24 +79,21 @@ def regular_grid(readings: DataFrame, fields: list[str], step: float = 60, max_g
     in the slot, ``f`` the local line's value at the slot's middle (the local mean where the readings near
     it do not fix a line), ``f_support`` the effective number of readings behind it and ``f_mark``:
     'measured' (the slot has a reading), 'filled' (support of at least ``min_support``) or 'missing' (value null).
+    Repeated rows count once; an empty input gives an empty grid.
     """
-    sums = cut(kernel_sums(readings, fields, step, bandwidth))
-    cells = sums.where("n > 0")
-    near = previous_cell(cells.select("k", "slot", "t_min", "t_max"))
+    lines = cut(local_lines(readings, fields, step, bandwidth), keep_layout=True)
+    cells = lines.where("n > 0")
+    near = previous_cell(cells.select("k", "chunk", "slot", "t_min", "t_max"))
     holes = (
         near.where(F.col("t_min") - F.col("p_t") <= max_gap).where("slot - p_slot > 1")
         .select("k", F.explode(F.sequence(F.col("p_slot") + 1, F.col("slot") - 1)).alias("slot"))
     )
-    grid = cells.unionByName(holes.join(sums, ["k", "slot"], "left").select(*sums.columns))
+    grid = cells.drop("chunk").unionByName(holes.join(lines.where("n = 0").drop("chunk"), ["k", "slot"], "left").select(*[c for c in lines.columns if c != "chunk"]))
     out: list[Column] = [F.col("k"), F.col("slot"), ((F.col("slot") + 0.5) * step).alias("t")]
     for f in fields:
-        s = {x: F.col(f"{f}_{x}") for x in ("w", "wu", "wuu", "wy", "wuy", "ww")}
-        n = F.coalesce(f"{f}_n", F.lit(0))
-        det = s["w"] * s["wuu"] - s["wu"] * s["wu"]
-        support = F.when(s["ww"] > 0, s["w"] * s["w"] / s["ww"]).otherwise(0.0)
-        line = F.when((support >= 2) & (det > 1e-6 * s["w"] * s["w"]), (s["wuu"] * s["wy"] - s["wu"] * s["wuy"]) / det).when(s["w"] > 0, s["wy"] / s["w"])
+        n, support = F.coalesce(f"{f}_n", F.lit(0)), F.coalesce(f"{f}_support", F.lit(0.0))
         mark = F.when(n > 0, "measured").when(support >= min_support, "filled").otherwise("missing")
-        out += [n.cast("int").alias(f"{f}_n"), F.when(mark != "missing", line).alias(f), F.round(support, 4).alias(f"{f}_support"), mark.alias(f"{f}_mark")]
+        out += [n.alias(f"{f}_n"), F.when(mark != "missing", F.col(f)).alias(f), F.round(support, 4).alias(f"{f}_support"), mark.alias(f"{f}_mark")]
     return grid.select(*out)
 
 
