@@ -155,6 +155,8 @@ def pack(docs: DataFrame, containers: DataFrame, id_col: str, text: str, lang: s
     part of a text larger than the container, filling it), 'seed', 'near' (placed by retrieval) or 'fit' (placed by size after that).
     """
     kinds = [(r.container, int(r.capacity)) for r in containers.where("capacity > 0").select("container", "capacity").distinct().orderBy("capacity", "container").limit(1000).collect()]
+    if not kinds:
+        return docs.sparkSession.createDataFrame([], OUT).drop("shard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.abs(F.xxhash64(id_col) % (1 << 40)).alias("h"), language(F.col(lang)).alias("lang"), F.coalesce(text, F.lit("")).alias("text")).where("id is not null")
     # at most 26^2 + 26^3 + 1 languages, by the form of their codes
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
