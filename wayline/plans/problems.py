@@ -114,8 +114,8 @@ g as (select distinct sight_id, ((lnglat[1] + 180) - 360 * floor((lnglat[1] + 18
   where len(lnglat) >= 2 and lnglat[1] is not null and abs(lnglat[2]) <= 90 and not (lnglat[1] = 0 and lnglat[2] = 0))
 """
 _SAMPLE = f"""r as (select {_MAC} as mac, case when t > 1e11 then t / 1000 else t end as t,
-  case when load between 0 and 1000 then load end as load, case when memfree between 0 and 100 then memfree end as memfree,
-  case when swap between 0 and 1000000 then swap end as swap from samples where isfinite(t)),
+  case when not isnan(load) and load between 0 and 1000 then load end as load, case when not isnan(memfree) and memfree between 0 and 100 then memfree end as memfree,
+  case when not isnan(swap) and swap between 0 and 1000000 then swap end as swap from samples where isfinite(t)),
 ok as (select *, cast(floor(t / 60) as bigint) as slot from r where mac is not null and coalesce(load, memfree, swap) is not null),
 lagged as (select *, lag(t) over (partition by mac order by t) as p from ok),
 st as (select *, sum(case when p is null or t - p > 1800 then 1 else 0 end) over (partition by mac order by t rows unbounded preceding) as g from lagged),
