@@ -310,3 +310,15 @@ def test_burn_and_pandas_steps(spark):
     assert got[(1, 1)] == 1 and got[(2, 2)] == 3 and got[(0, 2)] == 2
     sk = spark.createDataFrame([([0.0, 0.5, 1.0], 8.0), ([0.25], 1.0)], "q array<double>, w double")
     assert abs(P.merge_quantile_sketches(sk, [], "q", "w", 8).agg(F.sum("weight")).first()[0] - 8) < 1e-9
+
+
+def test_merged_stops_and_thinning(spark):
+    from wayline.operators import corridors as C
+
+    rows = [(1, "Main ", 0.0, 0.0), (2, "main", 700.0, 0.0), (3, "Main", 1500.0, 0.0), (4, "Other", 0.0, 0.0), (5, None, 0.0, 0.0), (6, "", 50.0, 0.0), (7, None, 500.0, 0.0), (8, "x", None, 0.0)]
+    df = spark.createDataFrame(rows, "id int, name string, x double, y double")
+    assert {r.id: r.stop for r in C.merge_stops(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7}
+    p = spark.createDataFrame([(1, 1, [1, 2]), (1, 2, [2]), (1, 3, [2, 3]), (2, 1, [2]), (2, 2, None)], "tile int, ord int, cells array<int>")
+    assert sorted((r.tile, r.ord) for r in C.thin_pieces(p, "tile", "ord", "cells").collect()) == [(1, 1), (1, 3), (2, 1)]
+    none = spark.createDataFrame([], "id int, x double, y double, heading double, hidden boolean")
+    assert C.frontage(none, spark.createDataFrame([(0.0, 0.0, 9.0, 9.0)], "x0 double, y0 double, x1 double, y1 double")).count() == 0

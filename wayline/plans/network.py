@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.operators import corridors as C
 from wayline.operators import network as N
 from wayline.session import table
 
@@ -66,7 +67,46 @@ def station_spacing(spark: SparkSession, d: str) -> DataFrame:
     return N.station_spacing(li, "route", "seq", "stop", "km", 40.0).select("stop", F.round("spacing", 6).alias("spacing"))
 
 
-QUERIES = {f.__name__: f for f in (way_pairs, chained_roads, relaxed_heights, track_routes, shared_borders, tile_reach, station_spacing)}
+def frontages(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as samples, suppliers and parts as buildings."""
+    k, p = F.col("c_custkey"), F.col("p_partkey")
+    s = table(spark, d, "customer").select(k.alias("id"), (k * 7919 % 4000).cast("double").alias("x"), (k * 104729 % 4000).cast("double").alias("y"), (k % 6).cast("double").alias("heading"), (k % 11 == 0).alias("hidden"))
+    x, y = (p * 6007 % 4000).cast("double"), (p * 3001 % 4000).cast("double")
+    b = table(spark, d, "part").select(x.alias("x0"), y.alias("y0"), (x + F.col("p_size")).alias("x1"), (y + 8.0).alias("y1"))
+    return C.frontage(s, b).select("id", F.round("share", 6).alias("share"))
+
+
+def parallel_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """J16."""
+    k = F.col("p_partkey")
+    pts = table(spark, d, "part").select((k % 97).alias("track"), (k * 6007 % 3000).cast("double").alias("x"), (k * 3001 % 3000).cast("double").alias("y"), (k % 6).cast("double").alias("heading"), (F.col("p_size") % 3).alias("service"))
+    return C.parallel_tracks(pts)
+
+
+def merged_stops(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of a segment and nation as stops of one name."""
+    k = F.col("c_custkey")
+    s = table(spark, d, "customer").select(k.alias("id"), F.when(k % 7 > 0, F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"))).alias("name"), (k * 7919 % 5000).alias("x"), (k * 104729 % 5000).alias("y"))
+    return C.merge_stops(s)
+
+
+def thinned_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as pieces of a tile, their items' sizes as cells."""
+    x = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_partkey") % 200).cast("int")).alias("cells"))
+    x = x.select((F.col("l_orderkey") % 50).alias("tile"), F.col("l_orderkey").alias("ord"), "cells")
+    return C.thin_pieces(x, "tile", "ord", "cells").select("tile", "ord")
+
+
+def site_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as sites, orders as relations, line items as ways."""
+    sites = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("site"), F.abs("c_acctbal").alias("area"))
+    parts = table(spark, d, "customer").where("c_custkey % 5 = 1").select(F.col("c_custkey").alias("part"), (F.col("c_custkey") - 1).alias("site"))
+    rel = table(spark, d, "orders").select(F.col("o_orderkey").alias("relation"), F.col("o_custkey").alias("ref"), (F.col("o_totalprice") / 20).alias("area"))
+    mem = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("relation"), F.col("l_partkey").alias("way"))
+    return C.site_outlines(sites, parts, rel, mem)
+
+
+QUERIES = {f.__name__: f for f in (way_pairs, chained_roads, relaxed_heights, track_routes, shared_borders, tile_reach, station_spacing, frontages, parallel_tracks, merged_stops, thinned_pieces, site_outlines)}
 
 _WAYS = """w as (select o_orderkey as id, o_orderkey % 3 as class, o_orderkey % 17 = 0 as oneway, case when o_orderkey % 4 > 0 then 'R' || (o_orderkey // 40) else '' end as name,
 case when o_orderkey % 5 = 0 then 'A' || (o_orderkey // 100) end as ref, o_orderkey % 6000 as n0, (o_orderkey + 1) % 6000 as n1, cast(o_orderkey as double) * 0.61 % 6.28 as h0, (cast(o_orderkey as double) * 0.61 + 3.0 + (o_orderkey % 7) * 0.1) % 6.28 as h1 from orders),
@@ -88,4 +128,14 @@ min(case when fwd then prov end) as left, min(case when not fwd then prov end) a
     "station_spacing": """with s as (select l_orderkey as route, l_partkey % 50 as stop, lag(l_partkey % 50) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as p from lineitem),
 k as (select * from s where p is null or p <> stop), r as (select route, 60.0 / (count(*) - 1) as spacing from k group by route having count(distinct stop) >= 2)
 select stop, round(cast(max(spacing) as double), 6) as spacing from (select distinct route, stop from k) join r using (route) where spacing <= 40 group by stop""",
+    "frontages": """with s as (select c_custkey as id, cast(c_custkey * 7919 % 4000 as double) as x, cast(c_custkey * 104729 % 4000 as double) as y, cast(c_custkey % 6 as double) as h from customer where c_custkey % 11 <> 0),
+b as (select distinct cast(p_partkey * 6007 % 4000 as double) as x0, cast(p_partkey * 3001 % 4000 as double) as y0, p_partkey * 6007 % 4000 + p_size as x1, p_partkey * 3001 % 4000 + 8.0 as y1 from part where p_size * 8.0 >= 15),
+p as (select id, h, k, x + cos(h) * k * 5 as px, y + sin(h) * k * 5 as py from s, unnest(generate_series(-10, 10)) t(k)),
+j as (select id, k, cos(h) * ((y0 + y1) / 2 - py) - sin(h) * ((x0 + x1) / 2 - px) > 0 as side, max(least(1, greatest(0, (80 - sqrt(pow(greatest(x0 - px, px - x1, 0), 2) + pow(greatest(y0 - py, py - y1, 0), 2))) / 50))) as w
+  from p join b on x0 <= px + 80 and x1 >= px - 80 and y0 <= py + 80 and y1 >= py - 80 group by 1, 2, 3),
+g as (select id, sum(w) / 42 as share from j group by id) select c_custkey as id, round(coalesce(share, 0), 6) as share from customer left join g on g.id = c_custkey""",
+    "parallel_tracks": """with p as (select p_partkey % 97 as track, cast(p_partkey * 6007 % 3000 as double) as x, cast(p_partkey * 3001 % 3000 as double) as y, cast(p_partkey % 6 as double) as h, p_size % 3 as s from part)
+select distinct a.track, b.track as other from p a join p b on a.s = b.s and a.track <> b.track and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 40 and least(abs(a.h - b.h) % pi(), pi() - abs(a.h - b.h) % pi()) <= radians(20)""",
+    "site_outlines": """with s as (select c_custkey as site, abs(c_acctbal) as area from customer where c_custkey % 5 = 0), r as (select site, site as ref from s union all select c_custkey - 1, c_custkey from customer where c_custkey % 5 = 1)
+select distinct s.site, l_partkey as way from s join r on r.site = s.site join orders on o_custkey = r.ref join lineitem on l_orderkey = o_orderkey where s.area <= 0 or o_totalprice / 20 <= 3 * s.area""",
 }
