@@ -179,7 +179,9 @@ def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def count_min(docs: DataFrame, length: int, gram: int, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Per row of the merged sketch: bits of the cells counted at least twice, and the cells counted HOT times."""
     parts = docs.mapInArrow(_sketch_part(length, gram, bits), "block long, counts binary")
-    merged = parts.repartition(shuffle_width(docs.sparkSession), "block").mapInArrow(_merge_blocks, "block long, twice binary, hot binary").collect()
+    # so many partitions that a task merges some 64 blocks, 32 MB of counts
+    width = max(shuffle_width(docs.sparkSession), (ROWS << max(0, bits - BLOCK_BITS)) // 64)
+    merged = parts.repartition(width, "block").mapInArrow(_merge_blocks, "block long, twice binary, hot binary").collect()
     twice = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(ROWS)]
     hot: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(ROWS)]
     step = (1 << BLOCK_BITS) // 8
