@@ -128,6 +128,14 @@ SQL = {
 recorded as (select id, arg_max(root, seq) as root from spans where id <> '' and root is not null group by id)
 select e.id, coalesce(l.top, e.id) as top_id from edge e left join last l on l.id = e.id left join recorded r on r.id = e.id
 where coalesce(l.loops, 0) > 0 or r.root <> coalesce(l.top, e.id)""",
+    "p1_tree": _WALK + """down(id, top, path, depth) as (select id, id, id, 0 from edge where parent is null
+  union all select id, parent, parent || '/' || id, 1 from edge where parent is not null and parent not in (select id from edge)
+  union all select e.id, d.top, d.path || '/' || e.id, d.depth + 1 from down d join edge e on e.parent = d.id),
+below as (select cur, count(*) as n from up group by cur),
+low as (select up.id, min(up.cur) as top from up join ring r on r.id = up.cur group by up.id)
+select e.id, coalesce(d.top, low.top) as top_id, cast(d.depth as int) as depth, coalesce(d.path, '') as path, case when r.id is null then 1 + coalesce(b.n, 0) end as subtree_size,
+  case when d.id is not null then 'tree' when r.id is not null then 'loop' else 'into_loop' end as status
+from edge e left join down d on d.id = e.id left join ring r on r.id = e.id left join low on low.id = e.id left join below b on b.cur = e.id""",
     "p1_descendants": f"""with recursive {_SPANS},
 up(id, cur, n) as (select id, parent, 1 from edge where parent is not null
   union all select up.id, e.parent, n + 1 from up join edge e on e.id = up.cur where e.parent is not null and n < 400)

@@ -333,4 +333,12 @@ select g.event_type, median(gap) / 6e7 as headway_min, (select count(distinct ca
     "low_season": """with m as (select o_orderpriority, month(o_orderdate) as month, count(*) as n from orders group by 1, 2), t as (select o_orderpriority, median(n) as mid, count(*) as months from m group by 1)
 select m.o_orderpriority, m.month, m.n from m join t using (o_orderpriority) where months >= 6 and m.n < 0.8 * mid""",
 }
+_CH = ", ".join(f"cast((k * {7 + 2 * i} + {13 * i}) % 256 as double) as c{i}" for i in range(13))
+SQL["drive_score"] = f"""with x as (select l_suppkey, l_quantity, l_tax, l_orderkey * 31 + l_linenumber * 17 as k from lineitem), c as (select *, {_CH}, cast((k * 21 + 91) % 256 as int) as fl, cast(k % 60 - 10 as double) as tr, cast(k % 8 as int) as sf from x),
+d as (select *, least(c2 / 200, 1) as rel, least(c4 / 100, 1) as cur from c),
+s as (select l_suppkey, (c0 / 255 + 0.8 * c1 / 255 + 0.6 * c8 / 255 + 0.5 * rel + 0.3 * least(greatest((c3 - 128) / 30, 0), 1) + 0.4 * cur + 0.2 * (1 - c5 / 255) + 0.3 * c10 / 255 - 0.5 * c6 / 255 - 0.3 * c12 / 255
+    + (case when fl & 1 > 0 then 1 else 0 end) + 0.5 * (case when fl & 4 > 0 then 1 else 0 end)) / 5.6 as drive,
+  (c0 / 255 + 0.8 * c1 / 255 + 0.6 * c8 / 255 + 0.5 * rel + 0.3 * least(abs(c3 - 128) / 30, 1) + 0.4 * least(greatest((l_quantity * 10 - 3) / 1500, 0), 1) + 0.2 * (case when sf & 2 > 0 then 0.5 else 0 end)
+    - 0.3 * (case when sf & 1 > 0 then 1 else 0 end) + 0.5 * least(l_tax * 100 / 4, 1) + 0.3 * cur + 0.7 * (case when tr > 0 then least(log10(greatest(tr, 1)) / 2, 1) else 0 end)) / (4.6 + case when tr > 0 then 0.7 else 0 end) as ride from d)
+select l_suppkey, round(avg(least(greatest(drive, 0), 1)), 6) as drive, round(avg(least(greatest(ride, 0), 1)), 6) as ride from s group by l_suppkey"""
 SQL["stage_durations"] = SQL["stage_durations"].replace("{EVENT_CHAIN}", SQL["event_chain"])
