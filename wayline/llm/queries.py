@@ -118,4 +118,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_forms, p6_found, p6_links, p7_packed, p7_fill, p8_mixed, p8_shares, p9_found, p9_shares)}
-SQL: dict[str, str] = {}
+_SHARED = """with t as (select doc_id, text, length(text) as n from documents where length(text) >= 100),
+w as (select doc_id, unnest(generate_series(0, n - 100)) as a, text from t), h as (select doc_id, a, md5(substring(text, a + 1, 100)) as h from w),
+g as (select h from h group by h having min(doc_id) <> max(doc_id)), s as (select doc_id, a from h where h in (select h from g)),
+b as (select *, lag(a) over (partition by doc_id order by a) as p from s), i as (select doc_id, a, sum(case when p is null or a > p + 100 then 1 else 0 end) over (partition by doc_id order by a rows unbounded preceding) as g from b),
+f as (select doc_id, min(a) as start_pos, max(a) + 100 as end_pos from i group by doc_id, g)"""
+SQL: dict[str, str] = {
+    "p9_found": f"{_SHARED} select doc_id, start_pos, end_pos from f",
+    "p9_shares": f"""{_SHARED}, k as (select doc_id, sum(end_pos - start_pos) as shared from f group by doc_id)
+select d.doc_id, coalesce(length(text), 0) as chars, coalesce(shared, 0) as shared, case when coalesce(length(text), 0) > 0 then round(coalesce(shared, 0) / length(text), 6) else 0 end as share from documents d left join k on k.doc_id = d.doc_id""",
+}
