@@ -322,3 +322,24 @@ def test_merged_stops_and_thinning(spark):
     assert sorted((r.tile, r.ord) for r in C.thin_pieces(p, "tile", "ord", "cells").collect()) == [(1, 1), (1, 3), (2, 1)]
     none = spark.createDataFrame([], "id int, x double, y double, heading double, hidden boolean")
     assert C.frontage(none, spark.createDataFrame([(0.0, 0.0, 9.0, 9.0)], "x0 double, y0 double, x1 double, y1 double")).count() == 0
+
+
+def test_kana(spark):
+    from wayline.functions.kana import romanize, romanized
+
+    want = {"とうきょう": "Tokyo", "おおさか": "Osaka", "しんおおさか": "Shin'osaka", "ロッテ": "Rotte", "まっちゃ": "Matcha", "えいが": "Eiga", "フジ・サン": "Fuji San", "abc": None, "": None, "コーヒー": "Kohi"}
+    for k, v in want.items():
+        assert romanize(k) == v, k
+    assert [r[0] for r in spark.createDataFrame([("とうきょう",), (None,)], "s string").select(romanized(F.col("s"))).collect()] == ["Tokyo", None]
+
+
+def test_depths(spark):
+    from wayline.operators import depths as D
+
+    cells = spark.createDataFrame([(1, x, 0, w) for x, w in enumerate(["sea", "sea", "sea", "lake", None])], "tile int, x int, y int, water string")
+    s = [(1, 0, 0, "fine", -5.0, 12, True, False, ["sea"]), (1, 0, 0, "coarse", -7.0, 8, True, False, ["sea"]), (1, 1, 0, "guess", -3.0, 14, False, False, ["sea"]), (1, 2, 0, "tide", 40.0, 9, True, True, ["sea"]), (1, 3, 0, "sea only", -1.0, 9, True, True, ["sea"]), (1, 4, 0, "x", -1.0, 9, True, True, ["sea", "lake"])]
+    df = spark.createDataFrame(s, "tile int, x int, y int, source string, value double, zoom int, survey boolean, tidal boolean, waters array<string>")
+    assert {r.x: (r.depth, r.source) for r in D.pick_depths(cells, df).collect()} == {0: (-5.0, "fine"), 1: (-3.0, "guess"), 2: (15.0, "tide")}
+    t = spark.createDataFrame([(1, x, 0, x > 0, -4.0 if x == 3 else None) for x in range(4)], "tile int, x int, y int, water boolean, depth double")
+    got = {r.x: r.depth for r in D.fill_depths(t, 4, 2.0).collect()}
+    assert got[3] == -4.0 and got[2] is not None and got[0] is None

@@ -52,11 +52,10 @@ def score_at_ranks(df: DataFrame, score: str, ranks: list[int]) -> DataFrame:
     buckets = n.groupBy("bucket").agg(F.sum("n").alias("bn")).withColumn("before", F.coalesce(F.sum("bn").over(w), F.lit(0)))
     inner = Window.partitionBy("bucket").orderBy(F.desc("score"))
     x = n.join(F.broadcast(buckets.select("bucket", "before")), "bucket").withColumn("to", F.col("before") + F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    spark = df.sparkSession
-    asked = spark.createDataFrame([(r,) for r in ranks], "rank int")
-    total = n.agg(F.sum("n").alias("total"))
-    asked = asked.crossJoin(F.broadcast(total)).withColumn("at", F.least(F.greatest(F.col("rank"), F.lit(1)).cast("long"), F.col("total")))
-    return x.join(F.broadcast(asked), (F.col("at") <= F.col("to")) & (F.col("at") > F.col("to") - F.col("n"))).select("rank", "score")
+    total = df.agg(F.count(score).alias("n")).first().n
+    asks = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(min(max(r, 1), total)).cast("long").alias("at")) for r in ranks])
+    hit = F.filter(asks, lambda a: (a["at"] <= F.col("to")) & (a["at"] > F.col("to") - F.col("n")))
+    return x.select(F.explode(hit).alias("a"), "score").select("a.rank", "score")
 
 
 def top_per_kind(df: DataFrame, kind: str, order: list[Column], k: int) -> DataFrame:

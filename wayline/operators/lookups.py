@@ -66,9 +66,11 @@ def first_by_rank(left: DataFrame, pieces: DataFrame, on: str, order: list[Colum
     return left.join(best, on, "left").select(*left.columns, "b.*")
 
 
-def overlay_picks(boxes: DataFrame, datasets: DataFrame) -> DataFrame:
-    """(id, name): for each box the datasets (name, rank, w, s, e, n) that meet it in order of rank, up to the first that contains it."""
-    j = boxes.join(datasets, (F.col("w") <= F.col("east")) & (F.col("e") >= F.col("west")) & (F.col("s") <= F.col("north")) & (F.col("n") >= F.col("south")))
+def overlay_picks(boxes: DataFrame, datasets: DataFrame, cell: float = 20.0) -> DataFrame:
+    """(id, name, rank): for each box (id, west, south, east, north) the datasets (name, rank, w, s, e, n) that meet it in order of rank, up to
+    the first that contains it; joined by the cells that both cover."""
+    d = datasets.select(F.col("name").alias("id"), F.col("w").alias("west"), F.col("s").alias("south"), F.col("e").alias("east"), F.col("n").alias("north"))
+    j = boxes_meet(boxes, d, cell).select(F.col("a_id").alias("id"), F.col("b_id").alias("name")).join(boxes, "id").join(datasets, "name")
     holds = (F.col("w") <= F.col("west")) & (F.col("e") >= F.col("east")) & (F.col("s") <= F.col("south")) & (F.col("n") >= F.col("north"))
     first = F.min(F.when(holds, F.col("rank"))).over(Window.partitionBy("id"))
     return j.withColumn("__f", first).where(F.col("__f").isNull() | (F.col("rank") <= F.col("__f"))).select("id", "name", "rank")

@@ -60,7 +60,7 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, by: list[str], sh
     Values are added up first; running weights go over buckets of value and then within a bucket, so a group may be of any size."""
     n = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*by, F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
     span = n.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("total"))
-    x = n.join(span, by) if by else n.crossJoin(F.broadcast(span))
+    x = n.join(span, by) if by else n.withColumn("__one", F.lit(1)).join(span.withColumn("__one", F.lit(1)), "__one").drop("__one")
     x = x.withColumn("b", F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 256)).otherwise(0))
     sums = x.groupBy(*by, "b").agg(F.sum("w").alias("bw"))
     sums = sums.withColumn("before", F.coalesce(F.sum("bw").over(Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("bw")
