@@ -139,24 +139,34 @@ def _core(core: DataFrame, n: int) -> DataFrame:
     return cut(trees.unionByName(looped))
 
 
-def _feeder_sizes(rings: DataFrame) -> DataFrame:
-    """Subtree sizes of the nodes that lead into a cycle, by doubling along their chains."""
-    tail = rings.where("on is null").select("id", "parent", "size")
+def _feeder_chains(tail: DataFrame, *more: str) -> DataFrame:
+    """(id, up, more): for nodes that lead into a cycle (id, parent, more) their chain of parents up to the cycle, the nearest first, by doubling."""
     keep = tail.select(F.col("id").alias("parent"), F.lit(True).alias("tail_parent"))
     state = cut(
         tail.join(keep.hint("merge"), "parent", "left")
-        .select("id", F.when(F.col("tail_parent"), F.col("parent")).alias("ptr"), F.when(F.col("tail_parent"), F.array("parent")).otherwise(F.array().cast("array<string>")).alias("up"), "size")
+        .select("id", F.when(F.col("tail_parent"), F.col("parent")).alias("ptr"), F.when(F.col("tail_parent"), F.array("parent")).otherwise(F.array().cast("array<string>")).alias("up"), *more)
     )
     while state.where("ptr is not null").limit(1).count():
         to = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("up").alias("up2"))
         done, going = state.where("ptr is null"), state.where("ptr is not null")
-        state = cut(done.unionByName(going.join(to.hint("merge"), "ptr").select("id", F.col("ptr2").alias("ptr"), F.concat("up", "up2").alias("up"), "size")))
-    return state.select(F.explode(F.concat("up", F.array("id"))).alias("id"), "size").groupBy("id").agg(F.sum("size").alias("fed"))
+        state = cut(done.unionByName(going.join(to.hint("merge"), "ptr").select("id", F.col("ptr2").alias("ptr"), F.concat("up", "up2").alias("up"), *more)))
+    return state.select("id", "up", *more)
 
 
-def descendants(placed: DataFrame) -> DataFrame:
-    """(ancestor, id, distance): every node below every node, for nodes with a finite path."""
-    return placed.where("path is not null").select("id", "depth", F.posexplode("path").alias("at", "ancestor")).where("ancestor <> id").select("ancestor", "id", (F.col("depth") - F.col("at")).alias("distance"))
+def _feeder_sizes(rings: DataFrame) -> DataFrame:
+    """Subtree sizes of the nodes that lead into a cycle."""
+    chains = _feeder_chains(rings.where("on is null").select("id", "parent", "size"), "size")
+    return chains.select(F.explode(F.concat("up", F.array("id"))).alias("id"), "size").groupBy("id").agg(F.sum("size").alias("fed"))
+
+
+def descendants(placed: DataFrame, below_loops: bool = False) -> DataFrame:
+    """(ancestor, id, distance): every node below every node, for nodes with a finite path; with ``below_loops`` also
+    among the nodes that lead into a cycle.  The nodes on a cycle have no subtree and are in no pair."""
+    pairs = placed.where("path is not null").select("id", "depth", F.posexplode("path").alias("at", "ancestor")).where("ancestor <> id").select("ancestor", "id", (F.col("depth") - F.col("at")).alias("distance"))
+    if not below_loops:
+        return pairs
+    chains = _feeder_chains(placed.where("status = 'into_loop'").select("id", "parent"))
+    return pairs.unionByName(chains.select("id", F.posexplode("up").alias("at", "ancestor")).select("ancestor", "id", (F.col("at") + 1).alias("distance")))
 
 
 def latest(df: DataFrame, key: str, order: str, *values: str) -> DataFrame:

@@ -38,6 +38,11 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(_placed(spark, d))
 
 
+def p1_below(spark: SparkSession, d: str) -> DataFrame:
+    """All spans below each span, those that hang below a loop too."""
+    return descendants(_placed(spark, d), below_loops=True)
+
+
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "samples")
     return regular_grid(clean_readings(s, mac_name(s["mac"]), unix_seconds(s["t"]), FIELDS), list(FIELDS))
@@ -93,7 +98,7 @@ def p5_province(spark: SparkSession, d: str) -> DataFrame:
     return region_of(item_points(spark, d), regions).select(F.col("id").alias("item"), F.col("region").alias("prov"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_descendants, p2_found, p2_grid, p3_found, p3_periods, p5_found, p5_province)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_descendants, p1_below, p2_found, p2_grid, p3_found, p3_periods, p5_found, p5_province)}
 
 _SPANS = """edge as (select id, min(case when parent <> '' then parent end) as parent from spans where id <> '' group by id)"""
 _WALK = f"""with recursive {_SPANS},
@@ -140,6 +145,9 @@ from edge e left join down d on d.id = e.id left join ring r on r.id = e.id left
 up(id, cur, n) as (select id, parent, 1 from edge where parent is not null
   union all select up.id, e.parent, n + 1 from up join edge e on e.id = up.cur where e.parent is not null and n < 400)
 select cur as ancestor, id, cast(n as int) as distance from up where id not in (select id from up where n >= 400)""",
+    "p1_below": _WALK + """pairs(id, cur, n) as (select id, parent, 1 from edge where parent is not null and id not in (select id from ring) and parent not in (select id from ring)
+  union all select p.id, e.parent, n + 1 from pairs p join edge e on e.id = p.cur where e.parent is not null and e.parent not in (select id from ring))
+select cur as ancestor, id, cast(n as int) as distance from pairs""",
     "p2_found": "with " + _SAMPLE + """select m.mac, m.slot, f.field from minutes m cross join (values ('load'), ('memfree'), ('swap')) f(field)
 left join has h on h.mac = m.mac and h.slot = m.slot
 where coalesce(case f.field when 'load' then h.load when 'memfree' then h.memfree else h.swap end, 0) = 0""",
