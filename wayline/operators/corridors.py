@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.operators.registers import connected
+
 
 def _box_distance(x: Column, y: Column) -> Column:
     dx = F.greatest(F.col("x0") - x, x - F.col("x1"), F.lit(0.0))
@@ -47,13 +49,23 @@ def parallel_tracks(points: DataFrame, within: float = 40.0, degrees: float = 20
     return a.join(b, ["cx", "cy", "service"]).where(near & (F.col("track") != F.col("other"))).select("track", "other").distinct()
 
 
+def _near_parts(places: DataFrame, reach: float) -> DataFrame:
+    """(x, y, part): distinct places (x, y) by connected parts of those within ``reach`` of each other, paired by grid cells; one alone has no part."""
+    cell = lambda v: F.floor(F.col(v) / reach)
+    name = lambda x, y: F.concat_ws("/", x, y)
+    a = places.select("x", "y", F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select("x", "y", "c.cx", "c.cy")
+    b = places.select(F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
+    near = a.join(b, ["cx", "cy"]).where((F.struct("x", "y") < F.struct("ox", "oy")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= reach))
+    root = connected(near.select(name("x", "y").alias("a"), name("ox", "oy").alias("b")))
+    return places.join(root.select(F.col("id").alias("__at"), F.col("root").alias("part")), name("x", "y") == F.col("__at")).select("x", "y", "part")
+
+
 def merge_stops(stops: DataFrame, named_m: float = 800.0, unnamed_m: float = 100.0) -> DataFrame:
     """(id, stop): stops of one folded name within ``named_m`` (unnamed: ``unnamed_m``) of a merged stop join it, in order of id.
 
-    The order matters, so a name is worked off in one group; unnamed stops are grouped by cells far larger than their reach, in which
-    those at a cell's edge may stay apart.  stops: id, name, x, y (metres)."""
+    The order matters, so a name is worked off in one group; unnamed stops by connected parts of those within ``unnamed_m`` of each
+    other, as none joins a stop of another part.  A name or part must fit a task.  stops: id, name, x, y (metres)."""
     folded = F.lower(F.trim(F.coalesce("name", F.lit(""))))
-    key = F.when(folded != "", folded).otherwise(F.concat_ws("/", F.lit("\0"), F.floor(F.col("x") / 50_000), F.floor(F.col("y") / 50_000)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -69,7 +81,11 @@ def merge_stops(stops: DataFrame, named_m: float = 800.0, unnamed_m: float = 100
             out.append((r.id, best[1]))
         return pd.DataFrame(out, columns=["id", "stop"])
 
-    s = stops.select(F.col("id").cast("long").alias("id"), key.alias("key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("id is not null and x is not null and y is not null")
+    s = stops.select(F.col("id").cast("long").alias("id"), folded.alias("key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("id is not null and x is not null and y is not null")
+    bare = s.where("key = ''")
+    parts = _near_parts(bare.select("x", "y").distinct(), unnamed_m)
+    bare = bare.join(parts, ["x", "y"], "left").select("id", F.concat_ws("/", F.lit("\0"), F.coalesce("part", F.concat_ws("/", "x", "y"))).alias("key"), "x", "y")
+    s = s.where("key <> ''").unionByName(bare)
     return s.groupBy("key").applyInPandas(run, "id long, stop long")
 
 
