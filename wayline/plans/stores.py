@@ -152,9 +152,7 @@ def territory_runs(spark: SparkSession, d: str) -> DataFrame:
     return J.run_at(c, r)
 
 
-def overlay_picks(spark: SparkSession, d: str) -> DataFrame:
-    """J29."""
-    c = table(spark, d, "customer").where("c_custkey <= 400")
+def _overlay(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
     boxes = c.select(k.alias("id"), (k * 79 % 360).alias("west"), (k * 104 % 170).alias("south"), (k * 79 % 360 + 5).alias("east"), (k * 104 % 170 + 5).alias("north"))
     s = F.col("s_suppkey")
@@ -162,6 +160,16 @@ def overlay_picks(spark: SparkSession, d: str) -> DataFrame:
     return J.overlay_picks(boxes, sets)
 
 
+def overlay_picks(spark: SparkSession, d: str) -> DataFrame:
+    """Of the first 400 customers, as in its SQL; overlay_picks_all has all."""
+    return _overlay(spark, d, table(spark, d, "customer").where("c_custkey <= 400"))
+
+
+def overlay_picks_all(spark: SparkSession, d: str) -> DataFrame:
+    """J29."""
+    return _overlay(spark, d, table(spark, d, "customer"))
+
+
 def available_pick(spark: SparkSession, d: str) -> DataFrame:
     """P24."""
     p = table(spark, d, "part")
@@ -188,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         log_apply, log_stream, log_digests, map_diff, watch_marks, changes_since, due_deletes, stale_targets, reused_rows, gate_verdicts, input_findings, trains_default, record_near, road_window, boxes_meeting,
-        raster_lookup, territory_runs, overlay_picks, available_pick, downloaded, tag_values,
+        raster_lookup, territory_runs, overlay_picks, overlay_picks_all, available_pick, downloaded, tag_values,
     )
 }
 
@@ -227,6 +235,9 @@ select id, round(sum(w * v) / sum(w), 6) as value from k join p on p.x = k.cx an
     "territory_runs": "select c_custkey as id, min(s_nationkey) as code from customer join supplier on s_suppkey % 20 = c_custkey % 20 and c_custkey * 17 % 1000 between s_suppkey * 31 % 900 and s_suppkey * 31 % 900 + 90 group by 1",
     "overlay_picks": """with b as (select c_custkey as id, c_custkey * 79 % 360 as x, c_custkey * 104 % 170 as y from customer where c_custkey <= 400), s as (select s_name as name, s_suppkey as rank, s_suppkey * 37 % 300 as w, s_suppkey * 53 % 120 as s from supplier),
 j as (select id, name, rank, min(case when w <= x and w + 60 >= x + 5 and s <= y and s + 50 >= y + 5 then rank end) over (partition by id) as f from b join s on w <= x + 5 and w + 60 >= x and s <= y + 5 and s + 50 >= y)
+select id, name, rank from j where f is null or rank <= f""",
+    "overlay_picks_all": """with b as (select c_custkey as id, c_custkey * 79 % 360 as x, c_custkey * 104 % 170 as y from customer), s as (select s_name as name, s_suppkey as rank, s_suppkey * 37 % 300 as w, s_suppkey * 53 % 120 as s from supplier),
+j as (select id, name, rank, min(case when w <= x and w + 60 >= x + 5 and s <= y and s + 50 >= y + 5 then rank end) over (partition by id) as f from b join s on w <= x + 5 and w + 60 >= x and s <= y + 5 and s + 50 >= y)
 select id, name, rank from j where f is null or rank <= f""",
     "available_pick": """with p as (select p_partkey % 150 as set, p_name as name, p_size % 6 as zoom, p_partkey % 4 = 0 as pr, p_partkey % 3 as av, p_partkey % 7 as sc, p_partkey % 2 as ex from part where p_partkey % 3 > 0),
 r as (select *, row_number() over (partition by set order by pr desc, zoom desc, av desc, sc desc, ex, name) as k from p) select set, name from r where k = 1""",
