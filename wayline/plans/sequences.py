@@ -170,18 +170,31 @@ def stage_durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weekday_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of consecutive days with events, per type."""
-    x = table(spark, d, "events").select("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("day"), "user_id").where("user_id % 10 = 0")
+    """Runs of consecutive days with events, per type, of one user in ten, as in its SQL; weekday_runs_all has all."""
+    return weekday_runs_all(spark, d).where("user_id % 10 = 0")
+
+
+def weekday_runs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of consecutive days with events, per type and user."""
+    x = table(spark, d, "events").select("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("day"), "user_id")
     return Q.value_runs(x, ["event_type", "user_id"], "day")
 
 
 def contiguity(spark: SparkSession, d: str) -> DataFrame:
-    """Line items of an order joined end to end (number to number plus one)."""
+    """Line items of an order joined end to end (number to number plus one), without those of every third part, as in its SQL; contiguity_all has all."""
     x = table(spark, d, "lineitem").where("l_partkey % 3 > 0").select("l_orderkey", F.col("l_linenumber").alias("a"), (F.col("l_linenumber") + 1).alias("b"))
     y = Q.contiguous(x, ["l_orderkey"], "a", "b", "b")
     return y.groupBy("l_orderkey", "piece").agg(F.min("a").alias("first"), F.max("b").alias("last"), F.count("*").alias("n"))
 
 
+def contiguity_all(spark: SparkSession, d: str) -> DataFrame:
+    """Line items of an order joined end to end (number to number plus one; those of every third part end one further on, where it breaks)."""
+    a = F.col("l_linenumber")
+    x = table(spark, d, "lineitem").select("l_orderkey", a.alias("a"), (a + 1 + (F.col("l_partkey") % 3 == 0).cast("int")).alias("b"))
+    y = Q.contiguous(x, ["l_orderkey"], "a", "b", "b")
+    return y.groupBy("l_orderkey", "piece").agg(F.min("a").alias("first"), F.max("b").alias("last"), F.count("*").alias("n"))
+
+
 def first_per_line(spark: SparkSession, d: str) -> DataFrame:
     """One best stretch per line (the user's group), the thirty best."""
     x = best_stretch(spark, d).withColumn("line", F.col("road") % 40)
@@ -252,7 +265,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         best_stretch, drives_top, drives_in_view, runs_summary, interval_runs, neighbour_grade, range_window_sum, window_grade, despiked, smoothed, gap_filled, junction_blend, profile, bin_summary,
-        pseudo_samples, approx_vs_exact, thinned_profile, asof_join, event_chain, stage_durations, weekday_runs, contiguity, first_per_line, lines_by_identity, component_score, drive_score, bitmask_filter,
+        pseudo_samples, approx_vs_exact, thinned_profile, asof_join, event_chain, stage_durations, weekday_runs, weekday_runs_all, contiguity, contiguity_all, first_per_line, lines_by_identity, component_score, drive_score, bitmask_filter,
         typical_day, stop_pairs, headways, low_season,
     )
 }
@@ -314,6 +327,12 @@ select b.road, any_value(t_view) as t_view, any_value(t_click) as t_click, min(s
     "stage_durations": "with c as ({EVENT_CHAIN}) select median(t_click - t_view) as to_click, median(t_purchase - t_click) as to_purchase from c",
     "weekday_runs": """with d as (select distinct event_type, user_id, date_diff('day', date '2024-01-01', cast(ts as date)) as day from events where user_id % 10 = 0),
 g as (select *, day - row_number() over (partition by event_type, user_id order by day) as g from d) select event_type, user_id, min(day) as first, max(day) as last, count(*) as n from g group by event_type, user_id, g""",
+    "weekday_runs_all": """with d as (select distinct event_type, user_id, date_diff('day', date '2024-01-01', cast(ts as date)) as day from events),
+g as (select *, day - row_number() over (partition by event_type, user_id order by day) as g from d) select event_type, user_id, min(day) as first, max(day) as last, count(*) as n from g group by event_type, user_id, g""",
+    "contiguity_all": """with x as (select l_orderkey, l_linenumber as a, l_linenumber + 1 + case when l_partkey % 3 = 0 then 1 else 0 end as b from lineitem),
+y as (select *, row_number() over (partition by l_orderkey order by a, b) as rn, lag(b) over (partition by l_orderkey order by a, b) as p from x),
+z as (select *, sum(case when rn = 1 or p <> a then 1 else 0 end) over (partition by l_orderkey order by rn) as piece from y)
+select l_orderkey, piece, min(a) as first, max(b) as last, count(*) as n from z group by l_orderkey, piece""",
     "contiguity": """with x as (select l_orderkey, l_linenumber as a, l_linenumber + 1 as b from lineitem where l_partkey % 3 > 0),
 y as (select *, coalesce(case when lag(b) over (partition by l_orderkey order by a, b) <> a then 1 else 0 end, 1) as f, row_number() over (partition by l_orderkey order by a, b) as rn from x),
 z as (select *, sum(case when rn = 1 then 1 else f end) over (partition by l_orderkey order by a, b rows unbounded preceding) as piece from y)
