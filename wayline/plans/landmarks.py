@@ -190,11 +190,17 @@ def fuzzy_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def connected_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Connected groups of customers and the suppliers they share parts with on few lines."""
+    """Connected groups of parts and orders on lines of the largest quantities, as in its SQL; connected_groups_all has all."""
     li = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("a"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("b"))
     return R.connected(li).select(F.col("id"), F.col("root"))
 
 
+def connected_groups_all(spark: SparkSession, d: str) -> DataFrame:
+    """Connected groups of parts and the orders that hold them, over all line items."""
+    li = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("a"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("b"))
+    return R.connected(li).select("id", "root")
+
+
 def unique_ids(spark: SparkSession, d: str) -> DataFrame:
     """The id rule: rows that would share an id get the next free suffix in order."""
     p = table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("-"), F.col("p_size")).alias("wanted"))
@@ -217,7 +223,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         score_histogram, filter_histograms, rank_scores, top_per_kind, top_overall, kind_totals, keep_zoom, speck_cells, rank_in_kind, nearest_better, held_back, label_zooms, within_distance, nearest_tracks, percentile_rank,
-        fame_values, tier_defaults, tile_functions, in_view, translation_lookup, anti_report, fact_reducers, fuzzy_merge, connected_groups, unique_ids, set_operations,
+        fame_values, tier_defaults, tile_functions, in_view, translation_lookup, anti_report, fact_reducers, fuzzy_merge, connected_groups, connected_groups_all, unique_ids, set_operations,
     )
 }
 
