@@ -1,7 +1,7 @@
 """Ways to roads, routes over tracks, relaxation over structures, rings and shared borders.
 
-Pairing is a join at nodes.  What follows a chain or a graph runs per connected part: parts are found by
-registers.connected and each is one group, so a part must fit one task (a road, a bridge complex, a rail region).
+Pairing is a join at nodes and roads are followed by pointer doubling.  What is iterated over a graph runs per connected part: parts are
+found by registers.connected and each is one group, so a part must fit one task (a bridge complex, a rail region).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators.registers import connected
+from wayline.session import cut
 
 # Greatest turn (degrees) of a continuation, for unnamed into named ways and for all others.
 TURN_UNNAMED, TURN = 35.0, 100.0
@@ -34,16 +35,17 @@ def way_ends(ways: DataFrame) -> DataFrame:
 def pair_ends(ways: DataFrame) -> DataFrame:
     """(id, end, id2, end2): ends that are each other's best continuation at a node, in both directions.
 
-    Best: a shared ref (3), else the same name (2), else both unnamed of one class (1), else named and unnamed of one class (0, at most
-    35 degrees); never more than 100 degrees, never against two one-ways; then the straightest, the smaller id, the end's code.
-    Two ways that both have refs, none in common, don't continue each other.  A node is one place, so its group is small."""
+    Best: a shared ref (3), else the same name (2), else both bare (neither name nor ref) of one class (1), else one of them bare, of one
+    class (0, at most 35 degrees); never more than 100 degrees, never against two one-ways; then the straightest, the smaller id, the
+    end's code.  Two ways that both have refs, none in common, don't continue each other.  A node is one place, so its group is small."""
     a = way_ends(ways)
     b = a.select([F.col(c).alias(c if c == "node" else f"{c}2") for c in a.columns])
+    bare = lambda x: (F.col(f"name{x}") == "") & (F.size(f"refs{x}") == 0)
     level = (
         F.when((F.size("refs") > 0) & (F.size("refs2") > 0), F.when(F.arrays_overlap("refs", "refs2"), 3))
         .when((F.col("name") != "") & (F.col("name") == F.col("name2")), 2)
-        .when((F.col("class") == F.col("class2")) & (F.col("name") == "") & (F.col("name2") == ""), 1)
-        .when((F.col("class") == F.col("class2")) & ((F.col("name") == "") != (F.col("name2") == "")), 0)
+        .when((F.col("class") == F.col("class2")) & bare("") & bare("2"), 1)
+        .when((F.col("class") == F.col("class2")) & (bare("") != bare("2")), 0)
     )
     off = F.pmod(F.abs(F.col("heading") + math.pi - F.col("heading2")), F.lit(2 * math.pi))
     turn = F.least(off, 2 * math.pi - off)
@@ -55,55 +57,52 @@ def pair_ends(ways: DataFrame) -> DataFrame:
     return best.join(back, ["node", "id", "end", "id2", "end2"]).select("id", "end", "id2", "end2")
 
 
-def walk_chain(part: pd.DataFrame) -> pd.DataFrame:
-    """Road, length, offset and direction of one connected part's ways (id, length, next0, end0, next1, end1)."""
-    part = part.sort_values("id")
-    length = dict(zip(part["id"], part["length"]))
-    nxt = {(i, e): None if pd.isna(n) else (int(n), int(x)) for e in (0, 1) for i, n, x in zip(part["id"], part[f"next{e}"], part[f"end{e}"])}
-    done: set[int] = set()
-    rows = []
-    for i in part["id"]:
-        if i in done:
-            continue
-        ends = []
-        for e in (0, 1):
-            w, x = i, e
-            while (to := nxt[(w, x)]) is not None and to[0] != i:
-                w, x = to[0], 1 - to[1]
-            ends.append(None if to is not None else (w, x))
-        if None in ends:
-            w, x = i, 0
-        elif ends[0][0] == ends[1][0]:
-            w, x = ends[0][0], 0
-        else:
-            w, x = min(ends)
-        chain = []
-        while True:
-            chain.append((w, x))
-            done.add(w)
-            to = nxt[(w, 1 - x)]
-            if to is None or to[0] in done:
-                break
-            w, x = to
-        road, total, off = min(w for w, _ in chain), sum(length[w] for w, _ in chain), 0.0
-        for w, x in chain:
-            rows.append((w, road, total, off, x))
-            off += length[w]
-    return pd.DataFrame(rows, columns=["id", "road", "road_length", "offset", "reverse"])
+def _ends_of(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Where travel that leaves a way by one of its ends comes to: (id, end, last, far, low) for the ways out that end, and
+    (id, end, low) for those that go round for ever, None if there are none.
+
+    links: id, end, id2, out2, length2 (leaving ``id`` by ``end`` one comes through ``id2`` and out by its end ``out2``; null where the way ends).  last: the last way,
+    far: the length of the ways after the own one, low: the smallest way among them and the own one.  Each round joins every way
+    out with the one its reach ends at, so reaches double: the rounds grow with the logarithm of the longest road."""
+    state = cut(links.select("id", "end", F.col("id2").alias("to"), F.col("out2").alias("to_end"), F.coalesce("id2", "id").alias("last"), F.coalesce("length2", F.lit(0.0)).alias("far"), F.least("id", F.coalesce("id2", "id")).alias("low")))
+    before = None
+    while True:
+        open_, lows = state.where("to is not null").agg(F.count("*"), F.sum(F.xxhash64("id", "end", "low").cast("decimal(38,0)"))).first()
+        if not open_:
+            return state.select("id", "end", "last", "far", "low"), None
+        # reaches cover every length, so a round in which no way out ends leaves rings; they are known when no smallest way changes any more
+        if before == (open_, lows):
+            return state.where("to is null").select("id", "end", "last", "far", "low"), state.where("to is not null").select("id", "end", "low")
+        before = (open_, lows)
+        on = state.select(F.col("id").alias("to"), F.col("end").alias("to_end"), F.col("to").alias("to2"), F.col("to_end").alias("to_end2"), F.col("last").alias("last2"), F.col("far").alias("far2"), F.col("low").alias("low2"))
+        going = state.where("to is not null").join(on.hint("merge"), ["to", "to_end"]).select("id", "end", F.col("to2").alias("to"), F.col("to_end2").alias("to_end"), F.col("last2").alias("last"), (F.col("far") + F.col("far2")).alias("far"), F.least("low", "low2").alias("low"))
+        state = cut(state.where("to is null").unionByName(going))
 
 
 def chain_roads(ways: DataFrame, length: str = "length") -> DataFrame:
     """(id, road, road_length, offset, reverse): ways as roads; a road is named by its smallest way and runs from the end with the
-    smaller way (a closed one from its smallest way).  Ways of kind 0 are roads of their own."""
+    smaller way (a closed one from the start of its smallest way).  Ways of kind 0 are roads of their own.
+
+    A ring is opened at the start of its smallest way and is then a road like any other.  No road is ever held in one task."""
+    size = ways.select("id", F.col(length).cast("double").alias("length"))
     pairs = pair_ends(ways)
-    root = connected(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")))
-    at = lambda e: pairs.where(f"end = {e}").select("id", F.col("id2").alias(f"next{e}"), F.col("end2").alias(f"end{e}"))
-    x = ways.select("id", F.col(length).cast("double").alias("length")).join(at(0), "id", "left").join(at(1), "id", "left")
-    x = x.join(root.select(F.col("id").cast(ways.schema["id"].dataType).alias("id"), "root"), "id", "left")
-    alone = x.where("root is null").select("id", F.col("id").alias("road"), F.col("length").alias("road_length"), F.lit(0.0).alias("offset"), F.lit(0).cast("long").alias("reverse"))
-    t = ways.schema["id"].dataType.simpleString()
-    many = x.where("root is not null").groupBy("root").applyInPandas(lambda p: walk_chain(p), f"id {t}, road {t}, road_length double, offset double, reverse long")
-    return alone.unionByName(many)
+    to = pairs.join(size.select(F.col("id").alias("id2"), F.col("length").alias("length2")), "id2").select("id", "end", "id2", (1 - F.col("end2")).alias("out2"), "length2")
+    sides = size.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("end"))
+    links = cut(sides.join(to, ["id", "end"], "left"))
+    ended, rings = _ends_of(links)
+    if rings is not None:
+        ring = cut(rings)
+        first = F.col("id") == F.col("low")
+        opened = links.join(ring.select("id", "end", "low"), ["id", "end"])
+        # a ring's smallest way is not left by its start, nor come to through it
+        shut = (first & (F.col("end") == 0)) | ((F.col("id2") == F.col("low")) & (F.col("out2") == 1))
+        ended = ended.unionByName(_ends_of(opened.select("id", "end", *[F.when(~shut, F.col(c)).alias(c) for c in ("id2", "out2", "length2")]))[0])
+    both = ended.groupBy("id").agg(*[F.max(F.when(F.col("end") == e, F.struct("last", "far", "low"))).alias(f"e{e}") for e in (0, 1)])
+    forward = F.col("e0.last") <= F.col("e1.last")
+    return size.join(both, "id").select(
+        "id", F.least("e0.low", "e1.low").alias("road"), (F.col("length") + F.col("e0.far") + F.col("e1.far")).alias("road_length"),
+        F.when(forward, F.col("e0.far")).otherwise(F.col("e1.far")).alias("offset"), F.when(forward, 0).otherwise(1).cast("long").alias("reverse"),
+    )
 
 
 def relax(part: pd.DataFrame, rounds: int = 2000, stop: float = 0.005) -> pd.DataFrame:
@@ -138,45 +137,106 @@ def relax_structures(edges: DataFrame) -> DataFrame:
     return e.join(root, "a").groupBy("root").applyInPandas(lambda p: relax(p), "node string, height double, fixed boolean")
 
 
+class Tracks:
+    """An undirected graph of tracks: edges (a, b, cost), and of those with a direction, the headings by which they leave a and b (radians)."""
+
+    def __init__(self, edges: list[tuple]):
+        self.near = defaultdict(list)
+        for a, b, cost, *at in edges:
+            out, back = at if at else (None, None)
+            # what is left by, what is arrived by: a track arrives with the heading opposite to the one that leaves its far end
+            self.near[a].append((b, cost, out, None if back is None else back + math.pi))
+            self.near[b].append((a, cost, back, None if out is None else out + math.pi))
+
+    def search(self, start, goals: dict, turn_cost: float = 0.0, turn: float = math.pi / 2) -> dict:
+        """{goal: (cost, nodes)} of the cheapest ways from ``start`` to each of ``goals`` (goal: most it may cost); ties go to the smaller node.
+
+        A change of heading beyond ``turn`` costs ``turn_cost`` more, so what counts is the place and the heading by which one came."""
+        open_, most = dict(goals), max(goals.values(), default=0.0)
+        heap: list = [(0.0, start, 0, None)]
+        came: dict = {}
+        rank, got = 0, {}
+        while heap and open_:
+            cost, n, _, state = heapq.heappop(heap)
+            place, heading = (state[0], state[1]) if state else (start, None)
+            key = (place, heading) if turn_cost else place
+            if key in came:
+                continue
+            came[key] = state[2] if state else None
+            if place in open_:
+                if cost <= open_.pop(place):
+                    path, at = [place], came[key]
+                    while at is not None:
+                        path.append(at[0] if turn_cost else at)
+                        at = came[at]
+                    got[place] = (cost, path[::-1])
+            for m, c, leaves, arrives in self.near[place]:
+                bend = 0.0
+                if turn_cost and heading is not None and leaves is not None:
+                    off = abs(heading - leaves) % (2 * math.pi)
+                    bend = turn_cost if min(off, 2 * math.pi - off) > turn else 0.0
+                after = (m, arrives) if turn_cost else m
+                if after not in came and cost + c + bend <= most:
+                    rank += 1
+                    heapq.heappush(heap, (cost + c + bend, m, rank, (m, arrives, key)))
+        return got
+
+
 def cheapest(edges: list[tuple], start, goal, most: float = math.inf) -> tuple[float, list] | None:
     """Cost and nodes of the cheapest way over undirected (a, b, cost) edges, if it costs at most ``most``; ties go to the smaller node."""
-    near = defaultdict(list)
-    for a, b, c in edges:
-        near[a].append((b, c))
-        near[b].append((a, c))
-    heap, seen = [(0.0, start, None)], {}
-    while heap:
-        d, n, via = heapq.heappop(heap)
-        if n in seen:
-            continue
-        seen[n] = via
-        if n == goal:
-            path = [n]
-            while seen[path[-1]] is not None:
-                path.append(seen[path[-1]])
-            return d, path[::-1]
-        for m, c in near[n]:
-            if m not in seen and d + c <= most:
-                heapq.heappush(heap, (d + c, m, n))
-    return None
-
-
-def route_pairs(edges: DataFrame, pairs: DataFrame, region: str, factor: float = 3.0, spare: float = 3000.0) -> DataFrame:
-    """(a, b, cost, path) for each wanted pair (region, a, b, straight): the cheapest way over the region's edges
-    (region, a, b, cost), if it is at most ``factor`` times straight plus ``spare``.  One region is one group."""
+    return Tracks(edges).search(start, {goal: most}).get(goal)
+
+
+def track_edges(tracks: DataFrame, group: str, wrong: float = 4.0) -> DataFrame:
+    """Adds ``cost``: a track's metres, ``wrong`` times as many where its service (column ``service``) isn't the wanted one (column ``group``)."""
+    return tracks.withColumn("cost", F.col("metres") * F.when(F.col("service") == F.col(group), 1.0).otherwise(wrong))
+
+
+def gap_links(nodes: DataFrame, most_m: float = 100.0, factor: float = 1.0) -> DataFrame:
+    """(a, b, cost): loose ends (node, x, y in metres, degree 1 only) at most ``most_m`` apart, as links that cost ``factor`` times the distance.  Both once, a < b."""
+    cell = lambda c: F.floor(F.col(c) / most_m)
+    loose = nodes.where("degree = 1").select("node", "x", "y").distinct()
+    a = loose.select(F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select("a", "ax", "ay", "c.cx", "c.cy")
+    b = loose.select(F.col("node").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), cell("x").alias("cx"), cell("y").alias("cy"))
+    d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    return a.join(b, ["cx", "cy"]).where(F.col("a") < F.col("b")).withColumn("cost", d * factor).where(d <= most_m).select("a", "b", "cost")
+
+
+def route_pairs(edges: DataFrame, pairs: DataFrame, region: str, factor: float = 3.0, spare: float = 3000.0, turn_cost: float = 0.0) -> DataFrame:
+    """(region, a, b, cost, path) for each wanted pair (region, a, b, straight): the cheapest way over the region's edges
+    (region, a, b, cost and, for ``turn_cost``, heading_a, heading_b by which an edge leaves its ends), if it is at most ``factor`` times straight plus ``spare``.
+
+    One region is one group: its graph is built once and searched once per start."""
+    bent = "heading_a" in edges.columns
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        e = list(zip(left["a"], left["b"], left["cost"]))
+        g = Tracks(list(zip(*(left[c] for c in ("a", "b", "cost", "heading_a", "heading_b")))))
         out = []
-        for r in right.itertuples():
-            got = cheapest(e, r.a, r.b, factor * r.straight + spare)
-            if got:
-                out.append((r.a, r.b, got[0], "/".join(got[1])))
-        return pd.DataFrame(out, columns=["a", "b", "cost", "path"])
-
-    e = edges.select(region, F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("cost").cast("double").alias("cost"))
-    p = pairs.select(region, F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("straight").cast("double").alias("straight"))
-    return e.groupBy(region).cogroup(p.groupBy(region)).applyInPandas(run, "a string, b string, cost double, path string")
+        for start, asked in right.groupby("a", sort=True):
+            most = {b: factor * s + spare for b, s in zip(asked["b"], asked["straight"])}
+            for b, (cost, path) in g.search(start, most, turn_cost).items():
+                out.append((right[region].iloc[0], start, b, cost, "/".join(path)))
+        return pd.DataFrame(out, columns=[region, "a", "b", "cost", "path"])
+
+    heading = lambda c: (F.col(c) if bent else F.lit(0.0)).cast("double").alias(c)
+    e = edges.select(region, F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("cost").cast("double").alias("cost"), heading("heading_a"), heading("heading_b")).where("a is not null and b is not null and cost is not null")
+    p = pairs.select(region, F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("straight").cast("double").alias("straight")).where("a is not null and b is not null")
+    t = edges.schema[region].dataType.simpleString()
+    return e.groupBy(region).cogroup(p.groupBy(region)).applyInPandas(run, f"{region} {t}, a string, b string, cost double, path string")
+
+
+def track_flow(routes: DataFrame, trains: DataFrame, corridor: DataFrame) -> DataFrame:
+    """(a, b, trains): trains a day over each piece of track.
+
+    routes: a, b, path ('/'-joined nodes); trains: a, b, trains (both directions); corridor: node_a, node_b, point: the points of a corridor at which
+    pieces lie side by side.  A pair's trains go over every piece of its path.  At a point the pieces beside each other carry their sum; a
+    piece gets the median over its points (the mean of the middle two), halved for one direction; one in no corridor half its own."""
+    steps = routes.join(trains, ["a", "b"]).select("trains", F.split("path", "/").alias("p")).where("size(p) > 1").select("trains", F.explode(F.expr("transform(sequence(1, size(p) - 1), i -> struct(least(p[i - 1], p[i]) as na, greatest(p[i - 1], p[i]) as nb))")).alias("s"))
+    own = steps.groupBy(F.col("s.na").alias("node_a"), F.col("s.nb").alias("node_b")).agg(F.sum("trains").alias("own"))
+    at = corridor.select("node_a", "node_b", "point").distinct().join(own, ["node_a", "node_b"])
+    side = at.groupBy("point").agg(F.sum("own").alias("across"))
+    mid = at.join(side, "point").groupBy("node_a", "node_b").agg(F.percentile("across", 0.5).alias("across"))
+    return own.join(mid, ["node_a", "node_b"], "left").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), (F.coalesce("across", F.col("own").cast("double")) / 2).alias("trains"))
 
 
 def prominence(heights: np.ndarray, sea: float = 0.0) -> list[tuple[int, int, float]]:

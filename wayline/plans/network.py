@@ -112,7 +112,8 @@ _WAYS = """w as (select o_orderkey as id, o_orderkey % 3 as class, o_orderkey %
 case when o_orderkey % 5 = 0 then 'A' || (o_orderkey // 100) end as ref, o_orderkey % 6000 as n0, (o_orderkey + 1) % 6000 as n1, cast(o_orderkey as double) * 0.61 % 6.28 as h0, (cast(o_orderkey as double) * 0.61 + 3.0 + (o_orderkey % 7) * 0.1) % 6.28 as h1 from orders),
 e as (select id, class, oneway, name, ref, 0 as en, n0 as node, h0 as h from w union all select id, class, oneway, name, ref, 1, n1, h1 from w),
 p as (select a.node, a.id, a.en, b.id as id2, b.en as en2,
-  case when a.ref is not null and b.ref is not null then case when a.ref = b.ref then 3 end when a.name <> '' and a.name = b.name then 2 when a.class = b.class and a.name = '' and b.name = '' then 1 when a.class = b.class and (a.name = '') <> (b.name = '') then 0 end as lv,
+  case when a.ref is not null and b.ref is not null then case when a.ref = b.ref then 3 end when a.name <> '' and a.name = b.name then 2
+    when a.class = b.class and a.name = '' and a.ref is null and b.name = '' and b.ref is null then 1 when a.class = b.class and (a.name = '' and a.ref is null) <> (b.name = '' and b.ref is null) then 0 end as lv,
   abs(a.h + pi() - b.h) % (2 * pi()) as off, ((not a.oneway or a.en = 1) and (not b.oneway or b.en = 0)) or ((not b.oneway or b.en = 1) and (not a.oneway or a.en = 0)) as ok
   from e a join e b on a.node = b.node and a.id <> b.id),
 q as (select *, least(off, 2 * pi() - off) as turn from p where lv is not null and ok),
