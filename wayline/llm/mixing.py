@@ -59,14 +59,49 @@ def plan_quotas(weights: dict[str, float], repeats: dict[str, int], tokens: dict
     return quota
 
 
+#: The generator's hypergeometric draw takes counts below this.
+GENERATOR_LIMIT = 1_000_000_000
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Number of good ones among ``n`` drawn of ``good`` + ``bad`` without return, exact for counts of any size.
+
+    Give every item a place drawn evenly from 0 to 1 and draw the n lowest.  The place of the middle good one follows a beta
+    distribution, and the bad ones below it a binomial one; so either all goods up to it are drawn, or none from it on, and half of the
+    goods are settled.  This goes on until the generator's own draw takes the rest."""
+    got = 0
+    while max(good, bad) >= GENERATOR_LIMIT or good + bad >= GENERATOR_LIMIT:
+        if n == 0 or good == 0:
+            return got
+        if n == good + bad:
+            return got + good
+        if bad > good:
+            return got + n - hypergeometric(rng, bad, good, n)
+        mid = (good + 1) // 2
+        below = int(rng.binomial(bad, rng.beta(mid, good + 1 - mid)))
+        if mid + below <= n:
+            got, good, bad, n = got + mid, good - mid, bad - below, n - mid - below
+        else:
+            good, bad = mid - 1, below
+    return got + (int(rng.hypergeometric(good, bad, n)) if n and good else 0)
+
+
+def draw_shares(rng: np.random.Generator, have: np.ndarray, n: int) -> np.ndarray:
+    """How many of each source are among ``n`` drawn of all (multivariate hypergeometric, one source after the other)."""
+    out, rest = np.zeros(len(have), np.int64), int(have.sum())
+    for i, h in enumerate(have.tolist()):
+        rest -= h
+        out[i] = hypergeometric(rng, h, rest, n)
+        n -= int(out[i])
+    return out
+
+
 def leaf_ranges(leaf: int, leaves: int, units: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """First unit and number of units of each source in one leaf of the splitting tree; each node draws by its own seed."""
     lo, hi, at, have = 0, leaves, np.zeros(len(units), np.int64), units.astype(np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        left = int(have.sum()) * (mid - lo) // (hi - lo)
-        rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-        got = np.asarray(rng.multivariate_hypergeometric(have, left, method="marginals"), np.int64) if have.sum() < 1_000_000_000 else _by_halves(rng, have, left)
+        got = draw_shares(np.random.Generator(np.random.PCG64([seed, lo, hi])), have, int(have.sum()) * (mid - lo) // (hi - lo))
         if leaf < mid:
             hi, have = mid, got
         else:
@@ -74,12 +109,14 @@ def leaf_ranges(leaf: int, leaves: int, units: np.ndarray, seed: int) -> tuple[n
     return at, have
 
 
-def _by_halves(rng, have: np.ndarray, n: int) -> np.ndarray:
-    """For counts beyond the generator's limit: shares rounded exactly, which at that size differ from a draw by less than one in ten thousand."""
-    exact = have * (n / have.sum())
-    out = np.floor(exact).astype(np.int64)
-    rest = n - int(out.sum())
-    out[np.argsort(out - exact, kind="stable")[:rest]] += 1
+def closing_sizes(room: float, sizes: list[int], counts: list[int]) -> list[tuple[int, int]]:
+    """(size, how many): records that fill ``room`` tokens, the largest that fit first."""
+    out = []
+    for size, n in sorted(zip(sizes, counts), reverse=True):
+        k = min(n, int(room // size))
+        if k:
+            out.append((size, k))
+            room -= k * size
     return out
 
 
@@ -109,8 +146,9 @@ def _mixture(mixture: DataFrame) -> tuple[dict[str, float], dict[str, int]]:
 def mix(docs: DataFrame, mixture: DataFrame, id_col: str, text: str, source: str, total: float | None = None, seed: int = 7, path: str = TOKENIZER, shard_tokens: int = SHARD_TOKENS, block: int = BLOCK) -> DataFrame:
     """(shard, place, source, id, pass, n_tokens): the mixed records in order.
 
-    ``mixture`` has source, weight and max_repeats (whole passes allowed).  A record appears at most max_repeats times; each source's tokens
-    differ from its quota by at most half its largest record.  Sources missing on either side give nothing.  The same seed gives the same mixture on any cluster.
+    ``mixture`` has source, weight and max_repeats (whole passes allowed).  A record appears at most max_repeats times.  The last pass's last
+    block is drawn as far as the quota goes, and what room is left is closed with undrawn records of the source that fit, largest first: a source falls
+    short of its quota by less than its smallest undrawn record.  Sources missing on either side give nothing.  The same seed gives the same mixture on any cluster.
     """
     spark = docs.sparkSession
     weights, repeats = _mixture(mixture)
@@ -122,16 +160,17 @@ def mix(docs: DataFrame, mixture: DataFrame, id_col: str, text: str, source: str
     out = "shard long, place int, source string, id long, pass int, n_tokens long"
     if not order:
         return spark.createDataFrame([], out)
-    most = max(n for _, n in have.values())
-    buckets = max(1, math.ceil(most / PER_BUCKET))
+    # one row per source of the mixture, so at most MOST_SOURCES
+    plan = spark.createDataFrame([(s, max(1, math.ceil(have[s][1] / PER_BUCKET))) for s in order], "source string, buckets int")
+    plan = broadcast_checked(plan, MOST_SOURCES)
     w = Window.partitionBy("source", "part").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    rows = rows.where(F.col("source").isin(order)).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(buckets)))
+    rows = rows.join(plan, "source").withColumn("part", F.pmod(F.xxhash64("id"), F.col("buckets")))
     rows = rows.withColumn("before", F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
     rows = cut(rows.withColumn("block", F.floor(F.col("before") / block)).withColumn("in_block", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source", "part", "block").orderBy("before", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     blocks = rows.groupBy("source", "part", "block").agg(F.sum("n_tokens").alias("tokens"))
     passes = spark.createDataFrame([(s, int(p), float(max(0.0, min(quota[s] - p * have[s][0], have[s][0])))) for s in order for p in range(math.ceil(quota[s] / have[s][0] - 1e-9))], "source string, pass int, need double")
     each = blocks.join(broadcast_checked(passes, 1_000_000), "source").withColumn("h", F.xxhash64("source", "part", "block", "pass", F.lit(seed)))
-    each = each.withColumn("bucket", F.pmod(F.shiftright("h", 40), F.lit(buckets)))
+    each = each.join(plan, "source").withColumn("bucket", F.pmod(F.shiftright("h", 40), F.col("buckets"))).drop("buckets")
     each = _running(each, ["source", "pass"], "bucket", ["h", "part", "block"], "tokens", "rank", "cum")
     drawn = cut(each.where("cum < need"))
     full = {s: 0 for s in order}
@@ -152,12 +191,43 @@ def mix(docs: DataFrame, mixture: DataFrame, id_col: str, text: str, source: str
 
     owned = spark.range(leaves).mapInPandas(ranges, "shard long, source string, first long, n long").where("n > 0").select("shard", "source", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("unit"))
     placed = drawn.select("source", "pass", "part", "block", "cum", "need", "unit").join(owned, ["source", "unit"])
-    # the last block of a last pass is drawn only as far as the quota goes, to the nearest record
-    recs = placed.join(rows.select("source", "part", "block", "id", "n_tokens", "in_block"), ["source", "part", "block"]).where(F.col("cum") + F.col("in_block") + F.col("n_tokens") / 2 <= F.col("need"))
+    # the last block of a last pass is drawn only as far as the quota goes
+    fits = F.col("cum") + F.col("in_block") + F.col("n_tokens") <= F.col("need")
+    recs = placed.join(rows.select("source", "part", "block", "id", "n_tokens", "in_block"), ["source", "part", "block"]).where(fits).select("shard", "source", "id", "pass", "n_tokens")
+    recs = cut(recs)
+    recs = recs.unionByName(_closing(recs, rows, quota, have, owned, seed))
     w = Window.partitionBy("shard").orderBy(F.xxhash64("shard", "id", "pass", F.lit(seed)), "id", "pass")
     return recs.withColumn("place", F.row_number().over(w) - 1).select("shard", "place", "source", "id", "pass", "n_tokens")
 
 
+def _closing(recs: DataFrame, rows: DataFrame, quota: dict[str, float], have: dict[str, tuple[int, int]], owned: DataFrame, seed: int) -> DataFrame:
+    """Records of each source's last pass that close the room its drawn blocks leave, in the shard of the source's last unit.
+
+    Which sizes close it is worked out per source from how many undrawn records there are of each size that fits: less than one block
+    and one record's tokens of room, so a short list."""
+    spark = recs.sparkSession
+    last = {s: math.ceil(q / have[s][0] - 1e-9) - 1 for s, q in quota.items()}
+    want = spark.createDataFrame([(s, int(last[s]), float(q)) for s, q in quota.items()], "source string, pass int, quota double")
+    want = broadcast_checked(want, MOST_SOURCES)
+    room = want.join(recs.groupBy("source").agg(F.sum("n_tokens").alias("got")), "source", "left").select("source", "pass", (F.col("quota") - F.coalesce("got", F.lit(0))).alias("room"))
+    room = cut(room)
+    drawn = recs.join(want.select("source", "pass"), ["source", "pass"]).select("source", "id")
+    free = cut(rows.select("source", "id", "n_tokens").join(broadcast_checked(room, MOST_SOURCES), "source").where(F.col("n_tokens") <= F.col("room")).join(drawn, ["source", "id"], "left_anti"))
+    sizes = free.groupBy("source", "pass", "room", "n_tokens").agg(F.count("*").alias("n"))
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = closing_sizes(float(pdf["room"].iloc[0]), pdf["n_tokens"].tolist(), pdf["n"].tolist())
+        return pd.DataFrame({"source": pdf["source"].iloc[0], "n_tokens": [x for x, _ in got], "take": [k for _, k in got]})
+
+    take = sizes.groupBy("source").applyInPandas(close, "source string, n_tokens long, take long")
+    order = [F.xxhash64("id", F.lit(seed), F.lit("closing")), "id"]
+    few = free.join(take, ["source", "n_tokens"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32)))
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("source", "n_tokens", "salt").orderBy(*order))).where("k <= take")
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy(*order))).where("k <= take")
+    end = owned.groupBy("source").agg(F.max_by("shard", "unit").alias("shard"))
+    return few.join(end, "source", "left").select(F.coalesce("shard", F.lit(0).cast("long")).alias("shard"), "source", "id", "pass", "n_tokens")
+
+
 def shares(mixed: DataFrame, mixture: DataFrame) -> DataFrame:
     """(source, target_share, tokens, share, most_times): every source of the mixture, the missing ones with 0."""
     m = mixture.select(source_name(F.col("source")).alias("source"), "weight").where("source is not null").groupBy("source").agg(F.max("weight").alias("weight"))

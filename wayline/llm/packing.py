@@ -23,6 +23,8 @@ from wayline.session import cut
 
 #: Records per shard; a shard is packed by one task and its index is in memory.
 SHARD = 2048
+#: Kinds of container; their table is small by contract and is checked.
+MOST_CONTAINERS = 1000
 K1, B = 1.2, 0.75
 #: A container is full enough when less than this share is free; gaps are closed in the last part of it.
 SLACK, LAST = 1 / 64, 1 / 2
@@ -154,7 +156,10 @@ def pack(docs: DataFrame, containers: DataFrame, id_col: str, text: str, lang: s
     every text is in exactly one bin per container; texts without tokens are in none.  how: 'whole' (a first
     part of a text larger than the container, filling it), 'seed', 'near' (placed by retrieval) or 'fit' (placed by size after that).
     """
-    kinds = [(r.container, int(r.capacity)) for r in containers.where("capacity > 0").select("container", "capacity").distinct().orderBy("capacity", "container").limit(1000).collect()]
+    found = containers.where("capacity > 0").select("container", "capacity").distinct().orderBy("capacity", "container").limit(MOST_CONTAINERS + 1).collect()
+    if len(found) > MOST_CONTAINERS:
+        raise ValueError(f"at most {MOST_CONTAINERS} kinds of container")
+    kinds = [(r.container, int(r.capacity)) for r in found]
     if not kinds:
         return docs.sparkSession.createDataFrame([], OUT).drop("shard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.abs(F.xxhash64(id_col) % (1 << 40)).alias("h"), language(F.col(lang)).alias("lang"), F.coalesce(text, F.lit("")).alias("text")).where("id is not null")

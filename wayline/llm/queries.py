@@ -75,10 +75,16 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Designations whose names are left out of the names of places.
+MOST_PHRASES = 10_000
+
+
 def _linked(spark: SparkSession, d: str) -> DataFrame:
-    # the table of designations is a few words; its names are left out of the names of places
-    phrases = tuple(r.designation for r in table(spark, d, "designations").where("designation is not null").select("designation").distinct().limit(1000).collect())
-    return link(_federal(spark, d), _items(spark, d), phrases)
+    # the table of designations is small by contract and is checked; its names are left out of the names of places
+    found = table(spark, d, "designations").where("designation is not null").select("designation").distinct().limit(MOST_PHRASES + 1).collect()
+    if len(found) > MOST_PHRASES:
+        raise ValueError(f"at most {MOST_PHRASES} designations")
+    return link(_federal(spark, d), _items(spark, d), tuple(sorted(r.designation for r in found)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
