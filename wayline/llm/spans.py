@@ -5,9 +5,13 @@ Equal windows have equal minimizers, and neighbouring windows mostly share their
 grams stand for all windows.  First pass: each partition counts its records' minimizers in
 a count-min sketch; merged, the sketch never says less than the true count.  Second pass:
 windows whose minimizer may occur in a second record are sent, as pieces of text with one
-minimizer each, to its group and compared exactly.  No shared window can be lost, and what
+minimizer each, to its group and compared as text.  No shared window can be lost, and what
 the sketch lets through wrongly is dropped by the exact comparison.
 
+The sketch is made of blocks by hash range, each a small count-min sketch of its own, so it grows with the
+texts.  Up to BROADCAST_BITS its blocks are sent to the workers; a larger one stays a table, and the
+records' minimizers are joined with it by block.  Both ways let the same windows through.
+
 Frequent texts: equal pieces are joined where they arise, one copy goes on, and grams that
 very many records hold send single windows by their own hash instead of by the gram.
 """
@@ -23,14 +27,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayline.session import shuffle_width
+from wayline.session import cut, shuffle_width
 
 #: Characters hashed at once; longer texts are cut into overlapping segments.
 CHUNK = 1 << 20
 ROWS = 2
 BLOCK_BITS = 16
-#: The sketch's width in cells is four times the expected grams, within these powers of two: at most 2 x 32 MB of bits are sent to the workers.
-MIN_BITS, MAX_BITS = 16, 28
+#: The sketch's width in cells is four times the expected grams, so that about one in twenty that occur once passes, at least 2^MIN_BITS;
+#: up to 2^BROADCAST_BITS cells (2 x 32 MB of bits) it is sent to the workers.
+MIN_BITS, BROADCAST_BITS = 16, 28
+#: Minimizers that a task gathers before it sends their counts on.
+GATHERED = 4_000_000
 #: Grams that at least so many records may hold are split by window.
 HOT = 20_000
 # Odd multipliers of the rolling hash and of the sketch's rows.
@@ -131,65 +138,101 @@ def minimizer_runs(h: Hashes, bounds: np.ndarray, length: int, gram: int) -> tup
     return starts, ends, key[starts], seg
 
 
-def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return ((keys * np.uint64(ROW_MULTIPLIERS[row])) >> np.uint64(64 - bits)).astype(np.int64)
+def cells(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Block of each key, and its cells (one per row, counted through the rows) within the block; ``bits``: log2 of the cells of a row."""
+    x = _mix(keys ^ np.uint64(0x2545F4914F6CDD1D))
+    block = (x >> np.uint64(64 - (bits - BLOCK_BITS))).astype(np.int64) if bits > BLOCK_BITS else np.zeros(len(x), np.int64)
+    inner = [(row << BLOCK_BITS) + ((x * np.uint64(m)) >> np.uint64(64 - BLOCK_BITS)).astype(np.int64) for row, m in enumerate(ROW_MULTIPLIERS)]
+    return block, np.array(inner)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Minimizers and their records, each once per record of a chunk, some GATHERED at a time."""
+    keys: list[np.ndarray] = []
+    docs: list[np.ndarray] = []
+    for b in batches:
+        for text, bounds, doc, _ in segments(b.column(0).to_numpy(zero_copy_only=False), b.column(1), length):
+            _, _, key, seg = minimizer_runs(Hashes(code_points(text)), bounds, length, gram)
+            # a record counts once: what it repeats itself is no reason to look further
+            _, first = np.unique(pair_hash(key, doc[seg]), return_index=True)
+            keys.append(key[first])
+            docs.append(doc[seg][first])
+        if sum(map(len, keys)) > GATHERED:
+            yield np.concatenate(keys), np.concatenate(docs)
+            keys, docs = [], []
+    if keys:
+        yield np.concatenate(keys), np.concatenate(docs)
+
+
+def pair_hash(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    return key ^ _mix(doc.view(np.uint64))
 
 
 def _sketch_part(length: int, gram: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[np.ndarray] = []
-        for b in batches:
-            for text, bounds, doc, _ in segments(b.column(0).to_numpy(zero_copy_only=False), b.column(1), length):
-                _, _, key, seg = minimizer_runs(Hashes(code_points(text)), bounds, length, gram)
-                # a record counts once: what it repeats itself is no reason to look further
-                _, first = np.unique(key ^ _mix(doc[seg].view(np.uint64)), return_index=True)
-                seen.append(key[first])
-            if sum(map(len, seen)) > 4_000_000:
-                yield from _sketch_rows(np.concatenate(seen), bits)
-                seen = []
-        if seen:
-            yield from _sketch_rows(np.concatenate(seen), bits)
+        for keys, _ in _gathered(batches, length, gram):
+            block, inner = cells(keys, bits)
+            cell, n = np.unique(((block << (BLOCK_BITS + 1)) + inner).ravel(), return_counts=True)
+            of = cell >> (BLOCK_BITS + 1)
+            at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            low, n = (cell & ((2 << BLOCK_BITS) - 1)).astype("<u4"), np.minimum(n, 0xFFFFFFFF).astype("<u4")
+            payload = [x.tobytes() + c.tobytes() for x, c in zip(np.split(low, at[1:]), np.split(n, at[1:]))]
+            yield pa.RecordBatch.from_arrays([pa.array(of[at], pa.int64()), pa.array(payload, pa.binary())], ["block", "counts"])
 
     return run
 
 
-def _sketch_rows(keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    blocks, payload = [], []
-    for row in range(ROWS):
-        cell, n = np.unique(cells(keys, row, bits), return_counts=True)
-        block = cell >> BLOCK_BITS
-        cuts = np.flatnonzero(np.diff(block)) + 1
-        for lo, c in zip(np.split(cell, cuts), np.split(n, cuts)):
-            blocks.append((row << 32) + int(lo[0] >> BLOCK_BITS))
-            payload.append((lo & ((1 << BLOCK_BITS) - 1)).astype("<u2").tobytes() + np.minimum(c, 0xFFFFFFFF).astype("<u4").tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(payload, pa.binary())], ["block", "counts"])
+def _merge_blocks(hot: int):
+    """Counts of a partition sorted by block, one block at a time, to the bits of the cells counted twice and the cells counted ``hot`` times."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
 
-def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for block, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            n = len(counts) // 6
-            at = total.setdefault(block, np.zeros(1 << BLOCK_BITS, np.int64))
-            at[np.frombuffer(counts, "<u2", n)] += np.frombuffer(counts, "<u4", n, 2 * n)
-    for block, n in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(n >= 2).tobytes()], pa.binary()), pa.array([np.flatnonzero(n >= HOT).astype("<u2").tobytes()], pa.binary())], ["block", "twice", "hot"])
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(total >= 2).tobytes()], pa.binary()), pa.array([np.flatnonzero(total >= hot).astype("<u4").tobytes()], pa.binary())], ["block", "twice", "hot"])
+
+        for b in batches:
+            for block, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if block != now:
+                    if now is not None:
+                        yield out()
+                    now, total = block, np.zeros(ROWS << BLOCK_BITS, np.int64)
+                n = len(counts) // 8
+                total[np.frombuffer(counts, "<u4", n)] += np.frombuffer(counts, "<u4", n, 4 * n)
+        if now is not None:
+            yield out()
+
+    return run
 
 
-def count_min(docs: DataFrame, length: int, gram: int, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Per row of the merged sketch: bits of the cells counted at least twice, and the cells counted HOT times."""
+def count_min(docs: DataFrame, length: int, gram: int, bits: int) -> DataFrame:
+    """(block, twice, hot): the merged sketch, one row per block; a block that nothing falls in has none."""
     parts = docs.mapInArrow(_sketch_part(length, gram, bits), "block long, counts binary")
-    # so many partitions that a task merges some 64 blocks, 32 MB of counts
-    width = max(shuffle_width(docs.sparkSession), (ROWS << max(0, bits - BLOCK_BITS)) // 64)
-    merged = parts.repartition(width, "block").mapInArrow(_merge_blocks, "block long, twice binary, hot binary").collect()
-    twice = [np.zeros(max(1, (1 << bits) // 8), np.uint8) for _ in range(ROWS)]
-    hot: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(ROWS)]
-    step = (1 << BLOCK_BITS) // 8
-    for r in merged:
-        row, block = r.block >> 32, r.block & 0xFFFFFFFF
-        twice[row][block * step : (block + 1) * step] = np.frombuffer(r.twice, np.uint8)[: len(twice[row])]
-        hot[row].append(np.frombuffer(r.hot, "<u2").astype(np.int64) + (block << BLOCK_BITS))
-    return twice, [np.sort(np.concatenate(x)) for x in hot]
+    return parts.repartition(shuffle_width(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(_merge_blocks(HOT), "block long, twice binary, hot binary")
+
+
+class Sketch:
+    """Blocks of the merged sketch, to be asked for keys."""
+
+    def __init__(self, rows: list[tuple[int, bytes, bytes]], bits: int):
+        rows = sorted(rows, key=lambda r: r[0])
+        self.bits = bits
+        self.block = np.array([r[0] for r in rows], np.int64)
+        self.twice = np.frombuffer(b"".join(r[1] for r in rows), np.uint8)
+        hot = [np.frombuffer(r[2], "<u4").astype(np.int64) + (r[0] << (BLOCK_BITS + 1)) for r in rows]
+        self.hot = np.sort(np.concatenate([np.empty(0, np.int64), *hot]))
+
+    def ask(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys may occur in a second record, and which may occur in HOT records."""
+        block, inner = cells(keys, self.bits)
+        if not len(self.block):
+            return np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.block, block), len(self.block) - 1)
+        may, often = self.block[at] == block, np.ones(len(keys), bool)
+        for row in range(ROWS):
+            may &= _has_bit(self.twice, (at << (BLOCK_BITS + 1)) + inner[row])
+            often &= _in_sorted(self.hot, (block << (BLOCK_BITS + 1)) + inner[row])
+        return may, often & may
 
 
 def _has_bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -202,23 +245,82 @@ def _in_sorted(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, at), len(values) - 1)] == at
 
 
+def _keys_part(length: int, gram: int, bits: int, with_doc: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, docs in _gathered(batches, length, gram):
+            if with_doc:
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(docs)], ["key", "doc"])
+            else:
+                keys = np.unique(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(cells(keys, bits)[0]), pa.array(keys.view(np.int64))], ["block", "key"])
+
+    return run
+
+
+def _look_up(bits: int):
+    """Rows of a partition sorted by block, a block's own row before the keys that ask it: (key, often) of the keys that may occur twice, each once per batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[tuple[int, bytes, bytes]] = []
+        for b in batches:
+            held = pc.is_valid(b.column(2)).to_numpy(zero_copy_only=False)
+            own = b.filter(pa.array(held))
+            rows = last + list(zip(own.column(0).to_pylist(), own.column(2).to_pylist(), own.column(3).to_pylist()))
+            asked = np.unique(b.column(1).filter(pa.array(~held)).to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
+            if len(asked):
+                may, often = Sketch(rows, bits).ask(asked)
+                yield pa.RecordBatch.from_arrays([pa.array(asked[may].view(np.int64)), pa.array(often[may])], ["key", "often"])
+            last = rows[-1:]
+
+    return run
+
+
+def marked(rows: DataFrame, sketch: DataFrame, length: int, gram: int, bits: int) -> DataFrame:
+    """``rows`` with ``keys`` and ``often``: each record's minimizers that may occur in a second record, by a join with the sketch by block.
+
+    Keys ask once per task, so a block is asked for a frequent gram as often as there are tasks, not records; records that share a gram meet
+    it in a join of keys, which adaptive execution splits where one key is frequent."""
+    wide = max(shuffle_width(rows.sparkSession), 1 << max(0, bits - BLOCK_BITS - 10))
+    none = F.lit(None).cast("binary")
+    ask = rows.mapInArrow(_keys_part(length, gram, bits, False), "block long, key long").select("block", "key", none.alias("twice"), none.alias("hot"), F.lit(1).alias("side"))
+    own = sketch.select("block", F.lit(None).cast("long").alias("key"), "twice", "hot", F.lit(0).alias("side"))
+    found = own.unionByName(ask).repartition(wide, "block").sortWithinPartitions("block", "side").select("block", "key", "twice", "hot").mapInArrow(_look_up(bits), "key long, often boolean")
+    found = found.groupBy("key").agg(F.max("often").alias("often"))
+    keys = rows.mapInArrow(_keys_part(length, gram, bits, True), "key long, doc long")
+    # a record's minimizers are fewer than its characters
+    per = keys.join(found.hint("merge"), "key").groupBy("doc").agg(F.collect_list("key").alias("keys"), F.collect_list("often").alias("often"))
+    return rows.join(per.hint("merge"), rows["id"] == per["doc"]).select("id", "text", "keys", "often")
+
+
+class Marks:
+    """Minimizers of a batch's records that may occur in a second one."""
+
+    def __init__(self, b: pa.RecordBatch):
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        n = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+        keys, often = b.column(2).flatten().to_numpy(zero_copy_only=False), b.column(3).flatten().to_numpy(zero_copy_only=False).astype(bool)
+        both = pair_hash(keys.view(np.uint64), np.repeat(ids, n))
+        self.all, self.hot = np.sort(both), np.sort(both[often])
+
+    def ask(self, keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = pair_hash(keys, docs)
+        return _in_sorted(self.all, both), _in_sorted(self.hot, both)
+
+
 PIECES = pa.schema([("k", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("piece", pa.string())])
 PIECES_DDL = "k long, doc long, start long, n int, piece string"
 
 
-def _pieces_part(length: int, gram: int, bits: int, sketch):
+def _pieces_part(length: int, gram: int, sketch=None):
+    """Pieces of the records' texts, by a sketch that was sent to the workers or by the rows' own marks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice, hot = sketch.value
         for b in batches:
+            marks = Marks(b) if sketch is None else None
             for text, bounds, doc, base in segments(b.column(0).to_numpy(zero_copy_only=False), b.column(1), length):
                 h = Hashes(code_points(text))
                 s, e, key, seg = minimizer_runs(h, bounds, length, gram)
-                may = np.ones(len(s), bool)
-                often = np.ones(len(s), bool)
-                for row in range(ROWS):
-                    c = cells(key, row, bits)
-                    may &= _has_bit(twice[row], c)
-                    often &= _in_sorted(hot[row], c)
+                may, often = sketch.value.ask(key) if marks is None else marks.ask(key, doc[seg])
                 s, e, key, seg, often = s[may], e[may], key[may], seg[may], often[may]
                 if len(s):
                     yield _piece_rows(text, h, s, e, key.view(np.int64), doc[seg], base[seg] - bounds[seg], often, length)
@@ -229,7 +331,12 @@ def _pieces_part(length: int, gram: int, bits: int, sketch):
 def _piece_rows(text: str, h: Hashes, s, e, key, doc, shift, often, length: int) -> pa.RecordBatch:
     """Rows of one chunk: equal pieces of several records are settled here (rows without text) and one copy goes on
     for others to find (doc null); every other piece goes on as it is."""
-    same = h.between(s, e + length - 1)
+    same = h.between(s, e + length - 1).astype(np.int64)
+    alike = np.flatnonzero(_several(same, doc)[0])
+    # equal hashes are held against each other as texts; what differs is a group of its own
+    exact = pd.factorize(np.array([text[x:y] for x, y in zip(s[alike].tolist(), (e[alike] + length - 1).tolist())], object))[0] if len(alike) else alike
+    same = np.arange(len(s)) + len(s)
+    same[alike] = exact
     settled, order, at = _several(same, doc)
     copy = order[at[settled[order[at]]]]
     alone = np.flatnonzero(~settled)
@@ -317,8 +424,10 @@ class Pieces:
         h = np.concatenate([_window_hashes(self.piece[a:b], length) for a, b in zip(cuts, [*cuts[1:], len(self.piece)])])
         of = np.repeat(np.arange(len(self.n)), self.n)
         first = np.cumsum(self.n) - self.n
-        shared = _several(h, self.who[of])[0] & (self.who[of] >= 0)
-        w = np.flatnonzero(shared)
+        w = np.flatnonzero(_several(h, self.who[of])[0])
+        if len(w):
+            w = w[_several(self._equal_texts(w, h[w], of, first, length), self.who[of[w]])[0]]
+            w = w[self.who[of[w]] >= 0]
         if not len(w):
             return w, w, w
         p = of[w]
@@ -328,6 +437,22 @@ class Pieces:
         return self.who[p[new]], at, at + (w[end] - w[new]) + length
 
 
+    def _equal_texts(self, w: np.ndarray, h: np.ndarray, of: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+        """A number per window ``w`` (with hash ``h``) by which windows are equal if and only if their texts are."""
+        order = np.argsort(h, kind="stable")
+        new = np.append(True, h[order][1:] != h[order][:-1])
+        group = np.empty(len(w), np.int64)
+        group[order] = np.cumsum(new) - 1
+        head = w[order[np.flatnonzero(new)]][group]
+        of_w, of_h = of[w], of[head]
+        at, at_h = w - first[of_w], head - first[of_h]
+        other: dict[tuple[int, str], int] = {}
+        for i, (p, a, q, b) in enumerate(zip(self.piece[of_w], at.tolist(), self.piece[of_h], at_h.tolist())):
+            if p[a : a + length] != q[b : b + length]:
+                group[i] = other.setdefault((int(group[i]), p[a : a + length]), len(w) + len(other))
+        return group
+
+
 def _window_hashes(pieces: np.ndarray, length: int) -> np.ndarray:
     lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
     g = Hashes(code_points("".join(pieces))).grams(length)
@@ -414,6 +539,12 @@ def _settle(length: int, limit: int = 400_000):
     return run
 
 
+def sketch_bits(size: int, length: int, gram: int) -> int:
+    """log2 of the cells of a row of the sketch for texts of ``size`` bytes: four cells for each minimizer that is to be expected."""
+    grams = 2 * size / (length - gram + 2)
+    return int(max(MIN_BITS, np.ceil(np.log2(4 * grams + 1))))
+
+
 def shared_runs(docs: DataFrame, id_col: str, text: str, length: int = 100, gram: int = 40) -> DataFrame:
     """(doc, start_pos, end_pos): maximal runs of positions that lie in ``length`` or more consecutive characters
     (code points, as they stand) that another record also holds.
@@ -423,10 +554,14 @@ def shared_runs(docs: DataFrame, id_col: str, text: str, length: int = 100, gram
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull() & (F.char_length(text) >= length)).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    grams = 2 * size / (length - gram + 2)
-    bits = int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(4 * grams + 1)))))
-    sketch = spark.sparkContext.broadcast(count_min(rows, length, gram, bits))
-    pieces = rows.mapInArrow(_pieces_part(length, gram, bits, sketch), PIECES_DDL)
+    bits = sketch_bits(size, length, gram)
+    sketch = count_min(rows, length, gram, bits)
+    if bits <= BROADCAST_BITS:
+        # at most 2^(BROADCAST_BITS - BLOCK_BITS) blocks of 16 kB
+        sent = spark.sparkContext.broadcast(Sketch([(r.block, bytes(r.twice), bytes(r.hot)) for r in sketch.collect()], bits))
+        pieces = rows.mapInArrow(_pieces_part(length, gram, sent), PIECES_DDL)
+    else:
+        pieces = marked(rows, cut(sketch), length, gram, bits).mapInArrow(_pieces_part(length, gram), PIECES_DDL)
     runs = pieces.repartition(shuffle_width(spark), "k").sortWithinPartitions("k", "piece").mapInArrow(_settle(length), RUNS_DDL)
     w = Window.partitionBy("doc").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     back = F.max("e").over(w)
