@@ -14,8 +14,8 @@ def test_descendants_below_loops(spark):
             want.add((p, i, n))
             p, n = parent[p], n + 1
     df = spark.createDataFrame(list(parent.items()), "id string, parent string")
-    for rounds in (0, 8):
-        placed = hierarchy(df, peel_rounds=rounds)
+    for last in (45, 65_536):
+        placed = hierarchy(df, last=last)
         got = [tuple(r) for r in descendants(placed, below_loops=True).collect()]
         assert len(got) == len(set(got)) and set(got) == want
         sizes = {r.id: r.subtree_size for r in placed.where("status <> 'loop'").collect()}

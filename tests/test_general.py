@@ -25,15 +25,15 @@ def brute_tops(parent):
     return out
 
 
-@pytest.mark.parametrize("rounds", [0, 2, 8])
-def test_hierarchy_random(spark, rounds):
-    rnd = random.Random(rounds)
+@pytest.mark.parametrize("last", [88, 200, 65_536])
+def test_hierarchy_random(spark, last):
+    rnd = random.Random(last)
     parent = {f"n{i:03d}": (f"n{rnd.randrange(i):03d}" if i and rnd.random() < 0.9 else None) for i in range(150)}
     parent |= {f"c{i}": f"c{(i + 1) % 5}" for i in range(5)} | {"self": "self", "t1": "c2", "t2": "t1", "t3": "t2", "ghosted": "nowhere"}
     parent |= {f"d{i:03d}": f"d{i - 1:03d}" if i else None for i in range(90)}
     want = brute_tops(parent)
     df = spark.createDataFrame(list(parent.items()), "id string, parent string")
-    got = {r.id: r for r in hierarchy(df, peel_rounds=rounds).collect()}
+    got = {r.id: r for r in hierarchy(df, last=last).collect()}
     assert set(got) == set(want)
     size = {i: 0 for i in got}
     for i, w in want.items():
@@ -48,8 +48,19 @@ def test_hierarchy_random(spark, rounds):
     assert got["c0"].status == "loop" and got["self"].status == "loop" and got["t3"].status == "into_loop"
     assert all(got[i].subtree_size == size[i] for i, w in want.items() if w[0] == "tree")
     assert [got[i].subtree_size for i in ("t1", "t2", "t3", "c0")] == [3, 2, 1, None]
-    pairs = descendants(hierarchy(df, peel_rounds=rounds))
+    pairs = descendants(hierarchy(df, last=last), below_loops=False)
     assert pairs.count() == sum(w[2] for w in want.values() if w[0] == "tree")
+    bare = {r.id: (r.top, r.depth, r.subtree_size, r.status) for r in hierarchy(df, paths=False, last=last).collect()}
+    assert bare == {i: (r.top, r.depth, r.subtree_size, r.status) for i, r in got.items()}
+
+
+def test_hierarchy_peeled_to_the_cycles(spark):
+    parent = {"top": None, "u1": "top", "u2": "u1", "u3": "u1", "a": "b", "b": "c", "c": "a", "self": "self", "t1": "c", "t2": "t1", "g": "ghost"}
+    want = brute_tops(parent)
+    for last in (0, 2, 100):
+        got = {r.id: r for r in hierarchy(spark.createDataFrame(list(parent.items()), "id string, parent string"), last=last).collect()}
+        assert {i: r.top for i, r in got.items()} == {i: w[1] for i, w in want.items()}
+        assert {i for i, r in got.items() if r.status == "loop"} == {"a", "b", "c", "self"} and got["t2"].below == ["t1", "t2"] and got["u3"].path == ["top", "u1", "u3"]
 
 
 def test_hierarchy_edges_dirt(spark):

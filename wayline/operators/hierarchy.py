@@ -1,11 +1,10 @@
 """Parent-child rows to full hierarchies.
 
-Leaves are peeled bottom-up; each peeled round sends subtree sizes to the parents.
-A tree as deep as a long chain would need one round per level, so peeling stops as
-soon as a round removes little: what is left (the thin core: long chains and cycles)
-is solved by pointer doubling, whose rounds grow with the logarithm of the depth.
-Peeled layers then get their paths in reverse peel order.  Descendants are the exploded
-paths, one row per pair, so no list of a large subtree is ever held in one row.
+Leaves are peeled bottom-up: each round every leaf tells its parent that it is gone and how large its
+subtree was, in one aggregation that is combined map-side, so a parent of very many children is no hot spot.  What
+no round can peel is cycles.  Layers then get their tops and paths in reverse peel order.  Once few nodes are
+left (at most LAST: the ends of the deepest chains), their remaining rounds run in one task.
+Descendants are the exploded paths, one row per pair, so no list of a large subtree is ever held in one row.
 
 The joins of the rounds ask for sort-merge: tables broadcast in one round would stay in the
 driver's memory for the rounds after it.
@@ -13,16 +12,19 @@ driver's memory for the rounds after it.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayline.operators.registers import connected
 from wayline.session import cut
 
-#: Peeling goes on while a round removes at least this share of the remaining nodes.
-PEEL_SHARE = 0.2
-PEEL_ROUNDS = 8
+#: Remaining nodes whose last rounds of peeling run in one task.
+LAST = 65_536
+STATE = "id string, parent string, has_row boolean, kids long, inner boolean, size long"
+PLACED = "id string, parent string, has_row boolean, inner boolean, top string, path array<string>, depth long, subtree_size long, status string"
 
 
 def edges(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
@@ -36,60 +38,51 @@ def edges(df: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     )
 
 
-def hierarchy(nodes: DataFrame, peel_share: float = PEEL_SHARE, peel_rounds: int = PEEL_ROUNDS) -> DataFrame:
+def hierarchy(nodes: DataFrame, paths: bool = True, last: int = LAST) -> DataFrame:
     """Place every node of ``nodes`` (id string unique, parent string or null).
 
     Returns id, parent, has_row (false for a parent that has no row of its own), top,
-    depth (0 at the top), path (array from top to the node), subtree_size (with the node)
-    and status: 'tree', 'loop' (on a cycle) or 'into_loop' (its ancestors reach a cycle).
+    depth (0 at the top), path (array from top to the node), subtree_size (with the node),
+    status: 'tree', 'loop' (on a cycle) or 'into_loop' (its ancestors reach a cycle), and below (for 'into_loop': the path from the first node under the cycle).
     On or below a cycle depth and path are null and top is the smallest id on the cycle; a node that
-    names itself is a cycle of one.  subtree_size is null on a cycle only.  An empty input gives an empty result.
+    names itself is a cycle of one.  subtree_size is null on a cycle only.  Without ``paths`` path and below are null.  An empty input gives an empty result.
     """
-    real = nodes.select("id", "parent", F.lit(True).alias("has_row"))
-    ghosts = (
-        nodes.where(F.col("parent").isNotNull()).select(F.col("parent").alias("id")).distinct()
-        .join((nodes.select("id")).hint("merge"), "id", "left_anti")
-        .select("id", F.lit(None).cast("string").alias("parent"), F.lit(False).alias("has_row"))
-    )
-    every = real.unionByName(ghosts)
-    kids = every.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids"))
-    active = cut(
-        every.join(kids.hint("merge"), "id", "left")
-        .select("id", "parent", "has_row", F.coalesce("kids", F.lit(0)).alias("kids"), (F.coalesce("kids", F.lit(0)) > 0).alias("inner"), F.lit(1).cast("long").alias("size"))
-    )
+    none = F.lit(None).cast("string")
+    said = nodes.select("id", "parent", F.lit(True).alias("has_row"), F.lit(0).alias("kids"))
+    told = nodes.where("parent is not null").select(F.col("parent").alias("id"), none.alias("parent"), F.lit(False).alias("has_row"), F.lit(1).alias("kids"))
+    every = said.unionByName(told).groupBy("id").agg(F.max("parent").alias("parent"), F.max("has_row").alias("has_row"), F.sum("kids").alias("kids"))
+    active = cut(every.select("id", "parent", "has_row", "kids", (F.col("kids") > 0).alias("inner"), F.lit(1).cast("long").alias("size")))
     layers: list[DataFrame] = []
-    left = active.count()
-    for _ in range(peel_rounds):
-        if not left:
-            break
-        leaves, rest = active.where("kids = 0"), active.where("kids > 0")
-        n = leaves.count()
-        if not n:
+    while True:
+        left, free = active.agg(F.count("*"), F.count(F.when(F.col("kids") == 0, 1))).first()
+        if left <= last or not free:
             break
-        layers.append(leaves.drop("kids"))
-        sent = leaves.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("gone"), F.sum("size").alias("sent"))
-        active = cut(
-            rest.join(sent.hint("merge"), "id", "left").select(
-                "id", "parent", "has_row", (F.col("kids") - F.coalesce("gone", F.lit(0))).alias("kids"), "inner",
-                (F.col("size") + F.coalesce("sent", F.lit(0))).alias("size"),
-            )
-        )
-        left -= n
-        if n < peel_share * (n + left):
-            break
-    placed = _core(active.drop("kids"), left)
-    parts = [placed]
+        leaves = active.where("kids = 0")
+        layers.append(leaves)
+        gone = leaves.where("parent is not null").select(F.col("parent").alias("id"), none.alias("parent"), F.lit(False).alias("has_row"), F.lit(-1).cast("long").alias("kids"), F.lit(False).alias("inner"), "size")
+        rest = active.where("kids > 0").unionByName(gone)
+        active = cut(rest.groupBy("id").agg(F.max("parent").alias("parent"), F.max("has_row").alias("has_row"), F.sum("kids").alias("kids"), F.max("inner").alias("inner"), F.sum("size").alias("size")))
+    if left <= last:
+        placed = active.coalesce(1).mapInPandas(_peel_rest(paths), PLACED)
+    else:
+        # cycles alone are left, each node's parent among them
+        ring = connected(active.select(F.col("id").alias("a"), F.col("parent").alias("b")))
+        placed = active.join(ring.select("id", F.col("root").alias("top")).hint("merge"), "id").select("id", "parent", "has_row", "inner", "top", F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("long").alias("subtree_size"), F.lit("loop").alias("status"))
+    parts = [cut(placed) if layers else placed]
+    empty = F.array().cast("array<string>")
     for layer in reversed(layers):
-        above = _union([p.where("inner") for p in parts]).select(F.col("id").alias("parent"), F.col("top").alias("p_top"), F.col("path").alias("p_path"), F.col("status").alias("p_status"))
+        above = _union([p.where("inner") for p in parts]).select(F.col("id").alias("parent"), F.col("top").alias("p_top"), F.col("path").alias("p_path"), F.col("depth").alias("p_depth"), F.col("status").alias("p_status"))
+        grown = F.concat(F.when(F.coalesce("p_status", F.lit("tree")) == "loop", empty).otherwise(F.coalesce("p_path", empty)), F.array("id")) if paths else F.lit(None).cast("array<string>")
         got = layer.join(above.hint("merge"), "parent", "left").select(
-            "id", "parent", "has_row", "inner",
-            F.coalesce("p_top", "id").alias("top"),
-            F.when(F.col("parent").isNull(), F.array("id")).when(F.col("p_path").isNotNull(), F.concat("p_path", F.array("id"))).alias("path"),
-            F.col("size").alias("subtree_size"),
+            "id", "parent", "has_row", "inner", F.coalesce("p_top", "id").alias("top"), grown.alias("path"),
+            F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.col("p_depth") + 1).cast("long").alias("depth"), F.col("size").alias("subtree_size"),
             F.when(F.coalesce("p_status", F.lit("tree")) == "tree", "tree").otherwise("into_loop").alias("status"),
         )
         parts.append(cut(got) if layer is not layers[0] else got)
-    return _union(parts).select("id", "parent", "has_row", "top", (F.size("path") - 1).cast("int").alias("depth"), "path", "subtree_size", "status").withColumn("depth", F.when(F.col("path").isNotNull(), F.col("depth")))
+    tree = F.col("status") == "tree"
+    return _union(parts).select(
+        "id", "parent", "has_row", "top", F.when(tree, F.col("depth")).cast("int").alias("depth"), F.when(tree, F.col("path")).alias("path"), "subtree_size", "status", F.when(F.col("status") == "into_loop", F.col("path")).alias("below"),
+    )
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -99,74 +92,60 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _core(core: DataFrame, n: int) -> DataFrame:
-    """Paths of the nodes that peeling left; ``core`` has id, parent, has_row, inner, size and
-    holds the parent of each of its nodes."""
-    none = F.array().cast("array<string>")
-    state = core.select("id", F.col("parent").alias("ptr"), F.when(F.col("parent").isNull(), none).otherwise(F.array("parent")).alias("up"))
-    open_n = n and core.where("parent is not null").count()
-    while open_n:
-        to = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("up").alias("up2"))
-        done, going = state.where("ptr is null"), state.where("ptr is not null")
-        state = cut(done.unionByName(going.join(to.hint("merge"), "ptr").select("id", F.col("ptr2").alias("ptr"), F.concat("up", "up2").alias("up"))))
-        now = state.where("ptr is not null").count()
-        # depths have no holes: a round that completes no node leaves cycles and what leads into them
-        if now == open_n:
-            break
-        open_n = now
-    ended = state.where("ptr is null").select("id", F.concat(F.reverse("up"), F.array("id")).alias("path"))
-    weight = ended.join((core.select("id", "size")).hint("merge"), "id").select(F.explode("path").alias("id"), "size").groupBy("id").agg(F.sum("size").alias("subtree_size"))
-    trees = (
-        ended.join(core.hint("merge"), "id").join(weight.hint("merge"), "id")
-        .select("id", "parent", "has_row", "inner", F.col("path")[0].alias("top"), "path", "subtree_size", F.lit("tree").alias("status"))
-    )
-    if not open_n:
-        return cut(trees)
-    walk = cut(core.join((state.where("ptr is not null").select("id")).hint("merge"), "id").select("id", "parent", F.col("parent").alias("ptr"), F.col("id").alias("low"), "has_row", "inner", "size"))
-    for _ in range(max(1, math.ceil(math.log2(open_n + 1)))):
-        to = walk.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"))
-        walk = cut(walk.join(to.hint("merge"), "ptr").select("id", "parent", F.col("ptr2").alias("ptr"), F.least("low", "low2").alias("low"), "has_row", "inner", "size"))
-    # 2^rounds steps end on the cycle, and every node of a cycle is the end of some walk
-    loop = walk.select(F.col("ptr").alias("id")).distinct().join((walk.select("id", F.col("low").alias("top"))).hint("merge"), "id")
-    rings = walk.join((loop.select(F.col("id").alias("ptr"), "top")).hint("merge"), "ptr").join((loop.select("id", F.lit(True).alias("on"))).hint("merge"), "id", "left")
-    # what leads into a cycle still has a finite subtree: sizes go down the pointers once more
-    sizes = _feeder_sizes(rings)
-    looped = rings.join(sizes.hint("merge"), "id", "left").select(
-        "id", "parent", "has_row", "inner", "top", F.lit(None).cast("array<string>").alias("path"),
-        F.when(F.col("on").isNull(), F.col("fed")).alias("subtree_size"),
-        F.when(F.col("on"), "loop").otherwise("into_loop").alias("status"),
-    )
-    return cut(trees.unionByName(looped))
-
-
-def _feeder_chains(tail: DataFrame, *more: str) -> DataFrame:
-    """(id, up, more): for nodes that lead into a cycle (id, parent, more) their chain of parents up to the cycle, the nearest first, by doubling."""
-    keep = tail.select(F.col("id").alias("parent"), F.lit(True).alias("tail_parent"))
-    state = cut(
-        tail.join(keep.hint("merge"), "parent", "left")
-        .select("id", F.when(F.col("tail_parent"), F.col("parent")).alias("ptr"), F.when(F.col("tail_parent"), F.array("parent")).otherwise(F.array().cast("array<string>")).alias("up"), *more)
-    )
-    while state.where("ptr is not null").limit(1).count():
-        to = state.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("up").alias("up2"))
-        done, going = state.where("ptr is null"), state.where("ptr is not null")
-        state = cut(done.unionByName(going.join(to.hint("merge"), "ptr").select("id", F.col("ptr2").alias("ptr"), F.concat("up", "up2").alias("up"), *more)))
-    return state.select("id", "up", *more)
-
-
-def _feeder_sizes(rings: DataFrame) -> DataFrame:
-    """Subtree sizes of the nodes that lead into a cycle."""
-    chains = _feeder_chains(rings.where("on is null").select("id", "parent", "size"), "size")
-    return chains.select(F.explode(F.concat("up", F.array("id"))).alias("id"), "size").groupBy("id").agg(F.sum("size").alias("fed"))
-
-
-def descendants(placed: DataFrame, below_loops: bool = False) -> DataFrame:
-    """(ancestor, id, distance): every node below every node, for nodes with a finite path; with ``below_loops`` also
-    among the nodes that lead into a cycle.  The nodes on a cycle have no subtree and are in no pair."""
-    pairs = placed.where("path is not null").select("id", "depth", F.posexplode("path").alias("at", "ancestor")).where("ancestor <> id").select("ancestor", "id", (F.col("depth") - F.col("at")).alias("distance"))
-    if not below_loops:
-        return pairs
-    chains = _feeder_chains(placed.where("status = 'into_loop'").select("id", "parent"))
-    return pairs.unionByName(chains.select("id", F.posexplode("up").alias("at", "ancestor")).select("ancestor", "id", (F.col("at") + 1).alias("distance")))
+def _peel_rest(paths: bool):
+    """The remaining rounds over all rows of STATE: one task's rows, each node's parent among them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        if not frames:
+            return
+        x = pd.concat(frames, ignore_index=True)
+        at = {k: i for i, k in enumerate(x["id"])}
+        up = [at[p] if isinstance(p, str) else -1 for p in x["parent"]]
+        kids, size = x["kids"].tolist(), x["size"].tolist()
+        order = [i for i, k in enumerate(kids) if k == 0]
+        for i in order:  # grows as parents become leaves
+            p = up[i]
+            if p >= 0:
+                kids[p] -= 1
+                size[p] += size[i]
+                if kids[p] == 0:
+                    order.append(p)
+        n = len(x)
+        top: list = [None] * n
+        path: list = [None] * n
+        depth: list = [None] * n
+        status: list = [None] * n
+        for i in range(n):
+            if kids[i] > 0 and status[i] is None:
+                ring = [i]
+                while up[ring[-1]] != i:
+                    ring.append(up[ring[-1]])
+                low = min(x["id"].iat[k] for k in ring)
+                for k in ring:
+                    top[k], status[k], size[k] = low, "loop", None
+        names = x["id"].tolist()
+        for i in reversed(order):
+            p = up[i]
+            loose = p >= 0 and status[p] != "tree"
+            top[i], status[i] = (names[i] if p < 0 else top[p]), ("into_loop" if loose else "tree")
+            depth[i] = 0 if p < 0 else None if loose else depth[p] + 1
+            if paths:
+                path[i] = [*(path[p] or ()), names[i]] if p >= 0 else [names[i]]
+        out = x[["id", "parent", "has_row", "inner"]].assign(top=top, path=path)
+        out["depth"], out["subtree_size"], out["status"] = pd.array(depth, "Int64"), pd.array(size, "Int64"), status
+        for a in range(0, n, 4096):
+            yield out.iloc[a : a + 4096]
+
+    return run
+
+
+def descendants(placed: DataFrame, below_loops: bool = True) -> DataFrame:
+    """(ancestor, id, distance): every node below every node, also among the nodes that lead into a cycle (without ``below_loops``: for
+    nodes with a finite path only).  The nodes on a cycle have no subtree and are in no pair."""
+    chain = F.coalesce("path", "below") if below_loops else F.col("path")
+    x = placed.select("id", chain.alias("chain")).where("size(chain) > 1")
+    return x.select("id", F.size("chain").alias("n"), F.posexplode("chain").alias("at", "ancestor")).where("at < n - 1").select("ancestor", "id", (F.col("n") - 1 - F.col("at")).alias("distance"))
 
 
 def latest(df: DataFrame, key: str, order: str, *values: str) -> DataFrame:

@@ -17,14 +17,14 @@ GAP_MS = 6 * 3600 * 1000
 NEAR_M = 300.0
 
 
-def _placed(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy(edges(table(spark, d, "spans"), "id", "parent"))
+def _placed(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    return hierarchy(edges(table(spark, d, "spans"), "id", "parent"), paths)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Spans whose recorded root isn't their top, or whose parents never end."""
     roots = latest(table(spark, d, "spans").where("id is not null and id <> ''"), "id", "seq", "root")
-    tree = _placed(spark, d).where("has_row").join(roots, "id")
+    tree = _placed(spark, d, paths=False).where("has_row").join(roots, "id")
     return tree.where("status <> 'tree' or root <> top").select("id", F.col("top").alias("top_id"))
 
 
@@ -34,13 +34,8 @@ def p1_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """All spans below each span."""
-    return descendants(_placed(spark, d))
-
-
-def p1_below(spark: SparkSession, d: str) -> DataFrame:
     """All spans below each span, those that hang below a loop too."""
-    return descendants(_placed(spark, d), below_loops=True)
+    return descendants(_placed(spark, d))
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +93,7 @@ def p5_province(spark: SparkSession, d: str) -> DataFrame:
     return region_of(item_points(spark, d), regions).select(F.col("id").alias("item"), F.col("region").alias("prov"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_descendants, p1_below, p2_found, p2_grid, p3_found, p3_periods, p5_found, p5_province)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_descendants, p2_found, p2_grid, p3_found, p3_periods, p5_found, p5_province)}
 
 _SPANS = """edge as (select id, min(case when parent <> '' then parent end) as parent from spans where id <> '' group by id)"""
 _WALK = f"""with recursive {_SPANS},
@@ -141,11 +136,7 @@ low as (select up.id, min(up.cur) as top from up join ring r on r.id = up.cur gr
 select e.id, coalesce(d.top, low.top) as top_id, cast(d.depth as int) as depth, coalesce(d.path, '') as path, case when r.id is null then 1 + coalesce(b.n, 0) end as subtree_size,
   case when d.id is not null then 'tree' when r.id is not null then 'loop' else 'into_loop' end as status
 from edge e left join down d on d.id = e.id left join ring r on r.id = e.id left join low on low.id = e.id left join below b on b.cur = e.id""",
-    "p1_descendants": f"""with recursive {_SPANS},
-up(id, cur, n) as (select id, parent, 1 from edge where parent is not null
-  union all select up.id, e.parent, n + 1 from up join edge e on e.id = up.cur where e.parent is not null and n < 400)
-select cur as ancestor, id, cast(n as int) as distance from up where id not in (select id from up where n >= 400)""",
-    "p1_below": _WALK + """pairs(id, cur, n) as (select id, parent, 1 from edge where parent is not null and id not in (select id from ring) and parent not in (select id from ring)
+    "p1_descendants": _WALK + """pairs(id, cur, n) as (select id, parent, 1 from edge where parent is not null and id not in (select id from ring) and parent not in (select id from ring)
   union all select p.id, e.parent, n + 1 from pairs p join edge e on e.id = p.cur where e.parent is not null and e.parent not in (select id from ring))
 select cur as ancestor, id, cast(n as int) as distance from pairs""",
     "p2_found": "with " + _SAMPLE + """select m.mac, m.slot, f.field from minutes m cross join (values ('load'), ('memfree'), ('swap')) f(field)
