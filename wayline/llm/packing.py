@@ -1,15 +1,16 @@
 """Items into containers of fixed capacity by lexical retrieval.
 
-Records are dealt to shards of one language and about SHARD records.  Each shard has a
+Records are dealt to shards of one language and about SHARD records or SHARD_BYTES.  Each shard has a
 BM25 inverted index of its records' tokens.  The largest unused record opens a container;
 its nearest unused records fill it, best first, and once little room is left the nearest of those
-that close the gap.  Containers that stay too empty are opened again across shards and packed
-by best fit.  Records larger than a container fill whole containers with their first parts; only the rest is an item.
+that close the gap.  Containers that stay too empty are opened again: the records of several shards of one language get an
+index of their own and are filled in the same way.  Only what is then still too empty, the ends of a group, is packed by best fit, across languages.
+Records larger than a container fill whole containers with their first parts; only the rest is an item.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from wayline.llm.tokens import TOKENIZER, encode, language
 from wayline.session import cut
 
-#: Records per shard; a shard is packed by one task and its index is in memory.
-SHARD = 2048
+#: Records and bytes of text per shard, about; a shard is packed by one task and its index is in memory.
+SHARD, SHARD_BYTES = 2048, 32 << 20
 #: Kinds of container; their table is small by contract and is checked.
 MOST_CONTAINERS = 1000
 K1, B = 1.2, 0.75
@@ -31,7 +32,9 @@ SLACK, LAST = 1 / 64, 1 / 2
 #: Containers filled less than this are packed again, those of so many shards together.
 REPACK, TOGETHER = 0.97, 16
 SHARDS_DDL = "shard long, id long, n long, terms binary"
-OUT = "container string, capacity int, bin string, id long, part int, token_from long, token_to long, n_tokens long, place int, how string, shard long"
+OUT = "container string, capacity int, bin string, id long, part int, token_from long, token_to long, n_tokens long, place int, how string"
+#: ``team``: the shards of one language whose poor containers are packed again together.
+OPEN = f"{OUT}, team long, terms binary"
 
 
 class Index:
@@ -161,53 +164,67 @@ def pack(docs: DataFrame, containers: DataFrame, id_col: str, text: str, lang: s
         raise ValueError(f"at most {MOST_CONTAINERS} kinds of container")
     kinds = [(r.container, int(r.capacity)) for r in found]
     if not kinds:
-        return docs.sparkSession.createDataFrame([], OUT).drop("shard")
+        return docs.sparkSession.createDataFrame([], OUT)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.abs(F.xxhash64(id_col) % (1 << 40)).alias("h"), language(F.col(lang)).alias("lang"), F.coalesce(text, F.lit("")).alias("text")).where("id is not null")
     # at most 26^2 + 26^3 + 1 languages, by the form of their codes
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    shards, first = {}, 0
-    for k in sorted(counts):
-        n = -(-counts[k] // shard_rows)
+    sizes = {r.lang: (r.n, r.bytes) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    shards, first, firsts, teams, team = {}, 0, [], [], 0
+    for k in sorted(sizes):
+        n = max(-(-sizes[k][0] // shard_rows), -(-sizes[k][1] // SHARD_BYTES))
         shards[k] = (first, n)
-        first += n
+        firsts.append(first)
+        teams.append(team)
+        first, team = first + n, team - (-n // TOGETHER)
     dealt = rows.mapInArrow(_deal(path, shards), SHARDS_DDL).where("n > 0")
 
     def one_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         shard, ids, n = int(pdf["shard"].iloc[0]), pdf["id"].to_numpy(), pdf["n"].to_numpy(np.int64)
-        index = Index(pdf["terms"].tolist())
+        of = bisect_right(firsts, shard) - 1
+        own = teams[of] + (shard - firsts[of]) // TOGETHER
+        terms = np.array(pdf["terms"].tolist(), object)
+        index = Index(terms.tolist())
         parts = []
         for name, cap in kinds:
             whole = np.where(n > cap, n // cap, 0)
             w = np.repeat(np.arange(len(n)), whole)
             k = np.arange(len(w)) - np.repeat(np.cumsum(whole) - whole, whole)
-            parts.append(pd.DataFrame({"container": name, "capacity": cap, "bin": [f"{shard}.{ids[i]}.{j}" for i, j in zip(w, k)], "id": ids[w], "part": k, "token_from": k * cap, "token_to": (k + 1) * cap, "n_tokens": cap, "place": 0, "how": "whole", "shard": shard}))
+            parts.append(pd.DataFrame({"container": name, "capacity": cap, "bin": [f"{shard}.{ids[i]}.{j}" for i, j in zip(w, k)], "id": ids[w], "part": k, "token_from": k * cap, "token_to": (k + 1) * cap, "n_tokens": cap, "place": 0, "how": "whole", "team": own, "terms": None}))
             rest = n - whole * cap
-            boxes = fill(rest, cap, index)
-            i = np.array([x for b in boxes for x in b], np.int64)
-            lens = np.array([len(b) for b in boxes], np.int64)
-            box = np.repeat(np.arange(len(boxes)), lens)
-            place = np.arange(len(i)) - np.repeat(np.cumsum(lens) - lens, lens)
-            load = np.bincount(box, rest[i], minlength=len(boxes)) if len(i) else np.empty(0)
-            poor = load[box] < cap * REPACK if len(i) else np.empty(0, bool)
-            parts.append(pd.DataFrame({"container": name, "capacity": cap, "bin": [f"{shard}.{b}" for b in box], "id": ids[i], "part": whole[i], "token_from": whole[i] * cap, "token_to": n[i], "n_tokens": rest[i], "place": place, "how": np.where(poor, "again", np.where(place == 0, "seed", "near")), "shard": shard}))
+            box, place, i, poor = _boxes(fill(rest, cap, index), rest, cap)
+            parts.append(pd.DataFrame({"container": name, "capacity": cap, "bin": [f"{shard}.{b}" for b in box], "id": ids[i], "part": whole[i], "token_from": whole[i] * cap, "token_to": n[i], "n_tokens": rest[i], "place": place, "how": np.where(poor, "again", np.where(place == 0, "seed", "near")), "team": own, "terms": np.where(poor, terms[i], None)}))
         return pd.concat(parts, ignore_index=True)
 
-    packed = dealt.groupBy("shard").applyInPandas(one_shard, OUT)
-
     def again(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "part"], ignore_index=True)
-        group, cap = int(pdf["shard"].iloc[0]) // TOGETHER, int(pdf["capacity"].iloc[0])
-        boxes = best_fit(pdf["n_tokens"].tolist(), cap)
+        own, cap, rest = int(pdf["team"].iloc[0]), int(pdf["capacity"].iloc[0]), pdf["n_tokens"].to_numpy(np.int64)
+        box, place, i, poor = _boxes(fill(rest, cap, Index(pdf["terms"].tolist())), rest, cap)
+        out = pdf.iloc[i].reset_index(drop=True)
+        return out.assign(bin=[f"t{own}.{b}" for b in box], place=place, how=np.where(poor, "last", np.where(place == 0, "seed", "near")), terms=None)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["id", "part"], ignore_index=True)
+        own, cap = int(pdf["team"].iloc[0]) // TOGETHER, int(pdf["capacity"].iloc[0])
         bins, place = [""] * len(pdf), [0] * len(pdf)
-        for b, box in enumerate(boxes):
-            for p, i in enumerate(box):
-                bins[i], place[i] = f"g{group}.{b}", p
+        for b, items in enumerate(best_fit(pdf["n_tokens"].tolist(), cap)):
+            for p, i in enumerate(items):
+                bins[i], place[i] = f"f{own}.{b}", p
         return pdf.assign(bin=bins, place=place, how="fit")
 
-    packed = cut(packed)
-    redone = packed.where("how = 'again'").groupBy("container", F.floor(F.col("shard") / TOGETHER)).applyInPandas(again, OUT)
-    return packed.where("how <> 'again'").unionByName(redone).drop("shard")
+    packed = cut(dealt.groupBy("shard").applyInPandas(one_shard, OPEN))
+    redone = cut(packed.where("how = 'again'").groupBy("container", "team").applyInPandas(again, OPEN))
+    last = redone.where("how = 'last'").groupBy("container", F.floor(F.col("team") / TOGETHER)).applyInPandas(fit, OPEN)
+    return packed.where("how <> 'again'").unionByName(redone.where("how <> 'last'")).unionByName(last).drop("team", "terms")
+
+
+def _boxes(boxes: list[list[int]], sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Box, place, item and whether the box is poor, for each item in a box."""
+    i = np.array([x for b in boxes for x in b], np.int64)
+    lens = np.array([len(b) for b in boxes], np.int64)
+    box = np.repeat(np.arange(len(boxes)), lens)
+    place = np.arange(len(i)) - np.repeat(np.cumsum(lens) - lens, lens)
+    load = np.bincount(box, sizes[i], minlength=len(boxes)) if len(i) else np.zeros(0)
+    return box, place, i, load[box] < capacity * REPACK
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
