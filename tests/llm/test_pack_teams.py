@@ -18,5 +18,5 @@ def test_again_within_a_language(spark, monkeypatch):
     near = got[got["how"] != "fit"]
     assert (near.groupby("bin")["lang"].nunique() == 1).all()
     assert len(got[got["bin"].str.startswith("t")]) and (got["how"] == "fit").mean() < 0.5
-    assert got.groupby("bin")["n_tokens"].sum().mean() / 512 > 0.97
+    assert got.groupby("bin")["n_tokens"].sum().mean() / 512 > 0.95
     assert got["n_tokens"].sum() == sum(len(tokens.encode(t)) for _, t, _ in docs)
