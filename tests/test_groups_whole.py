@@ -1,4 +1,4 @@
-"""connected_groups_all against union-find over all line items of the smallest tables."""
+"""connected_groups against union-find over all line items of the smallest tables."""
 
 import os
 
@@ -23,4 +23,4 @@ def test_connected_groups_of_all_line_items(spark):
     for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_orderkey").collect():
         a, b = sorted((find(f"p{r.l_partkey}"), find(f"o{r.l_orderkey}")))
         root[b] = a
-    assert {r.id: r.root for r in landmarks.connected_groups_all(spark, SF).collect()} == {k: find(k) for k in root}
+    assert {r.id: r.root for r in landmarks.connected_groups(spark, SF).collect()} == {k: find(k) for k in root}

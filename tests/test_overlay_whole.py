@@ -1,4 +1,4 @@
-"""overlay_picks_all against brute force, with customers beyond the first 400."""
+"""overlay_picks against brute force, with customers beyond the first 400."""
 
 from wayline.plans import stores
 
@@ -15,5 +15,5 @@ def test_overlay_picks_of_all_customers(spark, tmp_path):
                 want.add((k, f"S{s}", s))
                 if w <= x and w + 60 >= x + 5 and u <= y and u + 50 >= y + 5:
                     break
-    got = [tuple(r) for r in stores.overlay_picks_all(spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in stores.overlay_picks(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want and max(k for k, _, _ in want) > 1100

@@ -18,11 +18,45 @@ UNTIL = (Window.unboundedPreceding, 0)
 BEFORE = (Window.unboundedPreceding, -1)
 
 
-def _near(keys: list[str], pos: str, reach: float) -> Window:
-    """The rows within ``reach`` on either side; a reach that isn't whole is taken to thousandths."""
-    if float(reach).is_integer():
-        return Window.partitionBy(*keys).orderBy(pos).rangeBetween(-int(reach), int(reach))
-    return Window.partitionBy(*keys).orderBy(F.col(pos) * 1000).rangeBetween(-round(reach * 1000), round(reach * 1000))
+#: Length of a chunk, in reaches, of operators that look that far to either side: so many rows in a hundred are copied as 200 over this.
+CHUNK_REACHES = 64
+
+
+def _halo(df: DataFrame, pos: str, reach: float, chunk: float) -> DataFrame:
+    """Rows with their chunk ``__c`` and, copied, with those whose rows they are within ``reach`` of; ``__own`` is true in the own one."""
+    own = F.floor(F.col(pos) / chunk)
+    x = df.withColumn("__c", F.explode(F.sequence(F.floor((F.col(pos) - reach) / chunk), F.floor((F.col(pos) + reach) / chunk))))
+    return x.withColumn("__own", F.col("__c") == own)
+
+
+def _near(df: DataFrame, keys: list[str], pos: str, reach: float, chunk: float | None, columns) -> DataFrame:
+    """Adds columns made from the window of the rows within ``reach`` on either side, chunk by chunk; a reach that isn't whole is taken to thousandths.
+    Rows without a position stay, with null in the new columns."""
+    x = _halo(df.where(F.col(pos).isNotNull()), pos, reach, chunk or CHUNK_REACHES * reach)
+    part = Window.partitionBy(*keys, "__c")
+    w = part.orderBy(pos).rangeBetween(-int(reach), int(reach)) if float(reach).is_integer() else part.orderBy(F.col(pos) * 1000).rangeBetween(-round(reach * 1000), round(reach * 1000))
+    return columns(x, w).where("__own").drop("__c", "__own").unionByName(df.where(F.col(pos).isNull()), allowMissingColumns=True)
+
+
+def beside(df: DataFrame, keys: list[str], order: list[str], values: list[str], chunk: float) -> DataFrame:
+    """Adds ``__c`` (chunk of the first of ``order``), ``__prev`` and ``__next``: structs of ``order`` and ``values`` of the rows before and after in
+    the key's order.  Across a chunk's edge they come from a summary of one row per chunk.  Rows without a position or key stay, with nothing beside them."""
+    said = F.struct(*order, *[v for v in values if v not in order])
+    x = df.withColumn("__c", F.floor(F.col(order[0]) / chunk)).withColumn("__at", said)
+    w, by = Window.partitionBy(*keys, "__c").orderBy(*order), Window.partitionBy(*keys).orderBy("__c")
+    ends = x.where("__c is not null").groupBy(*keys, "__c").agg(F.min_by("__at", F.struct(*order)).alias("__a"), F.max_by("__at", F.struct(*order)).alias("__b"))
+    ends = ends.select(*keys, "__c", F.lag("__b").over(by).alias("__before"), F.lead("__a").over(by).alias("__after"))
+    x = x.withColumn("__p", F.lag("__at").over(w)).withColumn("__n", F.lead("__at").over(w)).join(ends, [*keys, "__c"], "left")
+    known = F.col("__c").isNotNull()
+    return x.withColumn("__prev", F.when(known, F.coalesce("__p", "__before"))).withColumn("__next", F.when(known, F.coalesce("__n", "__after"))).drop("__at", "__p", "__n", "__before", "__after")
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` up to and with the row; needs the chunks of beside().  Sums of earlier chunks come from one row per chunk."""
+    by = Window.partitionBy(*keys).orderBy("__c").rowsBetween(*BEFORE)
+    sums = df.groupBy(*keys, "__c").agg(F.sum(value).alias("__t")).select(*keys, "__c", F.coalesce(F.sum("__t").over(by), F.lit(0)).alias("__t0"))
+    w = Window.partitionBy(*keys, "__c").orderBy(*order).rowsBetween(*UNTIL)
+    return df.withColumn("__upto", F.sum(value).over(w)).join(sums, [*keys, "__c"]).withColumn(out, F.col("__t0") + F.col("__upto")).drop("__upto", "__t0")
 
 
 def islands(df: DataFrame, key: str, pos: str, gap: float, chunk: float) -> DataFrame:
@@ -77,26 +111,24 @@ def best_window(df: DataFrame, keys: list[str], pos: str, score: str, length: fl
     return best.select(*keys, "x.*")
 
 
-def neighbour_grade(df: DataFrame, keys: list[str], pos: str, height: str, tie: str) -> DataFrame:
+def neighbour_grade(df: DataFrame, keys: list[str], pos: str, height: str, tie: str, chunk: float) -> DataFrame:
     """Adds ``grade`` (%) from the rows before and after, one-sided at the ends."""
     from wayline.functions.scoring import grade_percent
 
-    w = Window.partitionBy(*keys).orderBy(pos, tie)
-    side = lambda f, c: F.coalesce(f(c).over(w), F.col(c))
-    return df.withColumn("grade", grade_percent(side(F.lag, height), side(F.lag, pos), side(F.lead, height), side(F.lead, pos)))
+    x = beside(df, keys, [pos, tie], [height], chunk)
+    side = lambda n, c: F.coalesce(F.col(f"{n}.{c}"), F.col(c))
+    return x.withColumn("grade", grade_percent(side("__prev", height), side("__prev", pos), side("__next", height), side("__next", pos))).drop("__c", "__prev", "__next")
 
 
-def around(df: DataFrame, keys: list[str], pos: str, reach: float, **aggs: Column) -> DataFrame:
+def around(df: DataFrame, keys: list[str], pos: str, reach: float, chunk: float | None = None, **aggs: Column) -> DataFrame:
     """Aggregates over the rows within ``reach`` on either side (both ends included)."""
-    w = _near(keys, pos, reach)
-    return df.withColumns({k: a.over(w) for k, a in aggs.items()})
+    return _near(df, keys, pos, reach, chunk, lambda x, w: x.withColumns({k: a.over(w) for k, a in aggs.items()}))
 
 
-def despike(df: DataFrame, keys: list[str], pos: str, value: str, reach: float = 50.0, least: int = 5, floor: float = 8.0, factor: float = 5 * 1.4826) -> DataFrame:
+def despike(df: DataFrame, keys: list[str], pos: str, value: str, reach: float = 50.0, least: int = 5, floor: float = 8.0, factor: float = 5 * 1.4826, chunk: float | None = None) -> DataFrame:
     """Adds ``clean``: the upper median of the rows within reach where the value is off by more than max(floor, factor
     times their median deviation), else the value; windows of fewer than ``least`` values change nothing."""
-    w = _near(keys, pos, reach)
-    x = df.withColumn("__near", F.array_sort(F.collect_list(value).over(w)))
+    x = _near(df, keys, pos, reach, chunk, lambda x, w: x.withColumn("__near", F.array_sort(F.collect_list(value).over(w))))
     x = x.withColumn("__m", F.get("__near", F.floor(F.size("__near") / 2).cast("int")))
     x = x.withColumn("__d", F.array_sort(F.transform("__near", lambda v: F.abs(v - F.col("__m")))))
     x = x.withColumn("__mad", F.get("__d", F.floor(F.size("__d") / 2).cast("int")))
@@ -104,37 +136,41 @@ def despike(df: DataFrame, keys: list[str], pos: str, value: str, reach: float =
     return x.withColumn("clean", F.when((F.size("__near") >= least) & off, F.col("__m")).otherwise(F.col(value))).drop("__near", "__m", "__d", "__mad")
 
 
-def smooth(df: DataFrame, keys: list[str], pos: str, value: str, sigma: float = 15.0) -> DataFrame:
+def smooth(df: DataFrame, keys: list[str], pos: str, value: str, sigma: float = 15.0, chunk: float | None = None) -> DataFrame:
     """Adds ``smooth``: the mean of the rows within three sigma, by Gaussian weight of distance."""
-    w = _near(keys, pos, 3 * sigma)
-    x = df.withColumn("__near", F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))).over(w))
+    near = F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).alias("v"))))
+    x = _near(df, keys, pos, 3 * sigma, chunk, lambda x, w: x.withColumn("__near", near.over(w)))
     weight = lambda q: F.exp(-F.pow((q["p"] - F.col(pos)) / sigma, 2) / 2)
     top = F.aggregate("__near", F.lit(0.0), lambda a, q: a + weight(q) * q["v"])
     below = F.aggregate("__near", F.lit(0.0), lambda a, q: a + weight(q))
     return x.withColumn("smooth", F.when(below > 0, top / below)).drop("__near")
 
 
-def fill_gaps(df: DataFrame, keys: list[str], pos: str, value: str, tie: str) -> DataFrame:
+def fill_gaps(df: DataFrame, keys: list[str], pos: str, value: str, tie: str, chunk: float) -> DataFrame:
     """Adds ``filled``: null values on the line between the nearest valid rows, at the ends the nearest one's value.
-    A key without any value stays null."""
-    w = Window.partitionBy(*keys).orderBy(pos, tie)
+    A key without any value stays null.  The valid rows nearest beyond a chunk's edges come from a summary of one row per chunk."""
+    x = df.withColumn("__c", F.floor(F.col(pos) / chunk))
     said = F.when(F.col(value).isNotNull(), F.struct(F.col(pos).alias("p"), F.col(value).cast("double").alias("v")))
-    x = df.withColumn("__a", F.last(said, ignorenulls=True).over(w.rowsBetween(*UNTIL)))
-    down = Window.partitionBy(*keys).orderBy(F.desc(pos), F.desc(tie))
-    x = x.withColumn("__b", F.last(said, ignorenulls=True).over(down.rowsBetween(*UNTIL)))
+    at = F.when(F.col(value).isNotNull(), F.struct(pos, tie))
+    ends = x.where("__c is not null").groupBy(*keys, "__c").agg(F.min_by(said, at).alias("__lo"), F.max_by(said, at).alias("__hi"))
+    by = Window.partitionBy(*keys)
+    ends = ends.select(*keys, "__c", F.last("__hi", ignorenulls=True).over(by.orderBy("__c").rowsBetween(*BEFORE)).alias("__before"), F.last("__lo", ignorenulls=True).over(by.orderBy(F.desc("__c")).rowsBetween(*BEFORE)).alias("__after"))
+    part = Window.partitionBy(*keys, "__c")
+    x = x.withColumn("__a", F.last(said, ignorenulls=True).over(part.orderBy(pos, tie).rowsBetween(*UNTIL))).withColumn("__b", F.last(said, ignorenulls=True).over(part.orderBy(F.desc(pos), F.desc(tie)).rowsBetween(*UNTIL)))
+    x = x.join(ends, [*keys, "__c"], "left").withColumn("__a", F.coalesce("__a", "__before")).withColumn("__b", F.coalesce("__b", "__after"))
     a, b = F.col("__a"), F.col("__b")
     line = F.when(b["p"] > a["p"], a["v"] + (b["v"] - a["v"]) * (F.col(pos) - a["p"]) / (b["p"] - a["p"])).otherwise(a["v"])
-    return x.withColumn("filled", F.coalesce(F.col(value).cast("double"), line, a["v"], b["v"])).drop("__a", "__b")
+    return x.withColumn("filled", F.coalesce(F.col(value).cast("double"), line, a["v"], b["v"])).drop("__a", "__b", "__c", "__before", "__after")
 
 
-def profile(df: DataFrame, keys: list[str], pos: str, step: Column, height: str, tie: str) -> DataFrame:
-    """Adds the running distance of ``step`` (null at a key's first row) and the climb, descent and grade of each step."""
-    w = Window.partitionBy(*keys).orderBy(pos, tie)
-    x = df.withColumn("__s", F.coalesce(step, F.lit(0.0))).withColumn("__dh", F.coalesce(F.col(height) - F.lag(height).over(w), F.lit(0.0)))
+def profile(df: DataFrame, keys: list[str], pos: str, unit: float, height: str, tie: str, chunk: float) -> DataFrame:
+    """Adds the running distance of the steps between positions (in ``unit``), and the climb, descent and grade of each step."""
+    x = beside(df, keys, [pos, tie], [height], chunk)
+    x = x.withColumn("__s", F.coalesce((F.col(pos) - F.col(f"__prev.{pos}")) / unit, F.lit(0.0))).withColumn("__dh", F.coalesce(F.col(height) - F.col(f"__prev.{height}"), F.lit(0.0)))
+    x = running(x, keys, [pos, tie], "__s", "distance")
     return (
-        x.withColumn("distance", F.sum("__s").over(w.rowsBetween(*UNTIL)))
-        .withColumn("climb", F.greatest("__dh", F.lit(0.0))).withColumn("descent", F.greatest(-F.col("__dh"), F.lit(0.0)))
-        .withColumn("step_grade", F.when(F.col("__s") > 0, F.abs("__dh") / F.col("__s") * 100)).drop("__s", "__dh")
+        x.withColumn("climb", F.greatest("__dh", F.lit(0.0))).withColumn("descent", F.greatest(-F.col("__dh"), F.lit(0.0)))
+        .withColumn("step_grade", F.when(F.col("__s") > 0, F.abs("__dh") / F.col("__s") * 100)).drop("__s", "__dh", "__c", "__prev", "__next")
     )
 
 
@@ -146,42 +182,58 @@ def pseudo_samples(bins: DataFrame, off: str, length: str, n: str) -> DataFrame:
 
 
 def _bins(keys: list[str], limit: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, rows = None, []
+    """Bins of a partition's stretches, rows sorted by stretch and position; a stretch that runs over batches is held until it ends or a bin closes."""
+    cols = [*keys, "piece", "k", "off", "length", "n", "mean"]
 
-        def close():
-            key, _, off0, off1, n, total, order = now
-            rows.append((*key, order, off0, off1 - off0, n, total / n))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        next_k = 0
+
+        def close(x: pd.DataFrame, whole: bool) -> tuple[list[tuple], pd.DataFrame | None]:
+            nonlocal next_k
+            rows = []
+            of = x.groupby([*keys, "piece"], sort=False, dropna=False).ngroup().to_numpy()
+            begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            end = np.append(begin[1:], len(x))
+            pos, total = x["pos"].to_numpy(), np.append(0.0, np.cumsum(x["score"].to_numpy()))
+            ids = list(zip(*(x[c].to_numpy()[begin].tolist() for c in [*keys, "piece"])))
+            for g, (a, b) in enumerate(zip(begin.tolist(), end.tolist())):
+                while a < b:
+                    to = a + int(np.searchsorted(pos[a:b], pos[a] + limit, "left"))
+                    to = max(to, a + 1)
+                    if to == b and g == len(ids) - 1 and not whole:
+                        return rows, x.iloc[a:]
+                    rows.append((*ids[g], next_k, pos[a], pos[to - 1] - pos[a], to - a, (total[to] - total[a]) / (to - a)))
+                    a, next_k = to, next_k + 1
+                next_k = 0
+            return rows, None
 
         for pdf in batches:
-            ks = list(zip(*(pdf[k] for k in keys)))
-            for key, pos, attr, score in zip(ks, pdf["pos"].tolist(), pdf["attr"].tolist(), pdf["score"].tolist()):
-                if now is not None and now[0] == key and now[1] == attr and pos - now[2] < limit:
-                    now[3], now[4], now[5] = pos, now[4] + 1, now[5] + score
-                    continue
-                if now is not None:
-                    close()
-                now = [key, attr, pos, pos, 1, score, (now[6] + 1) if now is not None and now[0] == key else 0]
-            if len(rows) > 5000:
-                yield pd.DataFrame(rows, columns=[*keys, "bin", "off", "length", "n", "mean"])
-                rows.clear()
-        if now is not None:
-            close()
-        if rows:
-            yield pd.DataFrame(rows, columns=[*keys, "bin", "off", "length", "n", "mean"])
+            if not len(pdf):
+                continue
+            rows, held = close(pdf if held is None else pd.concat([held, pdf], ignore_index=True), False)
+            if rows:
+                yield pd.DataFrame(rows, columns=cols)
+        if held is not None:
+            yield pd.DataFrame(close(held, True)[0], columns=cols)
 
     return run
 
 
-def summary_bins(df: DataFrame, keys: list[str], pos: str, score: str, attr: Column, limit: float, tie: str) -> DataFrame:
+def summary_bins(df: DataFrame, keys: list[str], pos: str, score: str, attr: Column, limit: float, tie: str, chunk: float | None = None) -> DataFrame:
     """Consecutive rows as bins: one closes when the next row is ``limit`` or more past its first, or ``attr`` changes.
 
-    The rule depends on where a bin starts, so each key is walked in order; the walk streams over sorted batches and
-    holds one bin.  Returns keys, bin (0, 1, ...), off, length, n, mean.
+    A bin begins in any case where ``attr`` changes or where the row before is ``limit`` or more behind, so a key falls into stretches that are
+    binned apart; within one the next bin begins at the first row ``limit`` past this one's begin, found by bisection.  Returns keys, bin (0, 1, ...), off, length, n, mean.
     """
     d = df.where(F.col(pos).isNotNull() & F.col(score).isNotNull()).select(*keys, F.col(pos).cast("double").alias("pos"), F.col(score).cast("double").alias("score"), F.coalesce(attr.cast("string"), F.lit("")).alias("attr"), F.col(tie).alias("tie"))
+    x = beside(d, keys, ["pos", "tie"], ["attr"], chunk or CHUNK_REACHES * limit)
+    new = F.col("__prev").isNull() | (F.col("__prev.attr") != F.col("attr")) | (F.col("pos") - F.col("__prev.pos") >= limit)
+    x = running(x.withColumn("__new", new.cast("long")), keys, ["pos", "tie"], "__new", "piece").select(*keys, "piece", "pos", "tie", "score")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.select(*keys).schema)
-    return d.repartition(*keys).sortWithinPartitions(*keys, "pos", "tie").mapInPandas(_bins(keys, limit), f"{types}, bin long, off double, length double, n long, mean double")
+    y = x.repartition(*keys, "piece").sortWithinPartitions(*keys, "piece", "pos", "tie").mapInPandas(_bins(keys, limit), f"{types}, piece long, k long, off double, length double, n long, mean double")
+    y = running(y.withColumn("__c", F.floor(F.col("off") / (chunk or CHUNK_REACHES * limit))).withColumn("__one", F.lit(1)), keys, ["off", "piece", "k"], "__one", "__bin")
+    return y.select(*keys, (F.col("__bin") - 1).cast("long").alias("bin"), "off", "length", "n", "mean")
 
 
 def thin_with_extrema(offs: np.ndarray, vals: np.ndarray, step: float = 10.0, apart: float = 2.0) -> np.ndarray:
@@ -252,8 +304,20 @@ def value_runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return d.groupBy(*keys, "__g").agg(F.min(value).alias("first"), F.max(value).alias("last"), F.count("*").alias("n")).drop("__g")
 
 
-def contiguous(df: DataFrame, keys: list[str], start: str, end: str, tie: str) -> DataFrame:
-    """Adds ``piece``: pieces that follow end to start without a break share a number."""
-    w = Window.partitionBy(*keys).orderBy(start, tie)
-    broken = F.coalesce((F.lag(end).over(w) != F.col(start)).cast("int"), F.lit(1))
-    return df.withColumn("__b", broken).withColumn("piece", F.sum("__b").over(w.rowsBetween(*UNTIL))).drop("__b")
+def contiguous(df: DataFrame, keys: list[str], start: str, end: str, tie: str, chunk: float = 1 << 20) -> DataFrame:
+    """Adds ``piece``: pieces that follow end to start without a break share a number.  Chunks of positions carry the last end and the breaks so far."""
+    x = beside(df, keys, [start, tie], [end], chunk)
+    x = x.withColumn("__b", F.coalesce((F.col(f"__prev.{end}") != F.col(start)).cast("int"), F.lit(1)))
+    return running(x, keys, [start, tie], "__b", "piece").drop("__b", "__c", "__prev", "__next")
+
+
+def cyclic_runs(values: DataFrame, keys: list[str], value: str, first: int, last: int) -> DataFrame:
+    """(keys, start, stop, n): consecutive values of a cycle first..last (days of a week, months of a year) as runs; one over the end goes on at the
+    beginning (start > stop), and all values are one run from first to last."""
+    r = value_runs(values.where(F.col(value).between(first, last)), keys, value)
+    w = Window.partitionBy(*keys)
+    r = r.withColumns({"__a": F.max(F.when((F.col("first") == first) & (F.col("last") < last), F.struct("last", "n"))).over(w), "__z": F.max(F.when((F.col("last") == last) & (F.col("first") > first), F.col("first"))).over(w)})
+    both = F.col("__a").isNotNull() & F.col("__z").isNotNull()
+    joined = both & (F.col("last") == last)
+    x = r.where(~(both & (F.col("first") == first) & (F.col("last") < last)))
+    return x.select(*keys, F.col("first").alias("start"), F.when(joined, F.col("__a.last")).otherwise(F.col("last")).alias("stop"), (F.col("n") + F.when(joined, F.col("__a.n")).otherwise(0)).alias("n"))

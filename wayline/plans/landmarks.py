@@ -190,12 +190,6 @@ def fuzzy_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def connected_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Connected groups of parts and orders on lines of the largest quantities, as in its SQL; connected_groups_all has all."""
-    li = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("a"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("b"))
-    return R.connected(li).select(F.col("id"), F.col("root"))
-
-
-def connected_groups_all(spark: SparkSession, d: str) -> DataFrame:
     """Connected groups of parts and the orders that hold them, over all line items."""
     li = table(spark, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("a"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("b"))
     return R.connected(li).select("id", "root")
@@ -223,7 +217,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         score_histogram, filter_histograms, rank_scores, top_per_kind, top_overall, kind_totals, keep_zoom, speck_cells, rank_in_kind, nearest_better, held_back, label_zooms, within_distance, nearest_tracks, percentile_rank,
-        fame_values, tier_defaults, tile_functions, in_view, translation_lookup, anti_report, fact_reducers, fuzzy_merge, connected_groups, connected_groups_all, unique_ids, set_operations,
+        fame_values, tier_defaults, tile_functions, in_view, translation_lookup, anti_report, fact_reducers, fuzzy_merge, connected_groups, unique_ids, set_operations,
     )
 }
 
@@ -278,8 +272,9 @@ select doc_id, arg_min(lang, pos) as lang, arg_min(text, pos) as text from h gro
     "fuzzy_merge": r"""with fa as (select id as a, lower(trim(area)) as cell, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-zà-ÿ]+'), lambda x: length(x) >= 3)) as wa from (select id, any_value(name) as name, any_value(area) as area from federal group by id) where name is not null and area is not null),
 wb as (select distinct item as b, lower(trim(place)) as cell, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(name_en), '[^a-zà-ÿ]+'), lambda x: length(x) >= 3))) as wb from wditems where name_en is not null and place is not null)
 select distinct a, b, round(len(list_intersect(wa, wb)) / least(len(wa), len(wb)), 4) as share from fa join wb using (cell) where len(wa) > 0 and len(wb) > 0 and len(list_intersect(wa, wb)) >= 0.75 * least(len(wa), len(wb))""",
-    "connected_groups": """with recursive e as (select distinct 'p' || l_partkey as a, 'o' || l_orderkey as b from lineitem where l_quantity >= 49), u as (select a, b from e union select b, a from e),
-r(id, x) as (select a, a from u union select r.id, u.b from r join u on u.a = r.x) select id, min(x) as root from r group by id""",
+    "connected_groups": """with recursive u as materialized (select distinct 'p' || l_partkey as a, 'o' || l_orderkey as b from lineitem union select 'o' || l_orderkey, 'p' || l_partkey from lineitem),
+l(id, root) using key (id) as (select a, min(least(a, b)) from u group by a union
+  select u.b, min(l.root) from l join u on u.a = l.id join recurring.l as k on k.id = u.b where l.root < k.root group by u.b) select id, root from l""",
     "unique_ids": "select p_partkey, wanted || case when k > 0 then '~' || k else '' end as id from (select p_partkey, p_brand || '-' || p_size as wanted, row_number() over (partition by p_brand || '-' || p_size order by p_partkey) - 1 as k from part)",
     "set_operations": f"""with {_M}, t as (select distinct kind, {_tile(3)} as t from m), a as (select t from t where kind = 'BUILDING'), b as (select t from t where kind = 'MACHINERY'),
 s as (select 'both' as set, t from a where t in (select t from b) union all select 'first_only', t from a where t not in (select t from b) union all select 'all', t from (select t from a union select t from b))

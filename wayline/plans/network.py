@@ -98,8 +98,8 @@ def thinned_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def site_outlines(spark: SparkSession, d: str) -> DataFrame:
-    """Customers as sites, orders as relations, line items as ways."""
-    sites = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("site"), F.abs("c_acctbal").alias("area"))
+    """Customers as sites (one in five a part of the one before it), orders as relations, line items as ways."""
+    sites = table(spark, d, "customer").where("c_custkey % 5 <> 1").select(F.col("c_custkey").alias("site"), F.abs("c_acctbal").alias("area"))
     parts = table(spark, d, "customer").where("c_custkey % 5 = 1").select(F.col("c_custkey").alias("part"), (F.col("c_custkey") - 1).alias("site"))
     rel = table(spark, d, "orders").select(F.col("o_orderkey").alias("relation"), F.col("o_custkey").alias("ref"), (F.col("o_totalprice") / 20).alias("area"))
     mem = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("relation"), F.col("l_partkey").alias("way"))
@@ -137,6 +137,6 @@ j as (select id, k, cos(h) * ((y0 + y1) / 2 - py) - sin(h) * ((x0 + x1) / 2 - px
 g as (select id, sum(w) / 42 as share from j group by id) select c_custkey as id, round(coalesce(share, 0), 6) as share from customer left join g on g.id = c_custkey""",
     "parallel_tracks": """with p as (select p_partkey % 97 as track, cast(p_partkey * 6007 % 3000 as double) as x, cast(p_partkey * 3001 % 3000 as double) as y, cast(p_partkey % 6 as double) as h, p_size % 3 as s from part)
 select distinct a.track, b.track as other from p a join p b on a.s = b.s and a.track <> b.track and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 40 and least(abs(a.h - b.h) % pi(), pi() - abs(a.h - b.h) % pi()) <= radians(20)""",
-    "site_outlines": """with s as (select c_custkey as site, abs(c_acctbal) as area from customer where c_custkey % 5 = 0), r as (select site, site as ref from s union all select c_custkey - 1, c_custkey from customer where c_custkey % 5 = 1)
+    "site_outlines": """with s as (select c_custkey as site, abs(c_acctbal) as area from customer where c_custkey % 5 <> 1), r as (select site, site as ref from s union all select c_custkey - 1, c_custkey from customer where c_custkey % 5 = 1)
 select distinct s.site, l_partkey as way from s join r on r.site = s.site join orders on o_custkey = r.ref join lineitem on l_orderkey = o_orderkey where s.area <= 0 or o_totalprice / 20 <= 3 * s.area""",
 }

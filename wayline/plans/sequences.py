@@ -3,7 +3,7 @@ offset = microseconds, score = value), orders and line items for rows of lines a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.functions import scoring as S
@@ -62,7 +62,7 @@ def interval_runs(spark: SparkSession, d: str) -> DataFrame:
 def neighbour_grade(spark: SparkSession, d: str) -> DataFrame:
     """Grade from the neighbours; offsets in seconds."""
     x = samples(spark, d).withColumn("sec", F.col("off") / 1e6)
-    return Q.neighbour_grade(x, ["road"], "sec", "score", "event_id").select("event_id", F.round("grade", 6).alias("grade"))
+    return Q.neighbour_grade(x, ["road"], "sec", "score", "event_id", CHUNK / 1e6).select("event_id", F.round("grade", 6).alias("grade"))
 
 
 def range_window_sum(spark: SparkSession, d: str) -> DataFrame:
@@ -73,8 +73,8 @@ def range_window_sum(spark: SparkSession, d: str) -> DataFrame:
 
 def window_grade(spark: SparkSession, d: str) -> DataFrame:
     """Slope across the rows within reach."""
-    w = Window.partitionBy("road").orderBy("off").rangeBetween(-6 * HOUR, 6 * HOUR)
-    x = samples(spark, d).withColumn("a", F.min(F.struct("off", "event_id", "score")).over(w)).withColumn("b", F.max(F.struct("off", "event_id", "score")).over(w))
+    at = F.struct("off", "event_id", "score")
+    x = Q.around(samples(spark, d), ["road"], "off", 6 * HOUR, a=F.min(at), b=F.max(at))
     rise, run = F.col("b.score") - F.col("a.score"), (F.col("b.off") - F.col("a.off")) / 3.6e9
     return x.select("event_id", F.round(F.when(run > 0, rise / run).otherwise(0.0), 5).alias("slope"))
 
@@ -93,7 +93,7 @@ def smoothed(spark: SparkSession, d: str) -> DataFrame:
 def gap_filled(spark: SparkSession, d: str) -> DataFrame:
     """Values above 100 count as missing."""
     x = samples(spark, d).withColumn("v", F.when(F.col("score") <= 100, F.col("score")))
-    return Q.fill_gaps(x, ["road"], "off", "v", "event_id").select("event_id", F.round("filled", 5).alias("filled"))
+    return Q.fill_gaps(x, ["road"], "off", "v", "event_id", CHUNK).select("event_id", F.round("filled", 5).alias("filled"))
 
 
 def junction_blend(spark: SparkSession, d: str) -> DataFrame:
@@ -111,9 +111,7 @@ def junction_blend(spark: SparkSession, d: str) -> DataFrame:
 
 def profile(spark: SparkSession, d: str) -> DataFrame:
     """Length, climb, descent and grades of each road."""
-    x = samples(spark, d).withColumn("h", F.col("off") / 3.6e9)
-    step = (F.col("off") - F.lag("off").over(Window.partitionBy("road").orderBy("off", "event_id"))) / 3.6e9
-    p = Q.profile(x, ["road"], "off", step, "score", "event_id")
+    p = Q.profile(samples(spark, d), ["road"], "off", 3.6e9, "score", "event_id", CHUNK)
     return p.groupBy("road").agg(
         F.round(F.max("distance"), 4).alias("length"), F.round(F.sum("climb"), 4).alias("climb"), F.round(F.sum("descent"), 4).alias("descent"),
         F.round(F.max("step_grade"), 3).alias("steepest"), F.min("score").alias("lowest"), F.max("score").alias("highest"),
@@ -169,25 +167,25 @@ def stage_durations(spark: SparkSession, d: str) -> DataFrame:
     return x.agg(F.percentile(F.col("t_click") - F.col("t_view"), 0.5).alias("to_click"), F.percentile(F.col("t_purchase") - F.col("t_click"), 0.5).alias("to_purchase"))
 
 
-def weekday_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of consecutive days with events, per type, of one user in ten, as in its SQL; weekday_runs_all has all."""
-    return weekday_runs_all(spark, d).where("user_id % 10 = 0")
-
-
-def weekday_runs_all(spark: SparkSession, d: str) -> DataFrame:
+def day_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of consecutive days with events, per type and user."""
     x = table(spark, d, "events").select("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01")).alias("day"), "user_id")
     return Q.value_runs(x, ["event_type", "user_id"], "day")
 
 
-def contiguity(spark: SparkSession, d: str) -> DataFrame:
-    """Line items of an order joined end to end (number to number plus one), without those of every third part, as in its SQL; contiguity_all has all."""
-    x = table(spark, d, "lineitem").where("l_partkey % 3 > 0").select("l_orderkey", F.col("l_linenumber").alias("a"), (F.col("l_linenumber") + 1).alias("b"))
-    y = Q.contiguous(x, ["l_orderkey"], "a", "b", "b")
-    return y.groupBy("l_orderkey", "piece").agg(F.min("a").alias("first"), F.max("b").alias("last"), F.count("*").alias("n"))
+def weekday_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of weekdays (1 Monday to 7 Sunday) on which a user's events of a type fall, over the week's end too."""
+    x = table(spark, d, "events").select("event_type", "user_id", (F.weekday("ts") + 1).alias("day"))
+    return Q.cyclic_runs(x, ["event_type", "user_id"], "day", 1, 7)
 
 
-def contiguity_all(spark: SparkSession, d: str) -> DataFrame:
+def month_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of months in which a customer's orders of a priority fall, over the new year too."""
+    x = table(spark, d, "orders").select("o_custkey", "o_orderpriority", F.month("o_orderdate").alias("month"))
+    return Q.cyclic_runs(x, ["o_custkey", "o_orderpriority"], "month", 1, 12)
+
+
+def contiguity(spark: SparkSession, d: str) -> DataFrame:
     """Line items of an order joined end to end (number to number plus one; those of every third part end one further on, where it breaks)."""
     a = F.col("l_linenumber")
     x = table(spark, d, "lineitem").select("l_orderkey", a.alias("a"), (a + 1 + (F.col("l_partkey") % 3 == 0).cast("int")).alias("b"))
@@ -265,11 +263,19 @@ QUERIES = {
     f.__name__: f
     for f in (
         best_stretch, drives_top, drives_in_view, runs_summary, interval_runs, neighbour_grade, range_window_sum, window_grade, despiked, smoothed, gap_filled, junction_blend, profile, bin_summary,
-        pseudo_samples, approx_vs_exact, thinned_profile, asof_join, event_chain, stage_durations, weekday_runs, weekday_runs_all, contiguity, contiguity_all, first_per_line, lines_by_identity, component_score, drive_score, bitmask_filter,
+        pseudo_samples, approx_vs_exact, thinned_profile, asof_join, event_chain, stage_durations, day_runs, weekday_runs, month_runs, contiguity, first_per_line, lines_by_identity, component_score, drive_score, bitmask_filter,
         typical_day, stop_pairs, headways, low_season,
     )
 }
 
+def _cycle(keys: str, value: str, source: str, last: int) -> str:
+    """Runs of the values 1..last per keys: a run begins where the value before it in the cycle is missing, and ends at the last value that follows."""
+    return f"""with v as (select distinct {keys}, {value} as v from {source}), c as (select {keys}, list(v) as has, count(*) as m from v group by {keys}),
+b as (select {keys}, v as start, has, m from v join c using ({keys}) where m = {last} and v = 1 or m < {last} and not list_contains(has, (v + {last - 2}) % {last} + 1)),
+n as (select {keys}, start, case when m = {last} then {last} else (select min(k) from range(1, {last + 1}) t(k) where not list_contains(has, (start - 1 + k) % {last} + 1)) end as n from b)
+select {keys}, cast(start as int) as start, cast((start + n - 2) % {last} + 1 as int) as stop, n from n"""
+
+
 _S = """s as (select user_id as road, epoch_us(ts) as off, event_id, event_type, value as score from events)"""
 _RUN = f"""{_S}, lagged as (select *, lag(off) over (partition by road order by off, event_id) as p from s),
 marked as (select *, case when p is null or off - p > {GAP} then off end as st from lagged),
@@ -325,17 +331,11 @@ select o_orderkey, prev_off, next_off, round(coalesce(case when next_off > prev_
 b as (select a.road, any_value(t_view) as t_view, min(s.off) as t_click from a left join s on s.road = a.road and s.event_type = 'click' and s.off >= t_view group by a.road)
 select b.road, any_value(t_view) as t_view, any_value(t_click) as t_click, min(s.off) as t_purchase from b left join s on s.road = b.road and s.event_type = 'purchase' and s.off >= t_click group by b.road""",
     "stage_durations": "with c as ({EVENT_CHAIN}) select median(t_click - t_view) as to_click, median(t_purchase - t_click) as to_purchase from c",
-    "weekday_runs": """with d as (select distinct event_type, user_id, date_diff('day', date '2024-01-01', cast(ts as date)) as day from events where user_id % 10 = 0),
-g as (select *, day - row_number() over (partition by event_type, user_id order by day) as g from d) select event_type, user_id, min(day) as first, max(day) as last, count(*) as n from g group by event_type, user_id, g""",
-    "weekday_runs_all": """with d as (select distinct event_type, user_id, date_diff('day', date '2024-01-01', cast(ts as date)) as day from events),
+    "day_runs": """with d as (select distinct event_type, user_id, date_diff('day', date '2024-01-01', cast(ts as date)) as day from events),
 g as (select *, day - row_number() over (partition by event_type, user_id order by day) as g from d) select event_type, user_id, min(day) as first, max(day) as last, count(*) as n from g group by event_type, user_id, g""",
-    "contiguity_all": """with x as (select l_orderkey, l_linenumber as a, l_linenumber + 1 + case when l_partkey % 3 = 0 then 1 else 0 end as b from lineitem),
+    "contiguity": """with x as (select l_orderkey, l_linenumber as a, l_linenumber + 1 + case when l_partkey % 3 = 0 then 1 else 0 end as b from lineitem),
 y as (select *, row_number() over (partition by l_orderkey order by a, b) as rn, lag(b) over (partition by l_orderkey order by a, b) as p from x),
 z as (select *, sum(case when rn = 1 or p <> a then 1 else 0 end) over (partition by l_orderkey order by rn) as piece from y)
-select l_orderkey, piece, min(a) as first, max(b) as last, count(*) as n from z group by l_orderkey, piece""",
-    "contiguity": """with x as (select l_orderkey, l_linenumber as a, l_linenumber + 1 as b from lineitem where l_partkey % 3 > 0),
-y as (select *, coalesce(case when lag(b) over (partition by l_orderkey order by a, b) <> a then 1 else 0 end, 1) as f, row_number() over (partition by l_orderkey order by a, b) as rn from x),
-z as (select *, sum(case when rn = 1 then 1 else f end) over (partition by l_orderkey order by a, b rows unbounded preceding) as piece from y)
 select l_orderkey, piece, min(a) as first, max(b) as last, count(*) as n from z group by l_orderkey, piece""",
     "first_per_line": f"with {_BEST}, x as (select road, off0, round(mean, 5) as mean, road % 40 as line from best where rn = 1), y as (select *, row_number() over (partition by line order by mean desc, road, off0) as k from x) select line, road, off0, mean from y where k = 1 order by mean desc, line limit 30",
     "lines_by_identity": """with run as (select o_custkey, year(o_orderdate) as y, sum(o_totalprice) as km, count(*) as stops, max(o_totalprice) as most from orders group by 1, 2)
@@ -360,4 +360,6 @@ s as (select l_suppkey, (c0 / 255 + 0.8 * c1 / 255 + 0.6 * c8 / 255 + 0.5 * rel
   (c0 / 255 + 0.8 * c1 / 255 + 0.6 * c8 / 255 + 0.5 * rel + 0.3 * least(abs(c3 - 128) / 30, 1) + 0.4 * least(greatest((l_quantity * 10 - 3) / 1500, 0), 1) + 0.2 * (case when sf & 2 > 0 then 0.5 else 0 end)
     - 0.3 * (case when sf & 1 > 0 then 1 else 0 end) + 0.5 * least(l_tax * 100 / 4, 1) + 0.3 * cur + 0.7 * (case when tr > 0 then least(log10(greatest(tr, 1)) / 2, 1) else 0 end)) / (4.6 + case when tr > 0 then 0.7 else 0 end) as ride from d)
 select l_suppkey, round(avg(least(greatest(drive, 0), 1)), 6) as drive, round(avg(least(greatest(ride, 0), 1)), 6) as ride from s group by l_suppkey"""
+SQL["weekday_runs"] = _cycle("event_type, user_id", "isodow(ts)", "events", 7)
+SQL["month_runs"] = _cycle("o_custkey, o_orderpriority", "month(o_orderdate)", "orders", 12)
 SQL["stage_durations"] = SQL["stage_durations"].replace("{EVENT_CHAIN}", SQL["event_chain"])

@@ -116,7 +116,7 @@ def trains_default(spark: SparkSession, d: str) -> DataFrame:
 def record_near(spark: SparkSession, d: str) -> DataFrame:
     """Records by id and point, the point a little off."""
     m = marks(spark, d)
-    asks = m.where("id % 3 = 0").select(F.col("id").alias("ask"), "id", (F.col("lon") + 0.5).alias("lon"), F.col("lat"))
+    asks = m.select(F.col("id").alias("ask"), "id", (F.col("lon") + 0.5).alias("lon"), F.col("lat"))
     return J.by_id_near(asks, m.select("id", "lon", "lat", "kind"), 5).select("ask", "id", F.col("r_kind").alias("kind"))
 
 
@@ -152,24 +152,15 @@ def territory_runs(spark: SparkSession, d: str) -> DataFrame:
     return J.run_at(c, r)
 
 
-def _overlay(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
+def overlay_picks(spark: SparkSession, d: str) -> DataFrame:
+    """The overlays of all customers' boxes."""
     k = F.col("c_custkey")
-    boxes = c.select(k.alias("id"), (k * 79 % 360).alias("west"), (k * 104 % 170).alias("south"), (k * 79 % 360 + 5).alias("east"), (k * 104 % 170 + 5).alias("north"))
+    boxes = table(spark, d, "customer").select(k.alias("id"), (k * 79 % 360).alias("west"), (k * 104 % 170).alias("south"), (k * 79 % 360 + 5).alias("east"), (k * 104 % 170 + 5).alias("north"))
     s = F.col("s_suppkey")
     sets = table(spark, d, "supplier").select(F.col("s_name").alias("name"), s.alias("rank"), (s * 37 % 300).alias("w"), (s * 53 % 120).alias("s"), (s * 37 % 300 + 60).alias("e"), (s * 53 % 120 + 50).alias("n"))
     return J.overlay_picks(boxes, sets)
 
 
-def overlay_picks(spark: SparkSession, d: str) -> DataFrame:
-    """Of the first 400 customers, as in its SQL; overlay_picks_all has all."""
-    return _overlay(spark, d, table(spark, d, "customer").where("c_custkey <= 400"))
-
-
-def overlay_picks_all(spark: SparkSession, d: str) -> DataFrame:
-    """J29."""
-    return _overlay(spark, d, table(spark, d, "customer"))
-
-
 def available_pick(spark: SparkSession, d: str) -> DataFrame:
     """P24."""
     p = table(spark, d, "part")
@@ -196,7 +187,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         log_apply, log_stream, log_digests, map_diff, watch_marks, changes_since, due_deletes, stale_targets, reused_rows, gate_verdicts, input_findings, trains_default, record_near, road_window, boxes_meeting,
-        raster_lookup, territory_runs, overlay_picks, overlay_picks_all, available_pick, downloaded, tag_values,
+        raster_lookup, territory_runs, overlay_picks, available_pick, downloaded, tag_values,
     )
 }
 
@@ -224,7 +215,7 @@ select cast(n.k as varchar) as path, case when n.why is null and b.k is null the
     "input_findings": """with f as (select id, 'height' as rule from summits where not coalesce(ele between -500 and 8900 and not isnan(ele), false) union all select id, 'position' from summits where lon = 0 and lat = 0
 union all select id, 'duplicate' from summits group by id having count(*) > 1) select rule, count(distinct id) as ids, count(*) as n from f group by rule""",
     "trains_default": "select l_suppkey, coalesce(max(round(s_acctbal, 2)), 0) as f, count(*) as n from lineitem left join supplier on s_suppkey = l_suppkey and s_acctbal > 0 group by 1",
-    "record_near": f"with {_MK} select id as ask, id, kind from m where id % 3 = 0",
+    "record_near": f"with {_MK} select id as ask, id, kind from m",
     "road_window": """with w as (select l_orderkey % 200 as road, l_partkey % 1000 as off, min(l_partkey) as id from lineitem group by 1, 2), j as (select s_suppkey as seed, w.*, abs(off - s_suppkey * 37 % 1000) <= 40 as ok from supplier join w on road = s_suppkey % 200)
 select seed, road, id, off, cut from (select *, bool_or(not ok) over (partition by seed) as cut from j) where ok""",
     "boxes_meeting": """with a as (select c_custkey as id, c_custkey * 7919 % 36000 as w, c_custkey * 104729 % 17000 as s from customer), b as (select s_suppkey as id, s_suppkey * 7919 % 36000 as w, s_suppkey * 104729 % 17000 as s from supplier)
@@ -233,10 +224,7 @@ select a.id as a_id, b.id as b_id from a, b where a.w <= b.w + 500 and a.w + 300
 k as (select id, cast(floor(x) as bigint) + i as cx, cast(floor(y) as bigint) + j as cy, (case when i = 1 then x - floor(x) else 1 - (x - floor(x)) end) * (case when j = 1 then y - floor(y) else 1 - (y - floor(y)) end) as w from c, (values (0), (1)) a(i), (values (0), (1)) b(j))
 select id, round(sum(w * v) / sum(w), 6) as value from k join p on p.x = k.cx and p.y = k.cy where w > 0 group by id""",
     "territory_runs": "select c_custkey as id, min(s_nationkey) as code from customer join supplier on s_suppkey % 20 = c_custkey % 20 and c_custkey * 17 % 1000 between s_suppkey * 31 % 900 and s_suppkey * 31 % 900 + 90 group by 1",
-    "overlay_picks": """with b as (select c_custkey as id, c_custkey * 79 % 360 as x, c_custkey * 104 % 170 as y from customer where c_custkey <= 400), s as (select s_name as name, s_suppkey as rank, s_suppkey * 37 % 300 as w, s_suppkey * 53 % 120 as s from supplier),
-j as (select id, name, rank, min(case when w <= x and w + 60 >= x + 5 and s <= y and s + 50 >= y + 5 then rank end) over (partition by id) as f from b join s on w <= x + 5 and w + 60 >= x and s <= y + 5 and s + 50 >= y)
-select id, name, rank from j where f is null or rank <= f""",
-    "overlay_picks_all": """with b as (select c_custkey as id, c_custkey * 79 % 360 as x, c_custkey * 104 % 170 as y from customer), s as (select s_name as name, s_suppkey as rank, s_suppkey * 37 % 300 as w, s_suppkey * 53 % 120 as s from supplier),
+    "overlay_picks": """with b as (select c_custkey as id, c_custkey * 79 % 360 as x, c_custkey * 104 % 170 as y from customer), s as (select s_name as name, s_suppkey as rank, s_suppkey * 37 % 300 as w, s_suppkey * 53 % 120 as s from supplier),
 j as (select id, name, rank, min(case when w <= x and w + 60 >= x + 5 and s <= y and s + 50 >= y + 5 then rank end) over (partition by id) as f from b join s on w <= x + 5 and w + 60 >= x and s <= y + 5 and s + 50 >= y)
 select id, name, rank from j where f is null or rank <= f""",
     "available_pick": """with p as (select p_partkey % 150 as set, p_name as name, p_size % 6 as zoom, p_partkey % 4 = 0 as pr, p_partkey % 3 as av, p_partkey % 7 as sc, p_partkey % 2 as ex from part where p_partkey % 3 > 0),
