@@ -49,44 +49,50 @@ def parallel_tracks(points: DataFrame, within: float = 40.0, degrees: float = 20
     return a.join(b, ["cx", "cy", "service"]).where(near & (F.col("track") != F.col("other"))).select("track", "other").distinct()
 
 
-def _near_parts(places: DataFrame, reach: float) -> DataFrame:
-    """(x, y, part): distinct places (x, y) by connected parts of those within ``reach`` of each other, paired by grid cells; one alone has no part."""
-    cell = lambda v: F.floor(F.col(v) / reach)
-    name = lambda x, y: F.concat_ws("/", x, y)
-    a = places.select("x", "y", F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select("x", "y", "c.cx", "c.cy")
-    b = places.select(F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
-    near = a.join(b, ["cx", "cy"]).where((F.struct("x", "y") < F.struct("ox", "oy")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= reach))
-    root = connected(near.select(name("x", "y").alias("a"), name("ox", "oy").alias("b")))
-    return places.join(root.select(F.col("id").alias("__at"), F.col("root").alias("part")), name("x", "y") == F.col("__at")).select("x", "y", "part")
+def _near_parts(places: DataFrame, key: str, reach: Column) -> DataFrame:
+    """(key, x, y, part): distinct places (x, y) of a key by connected parts of those within ``reach`` (by key) of each other, paired by grid cells; one alone has no part."""
+    p = places.select(key, "x", "y").distinct().withColumn("__r", reach)
+    cell = lambda v: F.floor(F.col(v) / F.col("__r"))
+    name = lambda k, x, y: F.concat_ws("/", k, x, y)
+    a = p.select(key, "x", "y", "__r", F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select(key, "x", "y", "__r", "c.cx", "c.cy")
+    b = p.select(key, F.col("x").alias("ox"), F.col("y").alias("oy"), cell("x").alias("cx"), cell("y").alias("cy"))
+    near = a.join(b, [key, "cx", "cy"]).where((F.struct("x", "y") < F.struct("ox", "oy")) & (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= F.col("__r")))
+    root = connected(near.select(name(key, "x", "y").alias("a"), name(key, "ox", "oy").alias("b")))
+    return places.join(root.select(F.col("id").alias("__at"), F.col("root").alias("part")), name(key, "x", "y") == F.col("__at"), "left").drop("__at")
 
 
 def merge_stops(stops: DataFrame, named_m: float = 800.0, unnamed_m: float = 100.0) -> DataFrame:
     """(id, stop): stops of one folded name within ``named_m`` (unnamed: ``unnamed_m``) of a merged stop join it, in order of id.
 
-    The order matters, so a name is worked off in one group; unnamed stops by connected parts of those within ``unnamed_m`` of each
-    other, as none joins a stop of another part.  A name or part must fit a task.  stops: id, name, x, y (metres)."""
+    The order matters within a name's connected parts of stops that near to each other only, as none joins a stop of another part; each part is worked off
+    in one group and must fit a task (stops of one name side by side).  stops: id, name, x, y (metres)."""
     folded = F.lower(F.trim(F.coalesce("name", F.lit(""))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        reach = unnamed_m if pdf["key"].iloc[0].startswith("\0") else named_m
-        heads: list[tuple[float, float, int]] = []
-        out = []
-        for r in pdf.itertuples():
-            d = [(math.hypot(r.x - x, r.y - y), i) for x, y, i in heads]
-            best = min(d, default=(math.inf, 0))
-            if best[0] > reach:
-                heads.append((r.x, r.y, r.id))
-                best = (0.0, r.id)
-            out.append((r.id, best[1]))
-        return pd.DataFrame(out, columns=["id", "stop"])
+        reach = named_m if pdf["key"].iloc[0] else unnamed_m
+        x, y, ids = pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["id"].to_numpy()
+        heads = np.empty(len(pdf), np.int64)
+        n = 0
+        out = np.empty(len(pdf), np.int64)
+        for i in range(len(pdf)):
+            at = heads[:n]
+            d = np.hypot(x[at] - x[i], y[at] - y[i])
+            k = int(d.argmin()) if n else -1
+            if k < 0 or d[k] > reach:
+                heads[n] = k = i
+                n += 1
+                out[i] = ids[i]
+            else:
+                out[i] = ids[at[k]]
+        return pd.DataFrame({"id": ids, "stop": out})
 
     s = stops.select(F.col("id").cast("long").alias("id"), folded.alias("key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("id is not null and x is not null and y is not null")
-    bare = s.where("key = ''")
-    parts = _near_parts(bare.select("x", "y").distinct(), unnamed_m)
-    bare = bare.join(parts, ["x", "y"], "left").select("id", F.concat_ws("/", F.lit("\0"), F.coalesce("part", F.concat_ws("/", "x", "y"))).alias("key"), "x", "y")
-    s = s.where("key <> ''").unionByName(bare)
-    return s.groupBy("key").applyInPandas(run, "id long, stop long")
+    s = _near_parts(s, "key", F.when(F.col("key") == "", unnamed_m).otherwise(named_m))
+    alone = s.where("part is null")
+    # places without another near them: their rows share one position
+    same = alone.groupBy("key", "x", "y").agg(F.min("id").alias("stop"))
+    return alone.join(same, ["key", "x", "y"]).select("id", "stop").unionByName(s.where("part is not null").groupBy("part").applyInPandas(run, "id long, stop long"))
 
 
 def thin_pieces(pieces: DataFrame, tile: str, order: str, cells: str) -> DataFrame:

@@ -43,19 +43,46 @@ def filter_histograms(df: DataFrame, filters: dict[str, tuple[Column, Column, fl
     return df.select(F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("x")).groupBy("x.filter", "x.bin").agg(F.count("*").alias("n")).select("filter", "bin", "n")
 
 
+#: Buckets of value that running counts go over first, between the least and the greatest value.
+BUCKETS = 4096
+
+
+def _bucketed(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """(by, value, n, before): how many rows have each known value and how many a smaller one.
+
+    Counts run over at most BUCKETS buckets of value per group, one row each, and then within a bucket."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    low, high = n.agg(F.min("value"), F.max("value")).first()
+    width = float(high - low) if low is not None and high > low else 1.0
+    n = n.withColumn("__b", F.least(F.floor((F.col("value") - F.lit(low if low is not None else 0.0)) / width * BUCKETS), F.lit(BUCKETS - 1)))
+    every = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = n.groupBy(*by, "__b").agg(F.sum("n").alias("__bn")).select(*by, "__b", F.coalesce(F.sum("__bn").over(every), F.lit(0)).alias("__before"))
+    inner = Window.partitionBy(*by, "__b").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    return n.join(sums, [*by, "__b"]).select(*by, "value", "n", (F.col("__before") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("before"))
+
+
 def score_at_ranks(df: DataFrame, score: str, ranks: list[int]) -> DataFrame:
-    """(rank, score): the score at each rank from the top, ranks beyond the last giving the least score.
+    """(rank, score): the score at each rank from the top, ranks below 1 counting as 1 and ranks beyond the last giving the least score.
 
     Found by counting score values, not by sorting rows in one task."""
-    n = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n")).withColumn("bucket", F.floor(F.col("score") * 1024))
-    w = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = n.groupBy("bucket").agg(F.sum("n").alias("bn")).withColumn("before", F.coalesce(F.sum("bn").over(w), F.lit(0)))
-    inner = Window.partitionBy("bucket").orderBy(F.desc("score"))
-    x = n.join(F.broadcast(buckets.select("bucket", "before")), "bucket").withColumn("to", F.col("before") + F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    x = _bucketed(df, score)
     total = df.agg(F.count(score).alias("n")).first().n
-    asks = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(min(max(r, 1), total)).cast("long").alias("at")) for r in ranks])
-    hit = F.filter(asks, lambda a: (a["at"] <= F.col("to")) & (a["at"] > F.col("to") - F.col("n")))
-    return x.select(F.explode(hit).alias("a"), "score").select("a.rank", "score")
+    asks = F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(total - min(max(r, 1), total)).cast("long").alias("below")) for r in ranks])
+    hit = F.filter(asks, lambda a: (a["below"] >= F.col("before")) & (a["below"] < F.col("before") + F.col("n")))
+    return x.select(F.explode(hit).alias("a"), F.col("value").alias("score")).select("a.rank", "score")
+
+
+def rank_from_below(df: DataFrame, by: list[str], value: str, tie: str, tie_width: int = 1 << 16) -> DataFrame:
+    """Adds ``rank``: the row's place in its group from 0, the least value first, ties by ``tie`` (a whole number).
+
+    Values are counted, and rows of one value are numbered by stretches of ``tie``, so neither a large group nor a frequent value is sorted in one task."""
+    counts = _bucketed(df, value, by).select(*by, F.col("value").alias(value), "before")
+    x = df.withColumn("__s", F.floor(F.col(tie) / tie_width))
+    w = Window.partitionBy(*by, value).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = x.groupBy(*by, value, "__s").agg(F.count("*").alias("__n")).select(*by, value, "__s", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__stretch"))
+    x = x.withColumn("__k", F.row_number().over(Window.partitionBy(*by, value, "__s").orderBy(tie)) - 1)
+    x = x.join(stretches, [*by, value, "__s"]).join(counts, [*by, value])
+    return x.withColumn("rank", F.col("before") + F.col("__stretch") + F.col("__k")).drop("before", "__stretch", "__k", "__s")
 
 
 def top_per_kind(df: DataFrame, kind: str, order: list[Column], k: int) -> DataFrame:
@@ -72,17 +99,29 @@ def keep_zoom(df: DataFrame, kind: str, lon: str, lat: str, fame: str, isolation
     named rows whose ``min_zoom`` is at most the zoom less three.  Ties go to the smaller rank."""
     from wayline.constants import KEEP_BALANCES
 
-    z = df.withColumn("__z", F.explode(F.sequence(F.lit(0), F.lit(max_zoom))))
-    z = z.withColumn("__t", tiles.tile_key_at(F.col(lon), F.col(lat), F.col("__z")))
-    kept = F.lit(False)
-    orders = [F.desc(S.landmark_score(F.col(fame), F.col(isolation), b)) for b in KEEP_BALANCES]
-    for i, o in enumerate([*orders, *[F.desc_nulls_last(s) for s in sizes or []]]):
-        z = z.withColumn(f"__r{i}", F.row_number().over(Window.partitionBy(kind, "__t").orderBy(o, rank)))
-        limit = keep if i < len(orders) else keep_size
-        kept = kept | (F.col(f"__r{i}") <= limit) & (F.lit(True) if i < len(orders) else F.col(sizes[i - len(orders)]).isNotNull())
+    orders = [F.desc(S.landmark_score(F.col(fame), F.col(isolation), b)) for b in KEEP_BALANCES] + [F.desc_nulls_last(s) for s in sizes or []]
+
+    def kept(x: DataFrame, part: list[str], active) -> DataFrame:
+        """Adds ``__kept``: whether the row, if active, is among the first of the active rows of its part by any order."""
+        out = F.lit(False)
+        for i, o in enumerate(orders):
+            x = x.withColumn(f"__r{i}", F.row_number().over(Window.partitionBy(*part).orderBy(F.desc(active), o, rank)))
+            size = i - len(KEEP_BALANCES)
+            out = out | ((F.col(f"__r{i}") <= keep) if size < 0 else (F.col(f"__r{i}") <= keep_size) & F.col(sizes[size]).isNotNull())
+        return x.withColumn("__kept", out & active).drop(*[f"__r{i}" for i in range(len(orders))])
+
+    # what a tile keeps, the tile below it keeps too: from the deepest zoom on only the kept rows go up, and the first step is salted
+    x = df.select(kind, rank, lon, lat, fame, isolation, *(sizes or [])).withColumn("__t", tiles.tile_key_at(F.col(lon), F.col(lat), F.lit(max_zoom)))
+    x = kept(x.withColumn("__salt", F.pmod(F.xxhash64(rank), F.lit(32))), [kind, "__t", "__salt"], F.lit(True)).where("__kept")
+    x = cut(kept(x, [kind, "__t"], F.lit(True)).where("__kept").withColumn("__z", F.lit(max_zoom)))
+    for zoom in range(max_zoom - 1, -1, -1):
+        x = x.withColumn("__t", tiles.tile_key_at(F.col(lon), F.col(lat), F.lit(zoom)))
+        x = kept(x, [kind, "__t"], F.col("__z") == zoom + 1).withColumn("__z", F.when(F.col("__kept"), zoom).otherwise(F.col("__z")))
+    found = x.select(kind, rank, "__z")
     if min_zoom and named:
-        kept = kept | (F.col(named) & (F.col(min_zoom) <= F.col("__z") - 3))
-    per = z.where(kept).groupBy(kind, rank).agg(F.min("__z").alias("kz"))
+        at = F.greatest(F.ceil(F.col(min_zoom)) + 3, F.lit(0)).cast("int")
+        found = found.unionByName(df.where(F.col(named) & (at <= max_zoom)).select(kind, rank, at.alias("__z")))
+    per = found.groupBy(kind, rank).agg(F.min("__z").alias("kz"))
     return df.join(per, [kind, rank], "left").withColumn("kz", F.coalesce("kz", F.lit(max_zoom + 1)))
 
 
@@ -95,39 +134,47 @@ def speck_cells(df: DataFrame, lon: str, lat: str, zoom: int, deeper: int = 10,
     return df.select(tile.alias("tile"), cell.alias("cell"), *(by or [])).groupBy("tile", "cell", *(by or [])).agg(F.count("*").alias("n"))
 
 
-def nearest_better(df: DataFrame, group: list[str], id_col: str, lon: str, lat: str, score: str, unknown_km: float = 20_000.0, first_km: float = 8.0, growth: float = 6.0) -> DataFrame:
+def nearest_better(df: DataFrame, group: list[str], id_col: str, lon: str, lat: str, score: str, unknown_km: float = 20_000.0, first_km: float = 1.0, growth: float = 8.0) -> DataFrame:
     """(group, id, km): distance to the nearest row of the group with a higher score, of equal scores one with a smaller id.
 
-    Rings of growing radius: each level joins only the rows still open with the rows of neighbouring cells, and only the best
-    of each cell when a cell is finer than needed; beyond a quarter of the globe every cell neighbours every other and the few
-    rows left (no better one within thousands of kilometres: the globe has room for a few hundred per group) are compared with the better rows of their group.  Rows without a better one get ``unknown_km``.
+    Rows at one position are settled first: all but the best of them are at distance 0 from a better one.  Then rings of growing radius: each
+    level joins the rows still open with the best of the cells they touch, and only where that is better with the cell's rows; beyond a
+    quarter of the globe every cell neighbours every other and the few rows left (no better one within thousands of kilometres: the
+    globe has room for a few hundred per group) are compared with the better rows of their group.  Rows without a better one get ``unknown_km``.
     """
     d = df.select(*group, F.col(id_col).alias("id"), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"), F.col(score).cast("double").alias("score")).where("id is not null and lon is not null and lat is not null and score is not null").distinct()
-    d = cut(d)
+    rank = F.struct(-F.col("score"), F.col("id"))
+    best = d.groupBy(*group, "lon", "lat").agg(F.min_by("id", rank).alias("best"), F.count("*").alias("here"))
+    d = cut(d.join(best, [*group, "lon", "lat"]))
+    done = d.where("id <> best").select(*group, "id", F.lit(0.0).alias("m"))
+    d = d.where("id = best").select(*group, "id", "lon", "lat", "score")
     open_ = d
-    done = None
     radius = first_km * 1000.0
+    b = d.select(*group, F.col("id").alias("id2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("score").alias("score2"))
+    better = (F.col("score2") > F.col("score")) | ((F.col("score2") == F.col("score")) & (F.col("id2") < F.col("id")))
+    m = haversine_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
     while True:
         whole = radius >= 2_500_000.0
-        b = d.select(*group, F.col("id").alias("id2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("score").alias("score2"))
-        better = (F.col("score2") > F.col("score")) | ((F.col("score2") == F.col("score")) & (F.col("id2") < F.col("id")))
         if whole:
             # what is still open has no better row within the last radius: in each group, few rows
             pairs = open_.join(b, group).where(better)
         else:
+            cells = b.withColumn("cell", own_cell(F.col("lon2"), F.col("lat2"), radius))
+            top = cells.groupBy(*group, "cell").agg(F.max("score2").alias("score2"), F.min_by("id2", F.struct(-F.col("score2"), "id2")).alias("id2"))
             a = open_.withColumn("cell", F.explode(F.array_distinct(touched_cells(F.col("lon"), F.col("lat"), radius))))
-            pairs = a.join(b.withColumn("cell", own_cell(F.col("lon2"), F.col("lat2"), radius)), [*group, "cell"]).where(better)
-        m = haversine_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
+            a = a.join(top, [*group, "cell"]).where(better).drop("score2", "id2")
+            pairs = a.join(cells, [*group, "cell"]).where(better)
         hit = pairs.withColumn("m", m).where(F.lit(True) if whole else F.col("m") <= radius).groupBy(*group, "id").agg(F.min("m").alias("m"))
         hit = cut(hit)
-        done = hit if done is None else done.unionByName(hit)
+        done = done.unionByName(hit)
         if whole:
             break
         open_ = cut(open_.join(hit.select(*group, "id"), [*group, "id"], "left_anti"))
         radius *= growth
         if not open_.limit(1).count():
             break
-    return d.select(*group, "id").join(done, [*group, "id"], "left").select(*group, "id", F.least(F.coalesce(F.col("m") / 1000.0, F.lit(unknown_km)), F.lit(unknown_km)).alias("km"))
+    every = df.select(*group, F.col(id_col).alias("id"), F.col(lon).alias("lon"), F.col(lat).alias("lat"), F.col(score).alias("score")).where("id is not null and lon is not null and lat is not null and score is not null").select(*group, "id").distinct()
+    return every.join(done.groupBy(*group, "id").agg(F.min("m").alias("m")), [*group, "id"], "left").select(*group, "id", F.least(F.coalesce(F.col("m") / 1000.0, F.lit(unknown_km)), F.lit(unknown_km)).alias("km"))
 
 
 def exists_within(a: DataFrame, b: DataFrame, radius_m: float) -> DataFrame:
@@ -154,19 +201,11 @@ def label_zoom(km: Column, size_zoom: Column | None = None) -> Column:
     return F.least(z, size_zoom) if size_zoom is not None else z
 
 
-def percentile_rank(value: Column, known: Column, w: Window | None = None) -> Column:
-    """Share of the known values at or below; 0 where unknown."""
-    part = Window.partitionBy(known) if w is None else w
-    return F.when(known, F.cume_dist().over(part.orderBy(value))).otherwise(0.0)
-
-
 def rank_by_counts(df: DataFrame, value: str) -> DataFrame:
-    """Adds ``share``: the share of rows with a known value at or below (0 where unknown).  Values are counted first, and counts
-    run over buckets of value, so that no task sorts all rows."""
-    n = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n")).withColumn("__b", F.floor(F.col(value)))
-    buckets = n.groupBy("__b").agg(F.sum("__n").alias("__bn")).withColumn("__before", F.coalesce(F.sum("__bn").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__bn").over(Window.partitionBy()))
-    x = n.join(buckets, "__b").withColumn("__to", F.col("__before") + F.sum("__n").over(Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    return df.join(x.select(value, (F.col("__to") / F.col("__all")).alias("share")), value, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    """Adds ``share``: the share of rows with a known value at or below (0 where unknown), by counts of values, so that no task sorts all rows."""
+    x = _bucketed(df, value)
+    total = x.agg(F.sum("n")).first()[0] or 1
+    return df.join(x.select(F.col("value").alias(value), ((F.col("before") + F.col("n")) / total).alias("share")), value, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
 
 
 def held_back(df: DataFrame, group: list[str], name: str, id_col: str, lon: str, lat: str, score: str, km: float) -> DataFrame:

@@ -91,15 +91,9 @@ def fill_heights(b: DataFrame, storey: Column, allowance: Column, sizes: Column)
     return x.withColumn("height_dm", h.cast("int"))
 
 
-def lower_median(values: Column) -> Column:
-    """The lower middle of an array."""
-    s = F.array_sort(values)
-    return F.get(s, F.floor((F.size(s) - 1) / 2).cast("int"))
-
-
 def neighbour_heights(open_: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, near_dm): the lower median height of known buildings within 150 m of half to twice the footprint (five or more), else of those
-    within 300 m of at least 60 m² (eight or more).  Both: id, x, y (metres), area; known: h."""
+    """(id, near_dm): the lower median height of known buildings within 150 m of half to twice the footprint (five or more), else, for an
+    asked one of at least 60 m², of all known ones within 300 m (eight or more).  Both: id, x, y (metres), area; known: h."""
     cell = lambda c: F.floor(F.col(c) / 300.0)
     k = known.select(F.col("x").alias("kx"), F.col("y").alias("ky"), F.col("area").alias("karea"), "h", cell("x").alias("cx"), cell("y").alias("cy"))
     around = F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
@@ -108,7 +102,7 @@ def neighbour_heights(open_: DataFrame, known: DataFrame) -> DataFrame:
     p = o.join(k, ["cx", "cy"]).withColumn("d", d).where("d <= 300")
     alike = (F.col("d") <= 150) & F.col("karea").between(F.col("area") * 0.5, F.col("area") * 2)
     # heights are whole decimetres: counting them keeps a crowd of neighbours as a few rows
-    n = p.groupBy("id", "h").agg(F.count(F.when(alike, 1)).alias("a"), F.count(F.when(F.col("karea") >= 60, 1)).alias("b"))
+    n = p.groupBy("id", "h").agg(F.count(F.when(alike, 1)).alias("a"), F.count(F.when(F.col("area") >= 60, 1)).alias("b"))
     w = Window.partitionBy("id")
     run = w.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     n = n.withColumns({"na": F.sum("a").over(w), "nb": F.sum("b").over(w), "ra": F.sum("a").over(run), "rb": F.sum("b").over(run)})

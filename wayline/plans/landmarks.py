@@ -3,7 +3,7 @@ place from the key), suppliers for points of interest, parts for rows with filte
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.functions import scoring as S
@@ -43,9 +43,10 @@ def score_histogram(spark: SparkSession, d: str) -> DataFrame:
 def filter_histograms(spark: SparkSession, d: str) -> DataFrame:
     """P13, P16, G7."""
     p = table(spark, d, "part")
-    size, price, retail = F.col("p_size").cast("double"), F.log10("p_retailprice"), F.col("p_retailprice")
+    size, retail, year = F.col("p_size").cast("double"), F.col("p_retailprice"), 1500.0 + F.col("p_partkey") % 500
     f = {
-        "size": (size, L.range_filter(size, 5, 40, False), 0.0, 64.0), "price": (price, L.range_filter(retail, 950.0, 1800.0, False), 2.5, 3.5),
+        "size": (S.filter_axis(size, "linear"), L.range_filter(size, 5, 40, False), 0.0, 64.0), "price": (S.filter_axis(retail, "log"), L.range_filter(retail, 950.0, 1800.0, False), 2.5, 3.5),
+        "year": (S.filter_axis(year, "year"), L.range_filter(year, 1600, None, True), -2.75, -1.25),
         "parity": ((F.col("p_partkey") % 7).cast("double"), L.flag_filter(F.col("p_partkey") % 7, 0b101, True), 0.0, 8.0),
     }
     return L.filter_histograms(p, f, 128)
@@ -90,7 +91,7 @@ def speck_cells(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_in_kind(spark: SparkSession, d: str) -> DataFrame:
     """W15."""
-    return marks(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy("fa", "id")) - 1).select("kind", "id", "rank")
+    return L.rank_from_below(marks(spark, d), ["kind"], "fa", "id").select("kind", "id", "rank")
 
 
 def nearest_better(spark: SparkSession, d: str) -> DataFrame:
@@ -236,12 +237,13 @@ def _tile(z: int) -> str:
 
 
 _NB = f"nb as (select a.kind, a.id, least(coalesce(min(case when b.id is not null then {_KM} end), 20000), 20000) as km from m a left join m b on a.kind = b.kind and (b.fa > a.fa or (b.fa = a.fa and b.id < a.id)) group by a.kind, a.id)"
-_F = """f as (select *, cast(p_size as double) as size, (p_size between 5 and 40) as k_size, log10(p_retailprice) as price, (p_retailprice between 950 and 1800) as k_price, p_partkey % 7 as par, (p_partkey % 7) & 5 > 0 as k_par from part)"""
+_F = """f as (select *, cast(p_size as double) as size, (p_size between 5 and 40) as k_size, log10(p_retailprice) as price, (p_retailprice between 950 and 1800) as k_price, p_partkey % 7 as par, (p_partkey % 7) & 5 > 0 as k_par, -log10(greatest(2030 - (1500 + p_partkey % 500), 1)) as yr, 1500 + p_partkey % 500 >= 1600 as k_yr from part)"""
 SQL = {
     "score_histogram": f"with {_M} select cast(least(greatest(floor({_SCORE.format(b=0.25)} * 512), 0), 511) as int) as bin, count(*) as n from m group by 1",
-    "filter_histograms": f"""with {_F} select 'size' as filter, cast(least(greatest(floor(size / 64 * 128), 0), 127) as int) as bin, count(*) as n from f where k_price and k_par group by 1, 2
-union all select 'price', cast(least(greatest(floor((price - 2.5) * 128), 0), 127) as int), count(*) from f where k_size and k_par group by 1, 2
-union all select 'parity', cast(least(greatest(floor(par / 8 * 128), 0), 127) as int), count(*) from f where k_size and k_price group by 1, 2""",
+    "filter_histograms": f"""with {_F} select 'size' as filter, cast(least(greatest(floor(size / 64 * 128), 0), 127) as int) as bin, count(*) as n from f where k_price and k_par and k_yr group by 1, 2
+union all select 'price', cast(least(greatest(floor((price - 2.5) * 128), 0), 127) as int), count(*) from f where k_size and k_par and k_yr group by 1, 2
+union all select 'year', cast(least(greatest(floor((yr + 2.75) / 1.5 * 128), 0), 127) as int), count(*) from f where k_size and k_price and k_par group by 1, 2
+union all select 'parity', cast(least(greatest(floor(par / 8 * 128), 0), 127) as int), count(*) from f where k_size and k_price and k_yr group by 1, 2""",
     "rank_scores": f"with {_M}, s as (select round({_SCORE.format(b=0.5)}, 8) as score, row_number() over (order by round({_SCORE.format(b=0.5)}, 8) desc) as k, count(*) over () as n from m), r as (select unnest([1, 10, 100, 1000]) as rank) select cast(rank as int) as rank, round(score, 6) as score from r join s on s.k = least(rank, n)",
     "top_per_kind": f"with {_M}, s as (select *, round({_SCORE.format(b=0.25)}, 6) as score from m), k as (select *, row_number() over (partition by kind order by score desc, id) as place from s) select kind, place, id, score from k where place <= 10",
     "top_overall": f"with {_M} select kind, id, round({_SCORE.format(b=0.25)}, 6) as score from m order by score desc, kind, id limit 50",

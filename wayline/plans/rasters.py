@@ -138,7 +138,7 @@ x as (select w / (q - p + 1) as w, unnest(generate_series(cast(p as bigint), cas
     "height_fill": """with b as (select p_partkey as k, cast(p_partkey * 7919 % 3000 as double) as x, cast(p_partkey * 104729 % 3000 as double) as y, p_size * 20.0 as area, case when p_partkey % 3 = 0 then p_partkey % 90 * 10 else 0 end as h, p_partkey % 6 = 0 as est,
   case when p_partkey % 7 = 0 then p_partkey % 30 else 0 end as f, p_partkey % 400 as cell, p_partkey % 5 as sc from part),
 kn as (select * from b where h between 20 and 7000 and not est),
-pr as (select b.k, kn.h, sqrt(pow(b.x - kn.x, 2) + pow(b.y - kn.y, 2)) <= 150 and kn.area between b.area * 0.5 and b.area * 2 as a, kn.area >= 60 as c from b join kn on sqrt(pow(b.x - kn.x, 2) + pow(b.y - kn.y, 2)) <= 300),
+pr as (select b.k, kn.h, sqrt(pow(b.x - kn.x, 2) + pow(b.y - kn.y, 2)) <= 150 and kn.area between b.area * 0.5 and b.area * 2 as a, b.area >= 60 as c from b join kn on sqrt(pow(b.x - kn.x, 2) + pow(b.y - kn.y, 2)) <= 300),
 md as (select k, list_sort(list(h) filter (a)) as la, list_sort(list(h) filter (c)) as lc from pr group by k),
 nr as (select k, coalesce(case when len(la) >= 5 then la[(len(la) - 1) // 2 + 1] end, case when len(lc) >= 8 then lc[(len(lc) - 1) // 2 + 1] end) as near from md),
 ru as (select b.*, near, case when h between 20 and 7000 and not est then 'measured' when f between 1 and 120 then 'floors' when h between 20 and 7000 then 'estimate' when near is not null then 'neighbours' when cell >= 150 then 'cell' else 'size' end as rule from b left join nr using (k))
