@@ -101,22 +101,20 @@ def keep_zoom(df: DataFrame, kind: str, lon: str, lat: str, fame: str, isolation
 
     orders = [F.desc(S.landmark_score(F.col(fame), F.col(isolation), b)) for b in KEEP_BALANCES] + [F.desc_nulls_last(s) for s in sizes or []]
 
-    def kept(x: DataFrame, part: list[str], active) -> DataFrame:
-        """Adds ``__kept``: whether the row, if active, is among the first of the active rows of its part by any order."""
-        out = F.lit(False)
+    def kept(x: DataFrame, part: list[str]) -> DataFrame:
+        """The rows that are among the first of their part by any order."""
+        keeps = F.lit(False)
         for i, o in enumerate(orders):
-            x = x.withColumn(f"__r{i}", F.row_number().over(Window.partitionBy(*part).orderBy(F.desc(active), o, rank)))
+            x = x.withColumn(f"__r{i}", F.row_number().over(Window.partitionBy(*part).orderBy(o, rank)))
             size = i - len(KEEP_BALANCES)
-            out = out | ((F.col(f"__r{i}") <= keep) if size < 0 else (F.col(f"__r{i}") <= keep_size) & F.col(sizes[size]).isNotNull())
-        return x.withColumn("__kept", out & active).drop(*[f"__r{i}" for i in range(len(orders))])
-
-    # what a tile keeps, the tile below it keeps too: from the deepest zoom on only the kept rows go up, and the first step is salted
-    x = df.select(kind, rank, lon, lat, fame, isolation, *(sizes or [])).withColumn("__t", tiles.tile_key_at(F.col(lon), F.col(lat), F.lit(max_zoom)))
-    x = kept(x.withColumn("__salt", F.pmod(F.xxhash64(rank), F.lit(32))), [kind, "__t", "__salt"], F.lit(True)).where("__kept")
-    x = cut(kept(x, [kind, "__t"], F.lit(True)).where("__kept").withColumn("__z", F.lit(max_zoom)))
-    for zoom in range(max_zoom - 1, -1, -1):
-        x = x.withColumn("__t", tiles.tile_key_at(F.col(lon), F.col(lat), F.lit(zoom)))
-        x = kept(x, [kind, "__t"], F.col("__z") == zoom + 1).withColumn("__z", F.when(F.col("__kept"), zoom).otherwise(F.col("__z")))
+            keeps = keeps | ((F.col(f"__r{i}") <= keep) if size < 0 else (F.col(f"__r{i}") <= keep_size) & F.col(sizes[size]).isNotNull())
+        return x.where(keeps).drop(*[f"__r{i}" for i in range(len(orders))])
+
+    # what a tile keeps, the tile below it keeps too, so only what the deepest tiles keep, a bounded number of rows, is looked at above; the first step is salted
+    at_zoom = lambda x: x.withColumn("__t", tiles.tile_key_at(F.col(lon), F.col(lat), F.col("__z")))
+    x = at_zoom(df.select(kind, rank, lon, lat, fame, isolation, *(sizes or [])).withColumn("__z", F.lit(max_zoom)))
+    x = kept(x.withColumn("__salt", F.pmod(F.xxhash64(rank), F.lit(32))), [kind, "__t", "__salt"]).drop("__salt", "__t", "__z")
+    x = kept(at_zoom(x.withColumn("__z", F.explode(F.sequence(F.lit(0), F.lit(max_zoom))))), [kind, "__t"])
     found = x.select(kind, rank, "__z")
     if min_zoom and named:
         at = F.greatest(F.ceil(F.col(min_zoom)) + 3, F.lit(0)).cast("int")
