@@ -5,10 +5,10 @@ import os
 import pytest
 
 from compare import compare, oracle
-from wayline.plans import landmarks, network, problems, rasters, sequences, stores
+from wayline.plans import landmarks, network, problems, rasters, sequences, stores, views
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MODULES = (problems, sequences, landmarks, network, rasters, stores)
+MODULES = (problems, sequences, landmarks, network, rasters, stores, views)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 

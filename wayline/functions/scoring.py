@@ -19,6 +19,10 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
+def clamp_between(c: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(c, low), high)
+
+
 def drive_components(ch: Column) -> list[Column]:
     """Twelve values from 0 to 1 of a sample's 13 channels (array of 0..255, in the order of CHANNELS)."""
     at = {n: F.get(ch, F.lit(i)).cast("double") for i, n in enumerate(C.CHANNELS)}

@@ -31,8 +31,10 @@ def year(text: Column) -> Column:
 
 
 def population(text: Column) -> Column:
-    """Whole people; digits may be grouped by commas, points, blanks or apostrophes."""
-    return F.regexp_replace(F.regexp_extract(text, r"([0-9][0-9., ']*)", 1), "[., ']", "").try_cast("long")
+    """People, at least 0: the number before any semicolon, without commas and blanks; 0 where there is none."""
+    v = F.regexp_replace(F.split_part(text, F.lit(";"), F.lit(1)), "[, ]", "")
+    n = F.when(v.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), v.try_cast("double"))
+    return F.greatest(F.coalesce(n, F.lit(0.0)), F.lit(0.0))
 
 
 def truthy(text: Column) -> Column:
@@ -47,27 +49,73 @@ def bits(*tests: Column) -> Column:
     return out.cast("int")
 
 
-def service_group(tags: Column, name: Column) -> Column:
-    """Group of a rail route by its tags and name: 0 long-distance, 1 regional, 2 suburban, 3 tourist, 4 other."""
-    s, n = F.lower(F.coalesce(tags["service"], F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
+# Service groups of rail routes, and words of long-distance services.
+TRAM, METRO, COMMUTER, INTERCITY, HERITAGE = range(5)
+INTERCITY_WORDS = (
+    "tgv", "inoui", "ouigo", "intercités", "intercites", "eurostar", "thalys", "lyria", "ave ", "alvia", "euromed", "iryo", "avlo", "talgo", "alfa pendular", "intercidades", "amtrak", "via rail", "acela", "lner",
+    "avanti", "crosscountry", "cross country", "sleeper", "night riviera", "nightjet", "intercity", "inter city", "inter-city", "enterprise", "adirondack", "maple leaf", "vermonter", "ethan allen", "downeaster",
+    "lake shore", "the canadian", "the ocean", "northeast regional", "hull chelsea", "transcantábrico", "costa verde express", "al andalus", "shinkansen", "新幹線", "特急", "limited express", "高鐵", "自強", "thsr",
+)
+
+
+def service_group(tags: Column) -> Column:
+    """Service group of a rail route by its tags (a map): 0 tram, 1 metro, 2 commuter, 3 intercity, 4 heritage; null for other routes.
+
+    Tourist and preserved lines and funiculars are heritage (metros aren't).  A train's tagged service decides; only without one do the
+    words of its name, brand, network and operator."""
+    tag = lambda k: F.coalesce(tags[k], F.lit(""))
+    tourist = tag("service").isin("tourism", "heritage") | (tag("tourism") == "yes") | (tag("historic") == "yes") | (tag("railway:preserved") == "yes") | (tag("heritage:railway") == "yes")
+    text = F.lower(F.concat_ws(" ", *[tag(k) for k in ("name", "brand", "network", "operator")]))
+    named = F.lit(False)
+    for w in INTERCITY_WORDS:
+        named = named | text.contains(w)
+    train = F.when(tourist, HERITAGE).when(tag("service").isin("long_distance", "high_speed", "night", "international", "car_shuttle"), INTERCITY).when(tags["service"].isNotNull(), COMMUTER).when(named, INTERCITY).otherwise(COMMUTER)
     return (
-        F.when(s.isin("tourism") | n.rlike("heritage|museum|tourist|steam"), 3).when(s.isin("high_speed", "long_distance", "night", "international"), 0)
-        .when(s.isin("commuter", "suburban"), 2).when(s.isin("regional"), 1).when(n.rlike(r"express|intercity|\bic\b|\bice\b|\btgv\b"), 0).when(n.rlike(r"s-bahn|\brer\b|suburban|commuter"), 2)
-        .when(n.rlike(r"regional|\bter\b|\bre\b"), 1).otherwise(4)
+        F.when(tag("route") == "tram", F.when(tourist, HERITAGE).otherwise(TRAM)).when(tag("route").isin("subway", "light_rail", "monorail"), METRO)
+        .when(tag("route") == "funicular", HERITAGE).when(tag("route") == "train", train)
     )
 
 
-def place_rank(place: Column, population_: Column) -> Column:
-    """0 for cities of a million on, up to 7 for hamlets; by kind of place, a step less for each tenth of the people."""
-    base = F.when(place == "city", 1).when(place == "town", 3).when(place == "village", 5).when(place == "suburb", 4).otherwise(7)
-    return F.greatest(F.lit(0), F.least(F.lit(7), base - F.when(population_ >= 1_000_000, 1).when(population_ < 1000, -1).otherwise(0)))
+# Ranks of kinds of place.
+PLACE_RANKS = {"city": 7, "town": 6, "village": 5, "suburb": 4, "hamlet": 3, "quarter": 3, "neighbourhood": 2, "locality": 1, "isolated_dwelling": 0}
+
+
+def place_rank(place: Column) -> Column:
+    """Rank of a kind of place, the larger the more important; null for other kinds."""
+    return F.create_map(*[F.lit(x) for k, v in PLACE_RANKS.items() for x in (k, v)])[place]
+
+
+def size_zoom(population_: Column, capital: Column) -> Column:
+    """Zoom from which a place of that many people shows however near a more important one is: 18 less twice the logarithm, a capital half a zoom sooner; null without people."""
+    return F.when(population_ > 0, 18.0 - 2.0 * F.log10(population_) - F.when(F.coalesce(capital, F.lit(False)), 0.5).otherwise(0.0))
+
+
+# Keys of kana readings in order, and subtags that name the same language in another script or region.
+KANA_KEYS = ("kana", "name:ja-Hira", "name:ja_kana", "name:ja-Kana")
+SAME_LANGUAGE = ("Hant", "Hans", "TW", "HK", "CN", "MO", "SG")
+
+
+def _present(tags: Column, key: str) -> Column:
+    return F.when(F.trim(tags[key]) != "", tags[key])
+
 
+def own_english(tags: Column, keys: tuple[str, ...] = ("name:en", "name_en")) -> Column:
+    """The English name a thing has by its own tags: the first of ``keys``, else a romanized name (a plain Latin form, else one marked _rm, else a
+    Latin form of a named system), else its kana reading in Latin letters; null without any."""
+    from wayline.functions.kana import romanized
 
-def own_english(names: Column) -> Column:
-    """The English name of a map of names by language: en, else an int_name, else the default name if it is in Latin letters."""
-    return F.coalesce(names["en"], names["int_name"], F.when(names["name"].rlike(r"^[\x20-\x7eÀ-ɏ]+$"), names["name"]))
+    rest = lambda k: F.regexp_extract(k, r"^name:(.*)$", 1)
+    rank = lambda k: F.when(rest(k).rlike("_rm$"), 1).when(rest(k).rlike("^[^-]*-Latn$"), 0).when(rest(k).rlike("^[^-]*-Latn-[^-]*"), 2)
+    latin = F.transform(F.filter(F.map_entries(tags), lambda e: e["key"].startswith("name:") & (F.trim(e["value"]) != "") & rank(e["key"]).isNotNull()), lambda e: F.struct(rank(e["key"]).alias("r"), e["key"].alias("k"), e["value"].alias("v")))
+    kana = F.coalesce(*[_present(tags, k) for k in KANA_KEYS])
+    return F.coalesce(*[_present(tags, k) for k in keys], F.array_min(latin)["v"], romanized(kana))
 
 
-def languages(names: Column) -> Column:
-    """Language codes that names are tagged with, sorted."""
-    return F.array_sort(F.filter(F.transform(F.map_keys(names), lambda k: F.regexp_extract(k, r"^name:([a-z]{2,3}(?:-[A-Za-z]+)?)$", 1)), lambda k: k != ""))
+def languages(name: Column, tags: Column) -> Column:
+    """Languages a name is in by its tags, sorted: those whose name:<language> is the name itself (a script or region subtag may follow, a
+    transliteration doesn't count) and those listed in ``l``."""
+    same = "|".join(SAME_LANGUAGE)
+    code = lambda k: F.regexp_extract(k, rf"^name:([a-z]{{2,3}})(?:[-_](?:{same}))*$", 1)
+    said = F.transform(F.filter(F.map_entries(tags), lambda e: (e["value"] == name) & (code(e["key"]) != "")), lambda e: code(e["key"]))
+    listed = F.filter(F.transform(F.split(F.coalesce(tags["l"], F.lit("")), ","), lambda x: F.trim(x)), lambda x: x.rlike("^[a-z]{2,3}$"))
+    return F.array_sort(F.array_union(said, listed))
