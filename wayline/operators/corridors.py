@@ -96,18 +96,12 @@ def merge_stops(stops: DataFrame, named_m: float = 800.0, unnamed_m: float = 100
 
 
 def thin_pieces(pieces: DataFrame, tile: str, order: str, cells: str) -> DataFrame:
-    """The pieces of each tile that, in draw order, reach a cell none kept before reaches.  A tile has a fixed number of cells; ``cells`` is an array."""
+    """The pieces of each tile that, in draw order, reach a cell none kept before reaches; ``cells`` is an array.  Pieces of one tile and place in the order stay together.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: set = set()
-        keep = []
-        for i, c in enumerate(pdf.sort_values(order, kind="stable")[cells]):
-            new = set(np.asarray(c).tolist()) - seen
-            keep.append(bool(new))
-            seen |= new
-        return pdf.sort_values(order, kind="stable")[keep]
-
-    return pieces.where(F.col(cells).isNotNull()).groupBy(tile).applyInPandas(run, pieces.schema)
+    What a dropped piece reaches, kept ones before it reach, so a piece is kept if and only if it is the first of all to reach some cell: a grouped minimum, no walk."""
+    x = pieces.where(F.col(cells).isNotNull())
+    first = x.select(tile, F.col(order).alias("__o"), F.explode(cells).alias("__cell")).groupBy(tile, "__cell").agg(F.min("__o").alias(order))
+    return x.join(first.select(tile, order).distinct(), [tile, order], "left_semi")
 
 
 def site_outlines(sites: DataFrame, parts: DataFrame, relations: DataFrame, members: DataFrame, most: float = 3.0) -> DataFrame:

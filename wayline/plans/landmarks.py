@@ -3,6 +3,8 @@ place from the key), suppliers for points of interest, parts for rows with filte
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,14 +151,16 @@ def tile_functions(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", x.alias("x"), y.alias("y"), tiles.tile_key(F.lit(6), x, y).alias("key"), F.size(tiles.neighbour_tiles(x, y, 6)).alias("near"), (back < 0.01).alias("same"))
 
 
+OUTLINES = {
+    "europe": [(-10.0, 35.0), (40.0, 35.0), (40.0, 70.0), (15.0, 60.0), (-10.0, 70.0)], "dateline": [(170.0, -40.0), (-160.0, -40.0), (-160.0, 10.0), (170.0, 10.0)], "pole": [(x * 30.0 - 180.0, 70.0) for x in range(12)],
+}
+
+
 def in_view(spark: SparkSession, d: str) -> DataFrame:
     """Landmarks in a view's outline, in one over the date line and in one round the pole."""
-    outlines = {
-        "europe": [(-10.0, 35.0), (40.0, 35.0), (40.0, 70.0), (15.0, 60.0), (-10.0, 70.0)], "dateline": [(170.0, -40.0), (-160.0, -40.0), (-160.0, 10.0), (170.0, 10.0)], "pole": [(x * 30.0 - 180.0, 70.0) for x in range(12)],
-    }
     m = marks(spark, d)
     out = None
-    for name, ring in outlines.items():
+    for name, ring in OUTLINES.items():
         x = m.where(R.view_holds(ring, m["lon"], m["lat"])).groupBy().agg(F.count("*").alias("n"), F.sum("id").alias("ids")).select(F.lit(name).alias("view"), "n", "ids")
         out = x if out is None else out.unionByName(x)
     return out
@@ -222,6 +226,26 @@ QUERIES = {
     )
 }
 
+def view_sql(ring: list[tuple[float, float]], lon: str = "lon", lat: str = "lat") -> str:
+    """Whether a point is inside an outline: on the stereographic plane centred on the outline, by the number of edges that a ray crosses."""
+    vec = [(math.cos(math.radians(b)) * math.cos(math.radians(a)), math.cos(math.radians(b)) * math.sin(math.radians(a)), math.sin(math.radians(b))) for a, b in ring]
+    c = [sum(v[i] for v in vec) for i in range(3)]
+    size = math.sqrt(sum(v * v for v in c))
+    lon0, lat0 = math.atan2(c[1], c[0]), math.asin(c[2] / size)
+
+    def flat(a, b):
+        a, b = math.radians(a) - lon0, math.radians(b)
+        k = 2 / (1 + math.sin(lat0) * math.sin(b) + math.cos(lat0) * math.cos(b) * math.cos(a))
+        return k * math.cos(b) * math.sin(a), k * (math.cos(lat0) * math.sin(b) - math.sin(lat0) * math.cos(b) * math.cos(a))
+
+    a, b = f"(radians({lon}) - {lon0!r})", f"radians({lat})"
+    near = f"(1 + {math.sin(lat0)!r} * sin({b}) + {math.cos(lat0)!r} * cos({b}) * cos({a}))"
+    x, y = f"(2 / {near} * cos({b}) * sin({a}))", f"(2 / {near} * ({math.cos(lat0)!r} * sin({b}) - {math.sin(lat0)!r} * cos({b}) * cos({a})))"
+    pts = [flat(*p) for p in ring]
+    cross = " + ".join(f"(case when ({q[1]!r} > {y}) <> ({p[1]!r} > {y}) and {x} < {(p[0] - q[0])!r} * ({y} - {q[1]!r}) / {(p[1] - q[1])!r} + {q[0]!r} then 1 else 0 end)" for q, p in zip(pts, pts[1:] + pts[:1]))
+    return f"({near} > 1 and ({cross}) % 2 = 1)"
+
+
 _M = """m as (select c_custkey as id, c_mktsegment as kind, c_nationkey, (c_custkey * 7919 % 36000) / 100.0 - 180 as lon, (c_custkey * 104729 % 17000) / 100.0 - 85 as lat,
 log10(1 + greatest(c_acctbal, 0)) as fa, cast(c_custkey * 37 % 2000 + 1 as double) as ia from customer)"""
 _SCORE = "((1 - {b}) * least(fa / 5, 1) + {b} * least(greatest((log10(greatest(ia, 0.05)) + 1.3) / 5.6, 0), 1))"
@@ -282,3 +306,4 @@ l(id, root) using key (id) as (select a, min(least(a, b)) from u group by a unio
 s as (select 'both' as set, t from a where t in (select t from b) union all select 'first_only', t from a where t not in (select t from b) union all select 'all', t from (select t from a union select t from b))
 select set, count(*) as n, sum(t % 1000003) as h from s group by set""",
 }
+SQL["in_view"] = f"with {_M} " + " union all ".join(f"select '{k}' as view, count(*) as n, sum(id) as ids from m where {view_sql(r)}" for k, r in OUTLINES.items())

@@ -140,3 +140,17 @@ select distinct a.track, b.track as other from p a join p b on a.s = b.s and a.t
     "site_outlines": """with s as (select c_custkey as site, abs(c_acctbal) as area from customer where c_custkey % 5 <> 1), r as (select site, site as ref from s union all select c_custkey - 1, c_custkey from customer where c_custkey % 5 = 1)
 select distinct s.site, l_partkey as way from s join r on r.site = s.site join orders on o_custkey = r.ref join lineitem on l_orderkey = o_orderkey where s.area <= 0 or o_totalprice / 20 <= 3 * s.area""",
 }
+SQL["chained_roads"] = f"""with recursive {_WAYS}, pr as materialized (select a.id, a.en as e, a.id2, 1 - a.en2 as o2 from best a join best b on b.node = a.node and b.id = a.id2 and b.en = a.en2 and b.id2 = a.id and b.en2 = a.en),
+len as (select o_orderkey as id, o_totalprice / 100 as m from orders), st as (select id, e from len, (values (0), (1)) t(e)),
+wk(id, e, cur, ce, far, low, n, ring) as (select id, e, id, e, cast(0 as double), id, 0, false from st
+  union all select w.id, w.e, p.id2, p.o2, case when p.id2 = w.id then w.far else w.far + l.m end, least(w.low, p.id2), n + 1, p.id2 = w.id from wk w join pr p on p.id = w.cur and p.e = w.ce join len l on l.id = p.id2 where not w.ring),
+fin as (select id, e, arg_max(cur, n) as last, max(far) as far, min(low) as low, bool_or(ring) as ring from wk group by id, e),
+two as (select l.id, l.m, a.last as l0, b.last as l1, a.far as f0, b.far as f1, least(a.low, b.low) as road, a.ring from len l join fin a on a.id = l.id and a.e = 0 join fin b on b.id = l.id and b.e = 1),
+rg as (select w.id as m, w.cur, w.ce, w.n, sum(l.m) over (partition by w.id order by w.n rows unbounded preceding) - l.m as off from wk w join two t on t.id = w.id and t.ring and t.road = w.id join len l on l.id = w.cur where w.e = 1 and not w.ring)
+select t.id, road, round(t.m + f0 + case when t.ring then 0 else f1 end, 4) as road_length, round(case when t.ring then rg.off when l0 <= l1 then f0 else f1 end, 4) as "offset", case when t.ring then 1 - rg.ce when l0 <= l1 then 0 else 1 end as reverse from two t left join rg on t.ring and rg.m = t.road and rg.cur = t.id"""
+SQL["track_routes"] = """with recursive c as (select c_nationkey || '/' || (c_custkey // 3000) as region, c_custkey % 40 as a, c_custkey * 7 % 40 as b, abs(c_acctbal) + 1 as cost from customer),
+e as materialized (select region, a, b, cost from c where a <> b union all select region, b, a, cost from c where a <> b),
+d(region, node, cost) using key (region, node) as (select distinct region, cast(1 as bigint), cast(0 as double) from c
+  union select e.region, e.b, min(d.cost + e.cost) from d join e on e.region = d.region and e.a = d.node left join recurring.d as k on k.region = e.region and k.node = e.b where k.cost is null or d.cost + e.cost < k.cost group by e.region, e.b)
+select '1' as a, cast(d.node as varchar) as b, round(d.cost, 2) as cost from d join (select distinct region, a from c where a <> 1) p on p.region = d.region and p.a = d.node where d.cost <= 9000"""
+SQL["thinned_pieces"] = "with c as (select distinct l_orderkey % 50 as tile, l_orderkey as ord, l_partkey % 200 as cell from lineitem) select distinct tile, ord from (select tile, min(ord) as ord from c group by tile, cell)"

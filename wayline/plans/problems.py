@@ -48,7 +48,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d).withColumnRenamed("k", "mac")
+    x = _grid(spark, d).withColumnRenamed("k", "mac")
+    return x.withColumns({f: F.round(f, 4) for f in FIELDS})
 
 
 def busy_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +123,27 @@ st as (select *, sum(case when p is null or t - p > 1800 then 1 else 0 end) over
 minutes as (select distinct mac, unnest(generate_series(a, b)) as slot from (select mac, min(slot) as a, max(slot) as b from st group by mac, g)),
 has as (select mac, slot, count(load) as load, count(memfree) as memfree, count(swap) as swap from ok group by mac, slot)
 """
+def _field_sql(f: str) -> str:
+    """The local line of one field at a slot's middle: weighted means and slopes by their textbook formulas."""
+    mean = lambda x: f"sum(w * {x}) filter ({f} is not null) / nullif(sum(w) filter ({f} is not null), 0)"
+    return (
+        f"count(*) filter (own and {f} is not null) as {f}_n, {mean('u')} as {f}_mu, {mean(f)} as {f}_my, {mean('u * u')} as {f}_muu, {mean('u * ' + f)} as {f}_muy, "
+        f"coalesce(pow(sum(w) filter ({f} is not null), 2) / nullif(sum(w * w) filter ({f} is not null), 0), 0) as {f}_sup"
+    )
+
+
+def _pick_sql(f: str) -> str:
+    n, sup = f"coalesce({f}_n, 0)", f"coalesce({f}_sup, 0)"
+    line = f"case when {f}_sup >= 2 and {f}_muu - {f}_mu * {f}_mu > 1e-6 then {f}_my - ({f}_muy - {f}_mu * {f}_my) / ({f}_muu - {f}_mu * {f}_mu) * {f}_mu else {f}_my end"
+    return f"cast({n} as int) as {f}_n, round(case when {n} > 0 or {sup} >= 1.5 then {line} end, 4) as {f}, round({sup}, 4) as {f}_support, case when {n} > 0 then 'measured' when {sup} >= 1.5 then 'filled' else 'missing' end as {f}_mark"
+
+
 SQL = {
+    "p2_grid": "with " + _SAMPLE + """, one as (select mac, t, max(load) as load, max(memfree) as memfree, max(swap) as swap from ok group by mac, t),
+near as (select *, cast(floor(t / 60) as bigint) as base from one), sl as (select *, base + k as slot, k = 0 as own, (t - (base + k + 0.5) * 60) / 150 as u from near, (values (-3), (-2), (-1), (0), (1), (2), (3)) v(k)),
+ww as (select *, case when abs(u) < 1 then pow(1 - pow(abs(u), 3), 3) else 0 end as w from sl where own or abs(u) <= 1),
+g as (select mac, slot, count(*) filter (own) as n, min(t) filter (own) as t_min, max(t) filter (own) as t_max, """ + ", ".join(_field_sql(f) for f in FIELDS) + """ from ww group by mac, slot)
+select m.mac, m.slot, (m.slot + 0.5) * 60 as t, """ + ", ".join(_pick_sql(f) for f in FIELDS) + " from minutes m left join g on g.mac = m.mac and g.slot = m.slot",
     "p1_found": _WALK + """last as (select up.id, coalesce(min(case when r.id is not null then up.cur end), max(case when e.parent is null then up.cur end)) as top, count(r.id) as loops
   from up left join edge e on e.id = up.cur left join ring r on r.id = up.cur group by up.id),
 recorded as (select id, arg_max(root, seq) as root from spans where id <> '' and root is not null group by id)

@@ -150,3 +150,10 @@ st as (select z, cast(v * 13 % pow(2, z) as bigint) as x, cast(v * 29 % pow(2, z
 select a.z, a.x, a.y, arg_max(value, st.z) as value, max(st.z) as from_z from asked a join st on st.x = a.x // cast(pow(2, 8 - st.z) as bigint) and st.y = a.y // cast(pow(2, 8 - st.z) as bigint) group by 1, 2, 3""",
     "finest_zooms": f"with {_C}, s as (select s_suppkey * 7 % 120 as w, s_suppkey * 7 % 120 + s_suppkey % 8 as e, s_suppkey * 11 % 60 as b, s_suppkey * 11 % 60 + s_suppkey % 4 as t, s_suppkey % 14 as zoom from supplier) select c.x, c.y, cast(coalesce(max(zoom), 0) as int) as zoom from c left join s on c.x between w and e and c.y between b and t group by 1, 2",
 }
+SQL["burned_flags"] = """with s as (select s_suppkey % 8 as bit, s_suppkey % 3 = 0 as line, s_suppkey as id, cast(s_suppkey * 7 % 50 as double) as x, cast(s_suppkey * 13 % 50 as double) as y from supplier),
+e as (select id, bit, line, x as x0, y as y0, x + 9.5 as x1, y + 2.5 as y1 from s union all select id, bit, line, x + 9.5, y + 2.5, x + 3, y + 8.5 from s union all select id, bit, line, x + 3, y + 8.5, x, y from s),
+g as (select a.i as cx, b.i as cy from range(0, 64) a(i), range(0, 64) b(i)),
+f as (select cx, cy, bit from e join g on not line and (y0 > cy + 0.5) <> (y1 > cy + 0.5) and cx + 0.5 < (x1 - x0) * (cy + 0.5 - y0) / (y1 - y0) + x0 group by id, bit, cx, cy having count(*) % 2 = 1),
+l as (select cx, cy, bit from e join g on line and cx between least(x0, x1) - 1 and greatest(x0, x1) and cy between least(y0, y1) - 1 and greatest(y0, y1)
+  where least(1, greatest((cx - x0) / (x1 - x0), (cx + 1 - x0) / (x1 - x0)), greatest((cy - y0) / (y1 - y0), (cy + 1 - y0) / (y1 - y0))) - greatest(0, least((cx - x0) / (x1 - x0), (cx + 1 - x0) / (x1 - x0)), least((cy - y0) / (y1 - y0), (cy + 1 - y0) / (y1 - y0))) > 1e-12)
+select 0 as tile, cast(cx as int) as x, cast(cy as int) as y, cast(bit_or(cast(1 << bit as int)) as int) as bits from (select distinct * from (select * from f union all select * from l)) group by cx, cy"""

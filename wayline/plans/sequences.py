@@ -137,7 +137,7 @@ def approx_vs_exact(spark: SparkSession, d: str) -> DataFrame:
     pts = Q.pseudo_samples(bins.withColumnRenamed("off", "o"), "o", "length", "n").withColumn("p", F.round("pos").cast("long"))
     approx = Q.best_window(pts, ["road", "run"], "p", "mean", LENGTH, GAP).select("road", "run", F.col("mean").alias("approx"))
     both = exact.join(approx, ["road", "run"], "full")
-    return both.agg(F.count("*").alias("runs"), F.count(F.when(F.col("exact").isNotNull() & F.col("approx").isNotNull(), 1)).alias("in_both"), F.max(F.abs(F.col("exact") - F.col("approx"))).alias("worst"), F.avg(F.abs(F.col("exact") - F.col("approx"))).alias("mean_error"))
+    return both.agg(F.count("*").alias("runs"), F.count(F.when(F.col("exact").isNotNull() & F.col("approx").isNotNull(), 1)).alias("in_both"), F.round(F.max(F.abs(F.col("exact") - F.col("approx"))), 6).alias("worst"), F.round(F.avg(F.abs(F.col("exact") - F.col("approx"))), 6).alias("mean_error"))
 
 
 def thinned_profile(spark: SparkSession, d: str) -> DataFrame:
@@ -363,3 +363,19 @@ select l_suppkey, round(avg(least(greatest(drive, 0), 1)), 6) as drive, round(av
 SQL["weekday_runs"] = _cycle("event_type, user_id", "isodow(ts)", "events", 7)
 SQL["month_runs"] = _cycle("o_custkey, o_orderpriority", "month(o_orderdate)", "orders", 12)
 SQL["stage_durations"] = SQL["stage_durations"].replace("{EVENT_CHAIN}", SQL["event_chain"])
+SQL["thinned_profile"] = f"""with recursive {_S}, x as (select road, off / 3.6e9 as h, score, row_number() over (partition by road order by off, score) as i, count(*) over (partition by road) as n from s),
+y as (select *, (score - lag(score) over w) * (lead(score) over w - score) < 0 as turns from x window w as (partition by road order by i)),
+t(road, i, h0, s0, kept) as (select road, i, h, score, true from y where i = 1
+  union all select y.road, y.i, case when y.h - t.h0 >= 24 or (turns and abs(y.score - t.s0) > 20) then y.h else t.h0 end, case when y.h - t.h0 >= 24 or (turns and abs(y.score - t.s0) > 20) then y.score else t.s0 end, y.h - t.h0 >= 24 or (turns and abs(y.score - t.s0) > 20)
+  from t join y on y.road = t.road and y.i = t.i + 1 where y.i < y.n)
+select road, round(h, 6) as h, score from y where i = n or (road, i) in (select road, i from t where kept)"""
+SQL["approx_vs_exact"] = f"""with recursive {_BEST}, ex as (select road, run, mean as exact from best where rn = 1),
+bx as (select *, row_number() over (partition by road, run order by off, event_id) as k from r),
+b(road, run, k, bin, off0) as (select road, run, k, 0, off from bx where k = 1 union all
+  select x.road, x.run, x.k, case when x.off - b.off0 < {HOUR} then b.bin else b.bin + 1 end, case when x.off - b.off0 < {HOUR} then b.off0 else x.off end from b join bx x on x.road = b.road and x.run = b.run and x.k = b.k + 1),
+bins as (select b.road, b.run, b.bin, b.off0 as o, max(x.off) - b.off0 as l, count(*) as n, avg(x.score) as mean from b join bx x on x.road = b.road and x.run = b.run and x.k = b.k group by 1, 2, 3, 4),
+ps as (select road, run, mean, cast(round(case when n > 1 then o + l * q / (n - 1) else o + l / 2 end) as bigint) as off from (select *, unnest(generate_series(0, n - 1)) as q from bins)),
+pi as (select *, row_number() over (partition by road, run order by off) as i, sum(mean) over (partition by road, run order by off rows unbounded preceding) as pre from ps),
+pj as (select *, min(i) over (partition by road, run order by off range between {LENGTH} following and unbounded following) as j from pi),
+pm as (select a.road, a.run, max((q.pre - a.pre + a.mean) / (q.i - a.i + 1)) as approx from pj a join pi q on q.road = a.road and q.run = a.run and q.i = a.j group by 1, 2)
+select count(*) as runs, count(*) filter (exact is not null and approx is not null) as in_both, round(max(abs(exact - approx)), 6) as worst, round(avg(abs(exact - approx)), 6) as mean_error from ex full join pm using (road, run)"""

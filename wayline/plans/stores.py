@@ -233,3 +233,4 @@ r as (select *, row_number() over (partition by set order by pr desc, zoom desc,
     "tag_values": """select p_partkey, round(case p_partkey % 4 when 0 then p_partkey % 90 when 1 then (p_partkey % 90) * 0.3048 when 2 then (p_partkey % 9) * 0.3048 + 6 * 0.0254 end, 4) as height, cast(case when p_partkey % 2 = 0 then 1500 + p_partkey % 500 else 1700 end as int) as year,
 cast((case when p_partkey % 2 = 0 then 1 else 0 end) + (case when p_partkey % 3 = 0 then 2 else 0 end) + (case when p_partkey % 5 = 0 then 4 else 0 end) as int) as bits from part""",
 }
+SQL["log_digests"] = f"with {_O} " + " union all ".join(f"select {k} as seq, (select count(*) from ({_state(k)})) as n, true as same" for k in (1, 20, 60))

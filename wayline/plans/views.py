@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from wayline.operators import details as D
 from wayline.operators import sequences as Q
 from wayline.operators import timetables as T
 from wayline.operators import views as V
-from wayline.plans.landmarks import marks
+from wayline.plans.landmarks import marks, view_sql
 from wayline.session import table
 
 DRIVE_BOX, RIDE_BOX, MARK_BOX = (-20.0, -35.0, 25.0, 40.0), (-30.0, -50.0, 30.0, 45.0), (-60.0, -40.0, 80.0, 60.0)
@@ -298,26 +296,6 @@ QUERIES = {
 }
 
 
-def view_sql(ring: list[tuple[float, float]], lon: str = "lon", lat: str = "lat") -> str:
-    """Whether a point is inside an outline: on the stereographic plane centred on the outline, by the number of edges that a ray crosses."""
-    vec = [(math.cos(math.radians(b)) * math.cos(math.radians(a)), math.cos(math.radians(b)) * math.sin(math.radians(a)), math.sin(math.radians(b))) for a, b in ring]
-    c = [sum(v[i] for v in vec) for i in range(3)]
-    size = math.sqrt(sum(v * v for v in c))
-    lon0, lat0 = math.atan2(c[1], c[0]), math.asin(c[2] / size)
-
-    def flat(a, b):
-        a, b = math.radians(a) - lon0, math.radians(b)
-        k = 2 / (1 + math.sin(lat0) * math.sin(b) + math.cos(lat0) * math.cos(b) * math.cos(a))
-        return k * math.cos(b) * math.sin(a), k * (math.cos(lat0) * math.sin(b) - math.sin(lat0) * math.cos(b) * math.cos(a))
-
-    a, b = f"(radians({lon}) - {lon0!r})", f"radians({lat})"
-    near = f"(1 + {math.sin(lat0)!r} * sin({b}) + {math.cos(lat0)!r} * cos({b}) * cos({a}))"
-    x, y = f"(2 / {near} * cos({b}) * sin({a}))", f"(2 / {near} * ({math.cos(lat0)!r} * sin({b}) - {math.sin(lat0)!r} * cos({b}) * cos({a})))"
-    pts = [flat(*p) for p in ring]
-    cross = " + ".join(f"(case when ({q[1]!r} > {y}) <> ({p[1]!r} > {y}) and {x} < {(p[0] - q[0])!r} * ({y} - {q[1]!r}) / {(p[1] - q[1])!r} + {q[0]!r} then 1 else 0 end)" for q, p in zip(pts, pts[1:] + pts[:1]))
-    return f"({near} > 1 and ({cross}) % 2 = 1)"
-
-
 _SAMP = "s as (select distinct l_suppkey as road, l_orderkey * 7 + l_linenumber as off from lineitem), smp as (select road, off, road * 100000 + off // 2000 as way, (off % 7000) / 100.0 - 35 as lon, (road * 37 % 120) - 60 + (off % 100) / 100.0 as lat from s)"
 _CHAN = ", ".join(f"cast((off * {7 + 2 * i} + {13 * i}) % 256 as double) as c{i}" for i in range(13))
 
