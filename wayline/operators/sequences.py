@@ -98,11 +98,12 @@ def best_window(df: DataFrame, keys: list[str], pos: str, score: str, length: fl
     part = [*keys, "b"]
     w = Window.partitionBy(*part).orderBy("pos", "tie")
     d = d.withColumn("i", F.row_number().over(w)).withColumn("pre", F.sum("score").over(w.rowsBetween(*UNTIL)))
-    # rows and the points at which stretches may end, in one descending order: the last row seen is the end
-    row = d.select(*part, F.col("pos").alias("at"), F.lit(0).alias("q"), "i", F.struct("i", "pos", "pre", "ok").alias("row"), F.lit(None).cast(d.select(F.struct("i", "pos", "pre", "score").alias("x")).schema["x"].dataType).alias("ask"))
-    ask = d.where("own = b").select(*part, (F.col("pos") + length).alias("at"), F.lit(1).alias("q"), F.lit(0).alias("i"), F.lit(None).cast(row.schema["row"].dataType).alias("row"), F.struct("i", "pos", "pre", "score").alias("ask"))
-    down = Window.partitionBy(*part).orderBy(F.desc("at"), "q", F.desc("i")).rowsBetween(*UNTIL)
-    hit = row.unionByName(ask).withColumn("end", F.last("row", ignorenulls=True).over(down)).where("q = 1 and end is not null and end.i >= ask.i")
+    # each row once as itself and, in its own block, once as the point at which its stretch may end, in one descending order: the last row seen is the end
+    me = F.struct("i", "pos", "pre", "ok", "score")
+    both = F.array(F.struct(F.col("pos").alias("at"), F.lit(0).alias("q"), F.col("i").alias("k")), F.when(F.col("own") == F.col("b"), F.struct((F.col("pos") + length).alias("at"), F.lit(1).alias("q"), F.lit(0).alias("k"))))
+    x = d.select(*part, me.alias("ask"), F.explode(F.filter(both, lambda e: e.isNotNull())).alias("e"))
+    down = Window.partitionBy(*part).orderBy(F.desc("e.at"), "e.q", F.desc("e.k")).rowsBetween(*UNTIL)
+    hit = x.withColumn("end", F.last(F.when(F.col("e.q") == 0, F.col("ask")), ignorenulls=True).over(down)).where("e.q = 1 and end is not null and end.i >= ask.i")
     n = F.col("end.i") - F.col("ask.i") + 1
     hit = hit.select(*part, F.col("ask.i").alias("i"), F.col("ask.pos").alias("off0"), F.col("end.pos").alias("off1"), n.cast("long").alias("n"), ((F.col("end.pre") - F.col("ask.pre") + F.col("ask.score")) / n).alias("mean"), F.floor((F.col("ask.i") + F.col("end.i")) / 2).alias("mid"))
     if in_view:
