@@ -33,7 +33,12 @@ def view_holds(ring: list[tuple[float, float]], lon: Column, lat: Column) -> Col
     near = 1 + math.sin(lat0) * F.sin(b) + math.cos(lat0) * F.cos(b) * F.cos(a)
     k = 2 / F.greatest(near, F.lit(1e-9))
     x, y = k * F.cos(b) * F.sin(a), k * (math.cos(lat0) * F.sin(b) - math.sin(lat0) * F.cos(b) * F.cos(a))
-    edges = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), (*p, *q))]) for p, q in zip(pts, pts[1:] + pts[:1]) if p[1] != q[1]])
+    sides = [(*p, *q) for p, q in zip(pts, pts[1:] + pts[:1]) if p[1] != q[1]]
+    if len(sides) <= 32:
+        # plain arithmetic stays in generated code, and without branches the point's plane coordinates are worked out once for all sides
+        hits = [((F.lit(y0) > y) != (F.lit(y1) > y)).cast("int") * (x < (x1 - x0) / (y1 - y0) * (y - y0) + x0).cast("int") for x0, y0, x1, y1 in sides]
+        return (near > 1.0) & (sum(hits[1:], hits[0] if hits else F.lit(0)) % 2 == 1)
+    edges = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), e)]) for e in sides])
 
     def inside(p: Column) -> Column:
         crosses = lambda e: ((e["y0"] > p["y"]) != (e["y1"] > p["y"])) & (p["x"] < (e["x1"] - e["x0"]) * (p["y"] - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"])

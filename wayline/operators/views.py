@@ -44,6 +44,11 @@ def _found(runs: DataFrame, length: float) -> DataFrame:
     return cut(best.select("road", "run", "off0", "off1", "n", "mean"))
 
 
+def _of_roads(samples: DataFrame, top: DataFrame) -> DataFrame:
+    """The samples of the roads of a short list, at most 100 of them: what a list shows is worked out for these only."""
+    return samples.join(F.broadcast(top.select("road").distinct()), "road", "left_semi")
+
+
 def _described(top: DataFrame, runs: DataFrame, n_parts: int, extra: list[str]) -> DataFrame:
     """Each stretch's mean parts, geometry, first and middle sample.  ``top`` is a short list of stretches of at most 100 km."""
     x = runs.drop("run").join(F.broadcast(top.drop("run", "n")), "road").where((F.col("off") >= F.col("off0")) & (F.col("off") <= F.col("off1")))
@@ -60,11 +65,12 @@ def drives(samples: DataFrame, ways: DataFrame, view, weights: list[float], leng
     stretch of at least ``length_km`` with the best mean score whose middle is in view.  total: how many runs have one.  Wrong parameters are a ValueError."""
     length, limit = _checked(weights, len(C.DRIVE_COMPONENTS), length_km, limit)
     keep = S.drive_filter(F.col("class"), F.col("flags"), classes, surface, toll, unnamed) & S.length_filter(F.col("road_m"), least, most)
-    x = samples.join(ways.where(keep).select("way"), "way", "left_semi")
+    kept = ways.where(keep).select("way")
     parts = S.drive_components(F.col("ch"))
-    runs = _stretches(x, parts, S.weighted_score(parts, weights), ring_of(view), length)
-    best = _found(runs, length)
-    top = best.orderBy(F.desc("mean"), "road", "off0").limit(limit)
+    run = lambda x: _stretches(x.join(kept, "way", "left_semi"), parts, S.weighted_score(parts, weights), ring_of(view), length)
+    best = _found(run(samples), length)
+    top = cut(best.orderBy(F.desc("mean"), "road", "off0").limit(limit))
+    runs = run(_of_roads(samples, top))
     info = ways.select(F.col("way").alias("mid_way"), "name", "ref", "class")
     d = _described(top, runs, len(parts), []).withColumn("mid_way", F.col("mid.way")).join(info, "mid_way", "left").withColumn("total", F.lit(best.count()))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean"), "road", "off0"))
@@ -87,18 +93,21 @@ def rides(samples: DataFrame, ways: DataFrame, trains: DataFrame, view, weights:
     length, limit = _checked(weights, len(C.RIDE_COMPONENTS), length_km, limit)
     w = ways.where(S.rail_group_filter(F.col("rail"), F.col("class") - 10, groups) & ((F.col("rail") != 0) | (F.col("class") >= 10)))
     w = w.select("way", rail_identity(F.col("name"), F.col("route")).alias("line")).join(trains.select("way", "trains"), "way", "left")
-    x = Q.islands(samples.join(w, "way"), "road", "off", C.GAP_M, 64 * length)
-    x = Q.neighbour_grade(x, ["road", "run"], "off", "eye", "way", 64 * length)
     parts = S.ride_components(F.col("ch"), F.col("eye"), F.col("flags"), F.col("grade"))
     day = F.coalesce(F.col("trains"), F.lit(0.0))
     shown = [*parts[:-1], F.coalesce(S.frequency(day), F.lit(0.0))]
-    x = x.withColumn("parts", F.array(*shown)).withColumn("score", S.ride_score(parts, day, weights)).withColumn("seen", view_holds(ring_of(view), F.col("lon"), F.col("lat")))
-    best = Q.best_window(x, ["road", "run"], "off", "score", length, C.GAP_M, tie="way", in_view="seen")
-    first = x.groupBy("road", "run").agg(F.min_by("line", F.struct("off", "way")).alias("line"))
+    run = lambda x: Q.islands(x.join(w, "way"), "road", "off", C.GAP_M, 64 * length)
+
+    def scored(x: DataFrame) -> DataFrame:
+        x = Q.neighbour_grade(run(x), ["road", "run"], "off", "eye", "way", 64 * length)
+        return x.withColumn("parts", F.array(*shown)).withColumn("score", S.ride_score(parts, day, weights)).withColumn("seen", view_holds(ring_of(view), F.col("lon"), F.col("lat")))
+
+    best = Q.best_window(scored(samples), ["road", "run"], "off", "score", length, C.GAP_M, tie="way", in_view="seen")
+    first = run(samples.select("road", "off", "way")).groupBy("road", "run").agg(F.min_by("line", F.struct("off", "way")).alias("line"))
     order = F.struct(-F.col("mean"), "road", "off0")
     lines = cut(best.join(first, ["road", "run"]).groupBy("line").agg(F.min_by(F.struct("road", "run", "off0", "off1", "n", "mean"), order).alias("b")).select("line", "b.*"))
-    top = lines.orderBy(F.desc("mean"), "road", "off0").limit(limit)
-    d = _described(top.drop("line"), x.drop("line"), len(parts), ["trains"]).join(F.broadcast(top.select("road", "off0", "line")), ["road", "off0"])
+    top = cut(lines.orderBy(F.desc("mean"), "road", "off0").limit(limit))
+    d = _described(top.drop("line"), scored(_of_roads(samples, top)).drop("line"), len(parts), ["trains"]).join(F.broadcast(top.select("road", "off0", "line")), ["road", "off0"])
     info = ways.select(F.col("way").alias("mid_way"), "rel", F.col("route").alias("services"), "colour")
     d = d.withColumn("mid_way", F.col("mid.way")).join(info, "mid_way", "left").withColumn("total", F.lit(lines.count()))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean"), "road", "off0"))

@@ -11,7 +11,7 @@ from wayline.operators import sequences as Q
 from wayline.operators import timetables as T
 from wayline.operators import views as V
 from wayline.plans.landmarks import marks, view_sql
-from wayline.session import table
+from wayline.session import cut, table
 
 DRIVE_BOX, RIDE_BOX, MARK_BOX = (-20.0, -35.0, 25.0, 40.0), (-30.0, -50.0, 30.0, 45.0), (-60.0, -40.0, 80.0, 60.0)
 DRIVE_WEIGHTS = [1.0, 0.8, 0.6, 0.5, 0.3, 0.4, 0.2, 0.3, -0.5, -0.3, 1.0, 0.5]
@@ -19,7 +19,7 @@ RIDE_WEIGHTS = [1.0, 0.8, 0.6, 0.5, 0.3, 0.4, 0.2, -0.3, 0.5, 0.3, 0.7]
 
 
 def road_samples(spark: SparkSession, d: str) -> DataFrame:
-    """Samples some 175 m apart along a road per supplier; a way every two kilometres."""
+    """Samples some 175 m apart along a road per supplier; a way every two kilometres.  They stand in for a table, so queries that read it several times write it once."""
     off = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     x = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("road"), off.alias("off")).distinct()
     ch = F.array(*[((F.col("off") * (7 + 2 * i) + 13 * i) % 256).cast("int") for i in range(13)])
@@ -48,8 +48,8 @@ def rail_ways(samples: DataFrame) -> DataFrame:
 
 def drives_view(spark: SparkSession, d: str) -> DataFrame:
     """The drives query."""
-    s = road_samples(spark, d)
-    x = V.drives(s, road_ways(s), DRIVE_BOX, DRIVE_WEIGHTS, length_km=0.5, limit=20, surface=3, toll=3, unnamed=0b101, least=3, most=45)
+    s = cut(road_samples(spark, d))
+    x = V.drives(s, cut(road_ways(s)), DRIVE_BOX, DRIVE_WEIGHTS, length_km=0.5, limit=20, surface=3, toll=3, unnamed=0b101, least=3, most=45)
     return x.select(
         "place", F.round("score", 4).alias("score"), "length_m", "road", "off0", "off1", "way", "mid_way", "name", "ref", "class", F.size("geom").alias("points"), "total",
         F.round(F.col("parts")[0], 6).alias("view"), F.round(F.col("parts")[4], 6).alias("above"), F.round(F.col("parts")[10], 6).alias("scenic"), F.round("at.lon", 6).alias("lon"),
@@ -58,8 +58,8 @@ def drives_view(spark: SparkSession, d: str) -> DataFrame:
 
 def rides_view(spark: SparkSession, d: str) -> DataFrame:
     """The rides query."""
-    s = road_samples(spark, d)
-    w = rail_ways(s)
+    s = cut(road_samples(spark, d))
+    w = cut(rail_ways(s))
     trains = w.select("way", (F.col("way") % 60 - 10).cast("double").alias("trains"))
     x = V.rides(s, w, trains, RIDE_BOX, RIDE_WEIGHTS, length_km=0.5, limit=30, groups=0b0110)
     return x.select("place", F.round("score", 4).alias("score"), "length_m", "road", "off0", "off1", "way", "line", "rel", "services", "colour", "trains", "total", F.round(F.col("parts")[8], 6).alias("grade"), F.round(F.col("parts")[10], 6).alias("often"))
