@@ -17,9 +17,9 @@ def _pad(c):
 
 
 def batches(spark: SparkSession, d: str) -> DataFrame:
-    """Batches of the orders' entries: batch = day group, key = customer, value = price; cancelled ones are deleted."""
+    """Batches of the orders' entries, 250 orders each: key = customer, value = price; cancelled ones are deleted."""
     o = table(spark, d, "orders")
-    o = o.select((F.col("o_orderkey") % 60 + 1).alias("seq"), F.concat(F.lit("lm/"), (F.col("o_custkey") % 7).cast("string"), F.lit("/"), (F.col("o_custkey") % 500).cast("string")).alias("key"), F.col("o_orderkey"), F.col("o_orderstatus"), F.round("o_totalprice", 2).alias("p"))
+    o = o.select((F.floor(F.col("o_orderkey") / 250) + 1).alias("seq"), F.concat(F.lit("lm/"), (F.col("o_custkey") % 7).cast("string"), F.lit("/"), (F.col("o_custkey") % 500).cast("string")).alias("key"), F.col("o_orderkey"), F.col("o_orderstatus"), F.round("o_totalprice", 2).alias("p"))
     per = o.groupBy("seq", "key").agg(F.max_by(F.struct("o_orderstatus", "p"), "o_orderkey").alias("x"))
     dead = F.col("x.o_orderstatus") == "P"
     return per.groupBy("seq").agg(
@@ -44,18 +44,18 @@ def log_stream(spark: SparkSession, d: str) -> DataFrame:
 def log_digests(spark: SparkSession, d: str) -> DataFrame:
     """Digests after each batch from the changes alone, held against whole states' digests at some of them."""
     b = batches(spark, d)
-    inc = M.digests_after(_empty(spark), b).where("seq in (1, 20, 60)")
+    inc = M.digests_after(_empty(spark), b).where("seq in (1, 3, 5)")
     whole = None
-    for k in (1, 20, 60):
+    for k in (1, 3, 5):
         x = M.digest(M.apply_batches(_empty(spark), b.where(F.col("seq") <= k))).select(F.lit(k).cast("long").alias("seq"), F.col("digest").alias("whole"), "n")
         whole = x if whole is None else whole.unionByName(x)
     return inc.join(whole, "seq").select("seq", "n", (F.col("digest") == F.col("whole")).alias("same"))
 
 
 def map_diff(spark: SparkSession, d: str) -> DataFrame:
-    """From the state after 40 batches to the state after all."""
+    """From the state after four batches to the state after all."""
     b = batches(spark, d)
-    return M.map_diff(M.apply_batches(_empty(spark), b.where("seq <= 40")), M.apply_batches(_empty(spark), b))
+    return M.map_diff(M.apply_batches(_empty(spark), b.where("seq <= 4")), M.apply_batches(_empty(spark), b))
 
 
 def watch_marks(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ def watch_marks(spark: SparkSession, d: str) -> DataFrame:
 
 def changes_since(spark: SparkSession, d: str) -> DataFrame:
     """T2."""
-    return M.changes_since(batches(spark, d), 50, 1 << 20, 1).select("seq", "what")
+    return M.changes_since(batches(spark, d), 3, 1 << 60, 1).select("seq", "what")
 
 
 def due_deletes(spark: SparkSession, d: str) -> DataFrame:
@@ -191,7 +191,7 @@ QUERIES = {
     )
 }
 
-_O = """o as (select o_orderkey % 60 + 1 as seq, 'lm/' || (o_custkey % 7) || '/' || (o_custkey % 500) as key, o_orderkey, o_orderstatus, round(o_totalprice, 2) as p from orders),
+_O = """o as (select o_orderkey // 250 + 1 as seq, 'lm/' || (o_custkey % 7) || '/' || (o_custkey % 500) as key, o_orderkey, o_orderstatus, round(o_totalprice, 2) as p from orders),
 ch as (select seq, key, case when arg_max(o_orderstatus, o_orderkey) <> 'P' then printf('%.2f', arg_max(p, o_orderkey)) end as value from o group by 1, 2)"""
 
 
@@ -202,11 +202,11 @@ def _state(n: int) -> str:
 
 _MK = """m as (select c_custkey as id, c_mktsegment as kind, (c_custkey * 7919 % 36000) / 100.0 - 180 as lon, (c_custkey * 104729 % 17000) / 100.0 - 85 as lat from customer)"""
 SQL = {
-    "log_apply": f"with {_O} {_state(60)}",
-    "log_stream": f"with {_O} {_state(60)}",
-    "map_diff": f"with {_O}, a as ({_state(40)}), b as ({_state(60)}) select coalesce(a.key, b.key) as key, case when b.key is null then 'deleted' else 'set' end as what, b.value from a full join b on a.key = b.key where a.value is distinct from b.value",
+    "log_apply": f"with {_O} {_state(1 << 40)}",
+    "log_stream": f"with {_O} {_state(1 << 40)}",
+    "map_diff": f"with {_O}, a as ({_state(4)}), b as ({_state(1 << 40)}) select coalesce(a.key, b.key) as key, case when b.key is null then 'deleted' else 'set' end as what, b.value from a full join b on a.key = b.key where a.value is distinct from b.value",
     "watch_marks": f"with {_O} select split_part(key, '/', 1) || '/' || split_part(key, '/', 2) as prefix, max(seq) as seq from ch group by 1",
-    "changes_since": f"with {_O} select distinct seq, 'batch' as what from ch where seq > 50",
+    "changes_since": f"with {_O} select distinct seq, 'batch' as what from ch where seq > 3",
     "due_deletes": "select 'f' || p_partkey as name, p_partkey % 100 as seq from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 48) and p_partkey % 100 <= (select min(s_suppkey % 37 + 60) from supplier)",
     "stale_targets": "select distinct cast(o_custkey as varchar) as target from orders where o_orderkey % 300 = 7",
     "reused_rows": "with v as (select p_type, p_size, min(p_partkey) as v from part where p_partkey % 3 = 0 group by 1, 2) select p_partkey, coalesce(v, -p_partkey) as v from part left join v using (p_type, p_size)",
@@ -233,4 +233,4 @@ r as (select *, row_number() over (partition by set order by pr desc, zoom desc,
     "tag_values": """select p_partkey, round(case p_partkey % 4 when 0 then p_partkey % 90 when 1 then (p_partkey % 90) * 0.3048 when 2 then (p_partkey % 9) * 0.3048 + 6 * 0.0254 end, 4) as height, cast(case when p_partkey % 2 = 0 then 1500 + p_partkey % 500 else 1700 end as int) as year,
 cast((case when p_partkey % 2 = 0 then 1 else 0 end) + (case when p_partkey % 3 = 0 then 2 else 0 end) + (case when p_partkey % 5 = 0 then 4 else 0 end) as int) as bits from part""",
 }
-SQL["log_digests"] = f"with {_O} " + " union all ".join(f"select {k} as seq, (select count(*) from ({_state(k)})) as n, true as same" for k in (1, 20, 60))
+SQL["log_digests"] = f"with {_O} " + " union all ".join(f"select {k} as seq, (select count(*) from ({_state(k)})) as n, true as same" for k in (1, 3, 5))

@@ -12,7 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayline.session import checkpoint_dir
+from wayline.operators import sequences as Q
+from wayline.session import checkpoint_dir, cut
 
 BATCH = "seq long, at string, app string, why string, set map<string,string>, del array<string>, freed array<string>, digest decimal(20,0)"
 MODULUS = 1 << 62
@@ -43,25 +44,40 @@ def apply_batches(entries: DataFrame, batches: DataFrame) -> DataFrame:
     return kept.select("key", "value").unionByName(last.where("value is not null"))
 
 
-def digests_after(entries: DataFrame, batches: DataFrame) -> DataFrame:
-    """(seq, digest): the digest after each batch, from the changes alone; to be held against the digests that the batches name."""
-    c = changes(batches).unionByName(entries.select(F.lit(None).cast("long").alias("seq"), "key", "value"))
+#: Batches per chunk of the running sums over a log, which go over one row per chunk.
+LOG_CHUNK = 4096
+
+
+def _over_log(df: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the batches up to and with the row's."""
+    return Q.running(df.withColumn("__c", F.floor(F.col("seq") / LOG_CHUNK)), [], ["seq"], value, out).drop("__c")
+
+
+def digests_after(entries: DataFrame, batches: DataFrame, base: int | None = None) -> DataFrame:
+    """(seq, digest): the digest after each batch, from the changes alone; to be held against the digests that the batches name.
+
+    ``base``: the digest of ``entries`` if it is known; of the entries then only the changed ones are read."""
+    c = changes(batches)
+    old = entries.select("key", "value").join(c.select("key").distinct(), "key", "left_semi")
     w = Window.partitionBy("key").orderBy(F.asc_nulls_first("seq"))
+    zero = F.lit(0).cast("decimal(38,0)")
     h = F.when(F.col("value").isNotNull(), entry_hash(F.col("key"), F.col("value")))
-    x = c.withColumn("h", F.coalesce(h, F.lit(0).cast("decimal(20,0)")).cast("decimal(38,0)")).withColumn("d", F.col("h") - F.coalesce(F.lag("h").over(w), F.lit(0).cast("decimal(38,0)")))
-    per = x.groupBy("seq").agg(F.sum("d").alias("d"))
-    # one row per batch from here on
-    run = F.sum("d").over(Window.orderBy(F.asc_nulls_first("seq")).rowsBetween(Window.unboundedPreceding, 0))
+    x = c.unionByName(old.select(F.lit(None).cast("long").alias("seq"), "key", "value")).withColumn("h", F.coalesce(h, F.lit(0).cast("decimal(20,0)")).cast("decimal(38,0)"))
+    per = x.withColumn("d", F.col("h") - F.coalesce(F.lag("h").over(w), zero)).where("seq is not null").groupBy("seq").agg(F.sum("d").alias("d"))
+    if base is None:
+        base = int(digest(entries).first().digest)
     m = F.lit(MODULUS).cast("decimal(38,0)")
-    return per.withColumn("digest", ((run % m + m) % m).cast("decimal(20,0)")).where("seq is not null").select("seq", "digest")
+    # one row per batch from here on; a batch without changes keeps the digest of the one before
+    per = batches.select("seq").distinct().join(per, "seq", "left").select("seq", F.coalesce(F.col("d").cast("decimal(38,0)"), zero).alias("d"))
+    return _over_log(per, "d", "run").select("seq", ((((F.col("run") + F.lit(base).cast("decimal(38,0)")) % m + m) % m).cast("decimal(20,0)")).alias("digest"))
 
 
-def check_batches(entries: DataFrame, batches: DataFrame, after: int) -> DataFrame:
-    """(seq, fault): batches that don't follow the one before ('gap'; the first must follow ``after``) or name another digest ('digest')."""
-    w = Window.orderBy("seq")
-    b = batches.select("seq", "digest").withColumn("__p", F.coalesce(F.lag("seq").over(w), F.lit(after)))
+def check_batches(entries: DataFrame, batches: DataFrame, after: int, digests: DataFrame | None = None) -> DataFrame:
+    """(seq, fault): batches that don't follow the one before ('gap'; the first must follow ``after``) or name another digest ('digest');
+    ``digests``: as from digests_after, if they are known."""
+    b = Q.beside(batches.select("seq", "digest"), [], ["seq"], [], LOG_CHUNK).withColumn("__p", F.coalesce("__prev.seq", F.lit(after)))
     gaps = b.where(F.col("seq") != F.col("__p") + 1).select("seq", F.lit("gap").alias("fault"))
-    got = digests_after(entries, batches).withColumnRenamed("digest", "got")
+    got = (digests_after(entries, batches) if digests is None else digests).withColumnRenamed("digest", "got")
     bad = b.where("digest is not null").join(got, "seq").where("digest <> got").select("seq", F.lit("digest").alias("fault"))
     return gaps.unionByName(bad)
 
@@ -80,8 +96,7 @@ def changes_since(batches: DataFrame, since: int, max_bytes: int, oldest: int) -
         return batches.sparkSession.createDataFrame([(oldest, "reset", 0)], "seq long, what string, bytes long")
     size = F.length(F.to_json(F.struct("set", "del"))).cast("long")
     b = batches.where(F.col("seq") > since).select("seq", size.alias("bytes"))
-    run = F.sum("bytes").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    b = b.withColumn("run", run)
+    b = _over_log(b, "bytes", "run")
     return b.where((F.col("run") <= max_bytes) | (F.col("run") == F.col("bytes"))).select("seq", F.lit("batch").alias("what"), "bytes")
 
 
@@ -131,38 +146,66 @@ def gate(listing: DataFrame, accepted: DataFrame, checks: dict[str, Column], par
 
 
 class StateStore:
-    """Versions of the entries in a shared folder; the newest complete one counts.
+    """Versions of the entries in a shared folder: snapshots, and between them the changes of each version.
 
     A version is written under its name and counts once its marker is there, so a lost executor or driver leaves the last version standing,
-    and a batch that comes again is written again under the same name."""
+    and a batch that comes again is written again under the same name.  A version's changes are written, not the state; every
+    ``compact_every`` versions a snapshot is, and what it makes needless is deleted.  The digest of each version is kept beside it, so that checking a batch
+    reads the changed entries only."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self.fs_path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+    def __init__(self, spark: SparkSession, folder: str, compact_every: int = 16):
+        self.spark, self.folder, self.compact_every = spark, folder.rstrip("/"), compact_every
+        self.fs_path = self._path(self.folder)
         self.fs = self.fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def versions(self) -> list[int]:
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def _named(self, letter: str) -> list[int]:
         if not self.fs.exists(self.fs_path):
             return []
         names = [s.getPath().getName() for s in self.fs.listStatus(self.fs_path)]
-        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and self.fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS")))
+        return sorted(int(n[1:]) for n in names if n[:1] == letter and n[1:].isdigit() and self.fs.exists(self._path(f"{self.folder}/{n}/_SUCCESS")))
 
-    def newest(self) -> tuple[int, DataFrame]:
-        v = self.versions()
-        if not v:
-            return 0, self.spark.createDataFrame([], NOTHING)
-        return v[-1], self.spark.read.schema(NOTHING).parquet(f"{self.folder}/v{v[-1]}")
+    def versions(self) -> list[int]:
+        return sorted(set(self._named("v")) | set(self._named("d")))
 
-    def write(self, version: int, entries: DataFrame, keep: int = 2) -> None:
+    def newest(self) -> tuple[int, DataFrame]:
+        """The last version and its entries: the last snapshot, and over it the changes since, of each key the last."""
+        snaps, deltas = self._named("v"), self._named("d")
+        last = max([0, *snaps, *deltas])
+        base = max([0, *snaps])
+        entries = self.spark.read.schema(NOTHING).parquet(f"{self.folder}/v{base}") if base else self.spark.createDataFrame([], NOTHING)
+        since = [d for d in deltas if d > base]
+        if not since:
+            return last, entries
+        changed = self.spark.read.schema("seq long, key string, value string").parquet(*[f"{self.folder}/d{d}" for d in since])
+        top = changed.groupBy("key").agg(F.max_by(F.struct("value"), "seq").alias("x")).select("key", "x.value")
+        return last, entries.join(top.select("key"), "key", "left_anti").unionByName(top.where("value is not null"))
+
+    def digest(self, version: int) -> int:
+        return int(self.spark.read.schema("digest decimal(20,0)").parquet(f"{self.folder}/g{version}").first().digest) if version else 0
+
+    def write(self, version: int, entries: DataFrame, changed: DataFrame, after: int) -> None:
+        """``changed``: seq, key, value (null: deleted) since the last version; ``entries``: what they make of it; ``after``: its digest."""
+        self.spark.createDataFrame([(str(after),)], "digest string").select(F.col("digest").cast("decimal(20,0)")).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/g{version}")
+        snaps, deltas = self._named("v"), self._named("d")
+        open_ = [d for d in deltas if d > max([0, *snaps])]
+        if len(open_) + 1 < self.compact_every:
+            changed.write.mode("overwrite").parquet(f"{self.folder}/d{version}")
+            return
         entries.write.mode("overwrite").parquet(f"{self.folder}/v{version}")
-        for old in self.versions()[:-keep]:
-            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v{old}"), True)
+        # the snapshot before this one stays, with what follows it
+        keep = max([0, *snaps])
+        for letter, old in [("v", k) for k in snaps if k < keep] + [("d", k) for k in deltas if k <= keep] + [("g", k) for k in self._named("g") if k < keep]:
+            self.fs.delete(self._path(f"{self.folder}/{letter}{old}"), True)
 
 
 def follow(spark: SparkSession, feed: str, store: StateStore, checkpoint: str, files_per_batch: int = 4):
     """A streaming query that applies the feed's batch files (JSON lines) to the store, whole micro-batches at a time.
 
-    Batches at or before the store's version are skipped, so a restart or a repeated micro-batch changes nothing; a gap or a wrong digest stops the query."""
+    Batches at or before the store's version are skipped, so a restart or a repeated micro-batch changes nothing; a gap or a wrong digest stops the query.  A
+    micro-batch writes its changes and reads the entries they touch; the state is rewritten only when the store compacts it."""
 
     def each(df: DataFrame, _: int) -> None:
         # the batch's frame is planned several times
@@ -173,10 +216,14 @@ def follow(spark: SparkSession, feed: str, store: StateStore, checkpoint: str, f
             last = new.agg(F.max("seq").alias("m")).first().m
             if last is None:
                 return
-            faults = check_batches(entries, new, version).orderBy("seq").limit(10).collect()
+            digests = digests_after(entries, new, store.digest(version)).persist()
+            after = int(digests.where(F.col("seq") == last).first().digest)
+            faults = check_batches(entries, new, version, digests).orderBy("seq").limit(10).collect()
+            digests.unpersist()
             if faults:
                 raise ValueError(f"the log doesn't fit: {[(r.seq, r.fault) for r in faults]}")
-            store.write(int(last), apply_batches(entries, new))
+            top = changes(new).groupBy("key").agg(F.max("seq").alias("seq"), F.max_by(F.struct("value"), "seq").alias("x")).select("seq", "key", "x.value")
+            store.write(int(last), apply_batches(entries, new), top, after)
         finally:
             df.unpersist()
 
@@ -187,12 +234,12 @@ def follow(spark: SparkSession, feed: str, store: StateStore, checkpoint: str, f
 def replay(spark: SparkSession, batches: DataFrame, files: int = 6) -> DataFrame:
     """The state after batches that are written as a feed and followed by a streaming query."""
     base = f"{checkpoint_dir(spark)}/maplog-{uuid.uuid4().hex}"
-    named = batches.drop("digest").join(digests_after(spark.createDataFrame([], NOTHING), batches), "seq")
+    named = cut(batches.drop("digest").join(digests_after(spark.createDataFrame([], NOTHING), batches, 0), "seq"))
     bounds = named.agg(F.max("seq").alias("m")).first().m or 0
     step = -(-bounds // files) or 1
     for k in range(0, bounds, step):
         named.where((F.col("seq") > k) & (F.col("seq") <= k + step)).coalesce(1).write.mode("append").json(f"{base}/feed")
-    store = StateStore(spark, f"{base}/state")
+    store = StateStore(spark, f"{base}/state", 4)
     q = follow(spark, f"{base}/feed", store, f"{base}/checkpoint", 1)
     q.awaitTermination()
     return store.newest()[1]
