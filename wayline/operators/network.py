@@ -86,7 +86,11 @@ def chain_roads(ways: DataFrame, length: str = "length") -> DataFrame:
     A ring is opened at the start of its smallest way and is then a road like any other.  No road is ever held in one task."""
     size = ways.select("id", F.col(length).cast("double").alias("length"))
     pairs = pair_ends(ways)
-    to = pairs.join(size.select(F.col("id").alias("id2"), F.col("length").alias("length2")), "id2").select("id", "end", "id2", (1 - F.col("end2")).alias("out2"), "length2")
+    return _follow(size, pairs.join(size.select(F.col("id").alias("id2"), F.col("length").alias("length2")), "id2").select("id", "end", "id2", (1 - F.col("end2")).alias("out2"), "length2"))
+
+
+def _follow(size: DataFrame, to: DataFrame) -> DataFrame:
+    """chain_roads() of pieces (id, length) by where each of their ends leads (id, end, id2, out2, length2)."""
     sides = size.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("end"))
     links = cut(sides.join(to, ["id", "end"], "left"))
     ended, rings = _ends_of(links)
@@ -275,18 +279,81 @@ def prominence(heights: np.ndarray, sea: float = 0.0) -> list[tuple[int, int, fl
     return sorted(((k // cols, k % cols, v) for k, v in out.items() if v > 0), key=lambda x: (-x[2], x[0], x[1]))
 
 
-def shared_borders(regions: DataFrame) -> DataFrame:
+def split_edges(edges: DataFrame, points: DataFrame, cell: int = 64) -> DataFrame:
+    """Edges (region, p, q: structs lon, lat of whole numbers) cut at the points (p) that lie on them between their ends, exactly.
+
+    An edge meets the points of the grid cells it runs through, so what is compared is near it; edges and points may both grow."""
+    across = lambda c: F.floor(c / cell)
+    lo, hi = (lambda f: (f("p.lon", "q.lon"), f("p.lat", "q.lat")))(F.least), (lambda f: (f("p.lon", "q.lon"), f("p.lat", "q.lat")))(F.greatest)
+    e = edges.withColumn("id", F.xxhash64("region", "p.lon", "p.lat", "q.lon", "q.lat"))
+    # of the cells of an edge's box those that its line can reach
+    c = e.withColumn("cx", F.explode(F.sequence(across(lo[0]), across(hi[0])))).withColumn("cy", F.explode(F.sequence(across(lo[1]), across(hi[1]))))
+    dx, dy = F.col("q.lon") - F.col("p.lon"), F.col("q.lat") - F.col("p.lat")
+    side = lambda x, y: dx * (y * cell - F.col("p.lat")) - dy * (x * cell - F.col("p.lon"))
+    corners = [side(F.col("cx") + i, F.col("cy") + j) for i in (0, 1) for j in (0, 1)]
+    c = c.where((F.greatest(*corners) >= 0) & (F.least(*corners) <= 0))
+    v = points.select(F.col("p").alias("v")).distinct().withColumn("cx", across(F.col("v.lon"))).withColumn("cy", across(F.col("v.lat")))
+    on = (dx * (F.col("v.lat") - F.col("p.lat")) == dy * (F.col("v.lon") - F.col("p.lon"))) & F.col("v.lon").between(*[f("p.lon", "q.lon") for f in (F.least, F.greatest)]) & F.col("v.lat").between(*[f("p.lat", "q.lat") for f in (F.least, F.greatest)]) & (F.col("v") != F.col("p")) & (F.col("v") != F.col("q"))
+    cuts = c.join(v, ["cx", "cy"]).where(on).groupBy("id").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct((F.abs(F.col("v.lon") - F.col("p.lon")) + F.abs(F.col("v.lat") - F.col("p.lat"))).alias("d"), F.col("v"))))).alias("cuts"))
+    x = e.join(cuts, "id", "left").select("region", F.concat(F.array("p"), F.coalesce(F.transform("cuts", lambda k: k["v"]), F.array().cast("array<struct<lon:int,lat:int>>")), F.array("q")).alias("line"))
+    x = x.select("region", "line", F.explode(F.sequence(F.lit(0), F.size("line") - 2)).alias("i"))
+    return x.select("region", F.get("line", F.col("i")).alias("p"), F.get("line", F.col("i") + 1).alias("q"))
+
+
+def shared_borders(regions: DataFrame, split: bool = True) -> DataFrame:
     """(x0, y0, x1, y1, left, right): each edge of the regions' rings once, with the region on either side (null outside).
 
-    regions: region, ring (closed array of struct lon, lat, whole numbers; inside on the left)."""
-    e = regions.select("region", "ring", F.explode(F.sequence(F.lit(0), F.size("ring") - 2)).alias("i"))
-    e = e.select("region", F.get("ring", F.col("i")).alias("p"), F.get("ring", F.col("i") + 1).alias("q")).where("p <> q")
+    regions: region, ring (closed array of struct lon, lat, whole numbers; inside on the left).  With ``split`` an edge is cut where a vertex of another
+    ring lies on it, so that borders meet piece by piece."""
+    e = regions.where("size(ring) > 1").select("region", "ring", F.explode(F.sequence(F.lit(0), F.size("ring") - 2)).alias("i"))
+    point = lambda c: F.struct(c["lon"].cast("int").alias("lon"), c["lat"].cast("int").alias("lat"))
+    e = e.select("region", point(F.get("ring", F.col("i"))).alias("p"), point(F.get("ring", F.col("i") + 1)).alias("q")).where("p <> q")
+    if split:
+        e = split_edges(e, e)
     fwd = F.struct(F.col("p.lon"), F.col("p.lat")) < F.struct(F.col("q.lon"), F.col("q.lat"))
     e = e.withColumn("a", F.when(fwd, F.col("p")).otherwise(F.col("q"))).withColumn("b", F.when(fwd, F.col("q")).otherwise(F.col("p"))).withColumn("fwd", fwd)
     g = e.groupBy("a", "b").agg(F.min(F.when(F.col("fwd"), F.col("region"))).alias("left"), F.min(F.when(~F.col("fwd"), F.col("region"))).alias("right"))
     return g.select(F.col("a.lon").alias("x0"), F.col("a.lat").alias("y0"), F.col("b.lon").alias("x1"), F.col("b.lat").alias("y1"), "left", "right")
 
 
+def border_arcs(borders: DataFrame) -> DataFrame:
+    """Borders with their arc, offset (edges from the arc's start) and reverse: arcs run between nodes, the places where other than two edges meet or the regions change.
+
+    Edges that go on are followed as roads are, by doubling; a border without a node is a ring."""
+    key = lambda x, y: F.concat_ws("/", x, y)
+    sides = F.concat_ws("|", F.array_sort(F.array(F.coalesce("left", F.lit("")), F.coalesce("right", F.lit("")))))
+    b = borders.withColumn("id", F.concat_ws("/", "x0", "y0", "x1", "y1")).withColumn("sides", sides)
+    ends = b.select("id", "sides", F.explode(F.array(F.struct(F.lit(0).alias("end"), key("x0", "y0").alias("node")), F.struct(F.lit(1).alias("end"), key("x1", "y1").alias("node")))).alias("e")).select("id", "sides", "e.end", "e.node")
+    simple = ends.groupBy("node").agg(F.count("*").alias("n"), F.countDistinct("sides").alias("k")).where("n = 2 and k = 1").select("node")
+    x = ends.join(simple, "node", "left_semi")
+    y = x.select("node", F.col("id").alias("id2"), F.col("end").alias("end2"))
+    to = x.join(y, "node").where("id <> id2").select("id", "end", "id2", (1 - F.col("end2")).alias("out2"), F.lit(1.0).alias("length2"))
+    arcs = _follow(b.select("id", F.lit(1.0).alias("length")), to)
+    return b.join(arcs.select("id", F.col("road").alias("arc"), F.col("offset").cast("int").alias("offset"), "reverse"), "id").drop("id", "sides")
+
+
+def simplified_arcs(arcs: DataFrame, tolerance: float) -> DataFrame:
+    """(arc, left, right, line): each arc once, simplified with its ends kept, so neighbours stay joined; ``arcs`` as from border_arcs.  An arc fits a task."""
+    from wayline.functions.geometry import simplify
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("offset")
+        turned = pdf["reverse"].to_numpy() == 1
+        first = np.where(turned[:, None], pdf[["x1", "y1"]].to_numpy(), pdf[["x0", "y0"]].to_numpy())
+        last = np.where(turned[:, None], pdf[["x0", "y0"]].to_numpy(), pdf[["x1", "y1"]].to_numpy())
+        pts = np.vstack([first, last[-1:]]).astype(float)
+        closed = len(pts) > 3 and (pts[0] == pts[-1]).all()
+        if closed:  # a ring keeps its start and the point farthest from it
+            far = int(((pts - pts[0]) ** 2).sum(1).argmax())
+            keep = np.append(simplify(pts[: far + 1], tolerance), simplify(pts[far:], tolerance)[1:])
+        else:
+            keep = simplify(pts, tolerance)
+        a, b = (pdf["right"].iloc[0], pdf["left"].iloc[0]) if turned[0] else (pdf["left"].iloc[0], pdf["right"].iloc[0])
+        return pd.DataFrame({"arc": [pdf["arc"].iloc[0]], "left": [a], "right": [b], "line": [[f"{int(x)} {int(y)}" for x, y in pts[keep]]]})
+
+    return arcs.groupBy("arc").applyInPandas(run, "arc string, left string, right string, line array<string>")
+
+
 def ring_area(xs: np.ndarray, ys: np.ndarray) -> float:
     """Signed area of a closed ring, positive with the inside on the left."""
     return float((xs[:-1] * ys[1:] - xs[1:] * ys[:-1]).sum() / 2)

@@ -51,8 +51,19 @@ def track_routes(spark: SparkSession, d: str) -> DataFrame:
 
 def shared_borders(spark: SparkSession, d: str) -> DataFrame:
     """provinces' borders, ends rounded to a hundredth."""
+    return N.shared_borders(_rounded_provs(spark, d))
+
+
+def border_arcs(spark: SparkSession, d: str) -> DataFrame:
+    """The arcs of the provinces' borders: their edges, and their points after simplification by a tenth of a degree."""
+    arcs = N.border_arcs(N.shared_borders(_rounded_provs(spark, d)))
+    lines = N.simplified_arcs(arcs, 10.0).select("arc", "left", "right", F.size("line").alias("kept"))
+    return arcs.groupBy("arc").agg(F.count("*").alias("edges")).join(lines, "arc")
+
+
+def _rounded_provs(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "provs").select(F.col("prov").alias("region"), F.transform("ring", lambda q: F.struct(F.round(q["lon"] * 100).cast("int").alias("lon"), F.round(q["lat"] * 100).cast("int").alias("lat"))).alias("ring"))
-    return N.shared_borders(p)
+    return p
 
 
 def tile_reach(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +117,7 @@ def site_outlines(spark: SparkSession, d: str) -> DataFrame:
     return C.site_outlines(sites, parts, rel, mem)
 
 
-QUERIES = {f.__name__: f for f in (way_pairs, chained_roads, relaxed_heights, track_routes, shared_borders, tile_reach, station_spacing, frontages, parallel_tracks, merged_stops, thinned_pieces, site_outlines)}
+QUERIES = {f.__name__: f for f in (way_pairs, chained_roads, relaxed_heights, track_routes, shared_borders, border_arcs, tile_reach, station_spacing, frontages, parallel_tracks, merged_stops, thinned_pieces, site_outlines)}
 
 _WAYS = """w as (select o_orderkey as id, o_orderkey % 3 as class, o_orderkey % 17 = 0 as oneway, case when o_orderkey % 4 > 0 then 'R' || (o_orderkey // 40) else '' end as name,
 case when o_orderkey % 5 = 0 then 'A' || (o_orderkey // 100) end as ref, o_orderkey % 6000 as n0, (o_orderkey + 1) % 6000 as n1, cast(o_orderkey as double) * 0.61 % 6.28 as h0, (cast(o_orderkey as double) * 0.61 + 3.0 + (o_orderkey % 7) * 0.1) % 6.28 as h1 from orders),

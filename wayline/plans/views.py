@@ -12,6 +12,7 @@ from wayline.operators import timetables as T
 from wayline.operators import views as V
 from wayline.plans.landmarks import marks, view_sql
 from wayline.session import cut, table
+from wayline.sources import line_tiles as R
 
 DRIVE_BOX, RIDE_BOX, MARK_BOX = (-20.0, -35.0, 25.0, 40.0), (-30.0, -50.0, 30.0, 45.0), (-60.0, -40.0, 80.0, 60.0)
 DRIVE_WEIGHTS = [1.0, 0.8, 0.6, 0.5, 0.3, 0.4, 0.2, 0.3, -0.5, -0.3, 1.0, 0.5]
@@ -249,6 +250,19 @@ def terrain_weights(spark: SparkSession, d: str) -> DataFrame:
     return D.terrain_distribution(s, "height", 0.0, 1500.0, 64, "water").select("bin", F.round(F.col("weight") * 4096, 6).alias("weight"))
 
 
+def line_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """roads' samples as lines of tiles, written as binary tiles and read back."""
+    s = road_samples(spark, d).withColumn("x", (F.col("road") % 32).cast("int")).withColumn("y", (F.floor(F.col("off") / 20_000) % 16).cast("int"))
+    pts = F.array_sort(F.collect_list(F.struct(F.col("off").cast("int").alias("px"), (F.col("eye") * 10).cast("int").alias("py"), F.col("ch"))))
+    lines = s.groupBy("x", "y", "way").agg(pts.alias("p")).select(
+        F.lit(9).alias("z"), "x", "y", "way", (F.col("way") % 16).cast("int").alias("style"), F.transform("p", lambda q: q["px"]).alias("xs"), F.transform("p", lambda q: q["py"]).alias("ys"),
+        F.array(F.transform("p", lambda q: q["ch"][0]), F.transform("p", lambda q: q["ch"][4])).alias("channels"),
+    )
+    back = R.decode_tiles(R.encode_tiles(lines))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    return back.select("z", "x", "y", "way", "style", F.size("xs").alias("points"), total("xs").alias("px"), total("ys").alias("py"), total(F.get("channels", F.lit(1))).alias("above"))
+
+
 _PLACES = ("city", "town", "village", "suburb", "hamlet", "quarter", "neighbourhood", "locality", "isolated_dwelling", "farm")
 _SERVICES = ("tourism", "heritage", "night", "high_speed", "regional", "commuter")
 _ROUTES = ("train", "tram", "subway", "funicular", "bus", "light_rail")
@@ -291,7 +305,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         drives_view, rides_view, window_shapes, marks_histogram, marks_ranks, marks_kinds, marks_top, marks_filters, marks_extra, park_answers, place_search, way_details, colour_modes, draw_orders, water_alphas, rail_lines_todo, site_dots,
-        register_counts, km_in_view, detail_rows, run_algebra, tile_merge, morton_counts, terrain_weights, tag_rules, yearly_services, ferry_services,
+        register_counts, km_in_view, detail_rows, run_algebra, tile_merge, morton_counts, terrain_weights, tag_rules, yearly_services, ferry_services, line_tiles,
     )
 }
 
@@ -420,6 +434,7 @@ select p_partkey, {_RANK} as rank, people, round(case when people > 0 then 18 -
   case when k % 5 = 0 then 'Tokyo' when k % 4 = 0 then 'Tōkyō' when k % 3 = 0 then 'Tōkyō rm' when k % 2 = 0 then 'Tokyo' end as english, case when k % 11 = 0 then case when k % 3 = 1 then 'ja,ko,zh' else 'ja,ko' end when k % 3 = 1 then 'ja,zh' else 'ja' end as langs, k % 4 = 1 as flag,
   case when k % 1500 in (0, 5) or k % 1500 between 900 and 999 then 'tram' when k % 1500 in (1, 12) or k % 1500 between 400 and 499 then 'metro' when k % 1500 in (7, 116, 1400) then 'funicular' when k % 1500 = 2 or k % 1500 between 100 and 199 then 'rail'
     when k % 1500 in (4, 1000, 1200) then 'ferry' when k % 1500 = 3 or k % 1500 between 200 and 299 or k % 1500 between 700 and 799 then 'bus' else 'other' end as mode from t""",
+    "line_tiles": f"with {_SAMP} select 9 as z, cast(road % 32 as int) as x, cast(off // 20000 % 16 as int) as y, way, cast(way % 16 as int) as style, cast(count(*) as int) as points, sum(off) as px, sum(off * 13 % 400) as py, sum((off * 15 + 52) % 256) as above from smp group by 1, 2, 3, 4",
     "yearly_services": """with c as (select c_custkey as k, c_custkey * 7 % 12 + 1 as m0, c_custkey * 7 % 29 + 1 as d0, c_custkey * 5 % 12 + 1 as m1, c_custkey * 5 % 29 + 1 as d1 from customer where c_custkey % 40 <> 7),
 s as (select k, make_date(2001, m0, case when m0 = 2 then least(d0, 28) else d0 end) as a, make_date(2001, m1, case when m1 = 2 then least(d1, 28) else d1 end) as b from c),
 d as (select k, cast(x as date) as d from s, (select unnest(generate_series(date '2001-01-01', date '2001-12-31', interval 1 day)) as x) where case when a <= b then x between a and b else x <= b or x >= a end)
