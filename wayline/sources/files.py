@@ -13,6 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def open_file(path: str):
+    """A file for reading by position, on the file system that its address names (a plain path is a local or mounted one)."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
+
+
 def read_gtfs(spark: SparkSession, path: str) -> DataFrame:
     """(feed, file, line, row map): the rows of every table of timetable zips.
 

@@ -8,8 +8,11 @@ from __future__ import annotations
 import gzip
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from wayline.sources.files import open_file
+
 HEADER = 127
 
 
@@ -95,7 +98,7 @@ def write_directory(entries: list[tuple[int, int, int, int]]) -> bytes:
 
 
 def _header(path: str) -> dict:
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         h = f.read(HEADER)
     if h[:7] != b"PMTiles" or h[7] != 3:
         raise ValueError(f"{path} is no PMTiles version 3 archive")
@@ -142,14 +145,14 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         h = _header(self.path)
-        with open(self.path, "rb") as f:
+        with open_file(self.path) as f:
             root = parse_directory(_read(f, *h["root"], h["internal"]))
         n = max(1, -(-len(root) // self.parts))
         return [_Part(root[i : i + n]) for i in range(0, len(root), n)] or [_Part([])]
 
-    def read(self, partition) -> Iterator[tuple]:
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
         h = _header(self.path)
-        with open(self.path, "rb") as f:
+        with open_file(self.path) as f:
             todo = list(partition.entries)
             while todo:
                 i, run, off, n = todo.pop(0)
@@ -157,8 +160,9 @@ class _Reader(DataSourceReader):
                     todo = parse_directory(_read(f, h["leaf"] + off, n, h["internal"])) + todo
                     continue
                 data = _read(f, h["data"] + off, n, h["tile"])
-                for k in range(run):
-                    yield (*id_to_zxy(i + k), data)
+                for first in range(i, i + run, 4096):
+                    zxy = list(zip(*(id_to_zxy(k) for k in range(first, min(first + 4096, i + run)))))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in zxy), pa.array([data] * len(zxy[0]), pa.binary())], ["z", "x", "y", "data"])
 
 
 class PmtilesSource(DataSource):
