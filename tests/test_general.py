@@ -54,6 +54,15 @@ def test_hierarchy_random(spark, last):
     assert bare == {i: (r.top, r.depth, r.subtree_size, r.status) for i, r in got.items()}
 
 
+def test_hierarchy_of_many_layers(spark, monkeypatch):
+    from wayline.operators import hierarchy as H
+
+    monkeypatch.setattr(H, "MERGED", 2)
+    parent = {f"d{i:02d}": f"d{i - 1:02d}" if i else None for i in range(9)} | {"x": "d03", "loop": "loop", "y": "loop"}
+    got = {r.id: (r.top, r.depth, r.subtree_size) for r in hierarchy(spark.createDataFrame(list(parent.items()), "id string, parent string"), last=1).collect()}
+    assert got == {f"d{i:02d}": ("d00", i, 9 - i + (i <= 3)) for i in range(9)} | {"x": ("d00", 4, 1), "loop": ("loop", None, None), "y": ("loop", None, 1)}
+
+
 def test_hierarchy_peeled_to_the_cycles(spark):
     parent = {"top": None, "u1": "top", "u2": "u1", "u3": "u1", "a": "b", "b": "c", "c": "a", "self": "self", "t1": "c", "t2": "t1", "g": "ghost"}
     want = brute_tops(parent)

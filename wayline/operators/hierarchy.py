@@ -23,6 +23,8 @@ from wayline.session import cut
 
 #: Remaining nodes whose last rounds of peeling run in one task.
 LAST = 65_536
+#: Layers that are read side by side on the way back.
+MERGED = 8
 STATE = "id string, parent string, has_row boolean, kids long, inner boolean, size long"
 PLACED = "id string, parent string, has_row boolean, inner boolean, top string, path array<string>, depth long, subtree_size long, status string"
 
@@ -69,9 +71,10 @@ def hierarchy(nodes: DataFrame, paths: bool = True, last: int = LAST) -> DataFra
         ring = connected(active.select(F.col("id").alias("a"), F.col("parent").alias("b")))
         placed = active.join(ring.select("id", F.col("root").alias("top")).hint("merge"), "id").select("id", "parent", "has_row", "inner", "top", F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("long").alias("depth"), F.lit(None).cast("long").alias("subtree_size"), F.lit("loop").alias("status"))
     parts = [cut(placed) if layers else placed]
+    inner = [parts[0].where("inner")]
     empty = F.array().cast("array<string>")
     for layer in reversed(layers):
-        above = _union([p.where("inner") for p in parts]).select(F.col("id").alias("parent"), F.col("top").alias("p_top"), F.col("path").alias("p_path"), F.col("depth").alias("p_depth"), F.col("status").alias("p_status"))
+        above = _union(inner).select(F.col("id").alias("parent"), F.col("top").alias("p_top"), F.col("path").alias("p_path"), F.col("depth").alias("p_depth"), F.col("status").alias("p_status"))
         grown = F.concat(F.when(F.coalesce("p_status", F.lit("tree")) == "loop", empty).otherwise(F.coalesce("p_path", empty)), F.array("id")) if paths else F.lit(None).cast("array<string>")
         got = layer.join(above.hint("merge"), "parent", "left").select(
             "id", "parent", "has_row", "inner", F.coalesce("p_top", "id").alias("top"), grown.alias("path"),
@@ -79,6 +82,10 @@ def hierarchy(nodes: DataFrame, paths: bool = True, last: int = LAST) -> DataFra
             F.when(F.coalesce("p_status", F.lit("tree")) == "tree", "tree").otherwise("into_loop").alias("status"),
         )
         parts.append(cut(got) if layer is not layers[0] else got)
+        inner.append(parts[-1].where("inner"))
+        if len(inner) > MERGED:
+            # deep trees have many layers: what children may ask for is brought together now and then
+            inner = [cut(_union(inner))]
     tree = F.col("status") == "tree"
     return _union(parts).select(
         "id", "parent", "has_row", "top", F.when(tree, F.col("depth")).cast("int").alias("depth"), F.when(tree, F.col("path")).alias("path"), "subtree_size", "status", F.when(F.col("status") == "into_loop", F.col("path")).alias("below"),
