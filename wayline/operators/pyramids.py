@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayline.session import cut
+
 
 def _up(c: str) -> Column:
     return F.floor(F.col(c) / 2).alias(c)
@@ -93,24 +95,32 @@ def fill_heights(b: DataFrame, storey: Column, allowance: Column, sizes: Column)
 
 def neighbour_heights(open_: DataFrame, known: DataFrame) -> DataFrame:
     """(id, near_dm): the lower median height of known buildings within 150 m of half to twice the footprint (five or more), else, for an
-    asked one of at least 60 m², of all known ones within 300 m (eight or more).  Both: id, x, y (metres), area; known: h."""
+    asked one of at least 60 m², of all known ones within 300 m (eight or more).  Both: id (unique), x, y (metres), area; known: h.
+
+    Places are paired, not buildings: what stands on one place is counted by footprint and height first, and asked once per footprint."""
     cell = lambda c: F.floor(F.col(c) / 300.0)
-    k = known.select(F.col("x").alias("kx"), F.col("y").alias("ky"), F.col("area").alias("karea"), "h", cell("x").alias("cx"), cell("y").alias("cy"))
+    k = known.groupBy(F.col("x").alias("kx"), F.col("y").alias("ky"), F.col("area").alias("karea"), "h").agg(F.count("*").alias("n"))
     around = F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    o = open_.select("id", "x", "y", "area", around.alias("c")).select("id", "x", "y", "area", "c.cx", "c.cy")
+    o = open_.select("x", "y").distinct().select("x", "y", around.alias("c")).select("x", "y", "c.cx", "c.cy")
+    at = known.select(F.col("x").alias("kx"), F.col("y").alias("ky")).distinct().select("kx", "ky", cell("kx").alias("cx"), cell("ky").alias("cy"))
     d = F.hypot(F.col("x") - F.col("kx"), F.col("y") - F.col("ky"))
-    p = o.join(k, ["cx", "cy"]).withColumn("d", d).where("d <= 300")
-    alike = (F.col("d") <= 150) & F.col("karea").between(F.col("area") * 0.5, F.col("area") * 2)
+    places = o.join(at, ["cx", "cy"]).select("x", "y", "kx", "ky", d.alias("d")).where("d <= 300")
     # heights are whole decimetres: counting them keeps a crowd of neighbours as a few rows
-    n = p.groupBy("id", "h").agg(F.count(F.when(alike, 1)).alias("a"), F.count(F.when(F.col("area") >= 60, 1)).alias("b"))
-    w = Window.partitionBy("id")
-    run = w.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    n = n.withColumns({"na": F.sum("a").over(w), "nb": F.sum("b").over(w), "ra": F.sum("a").over(run), "rb": F.sum("b").over(run)})
-    pick = n.groupBy("id").agg(
-        F.min(F.when((F.col("na") >= 5) & (F.col("ra") >= F.floor((F.col("na") - 1) / 2) + 1) & (F.col("a") > 0), F.col("h"))).alias("x"),
-        F.min(F.when((F.col("nb") >= 8) & (F.col("rb") >= F.floor((F.col("nb") - 1) / 2) + 1) & (F.col("b") > 0), F.col("h"))).alias("y"),
-    )
-    return pick.select("id", F.coalesce("x", "y").alias("near_dm"))
+    n = places.join(k, ["kx", "ky"]).groupBy("x", "y", "karea", "h").agg(F.sum(F.when(F.col("d") <= 150, F.col("n"))).alias("a"), F.sum("n").alias("b"))
+    n = cut(n)
+    far = _lower_median(n.groupBy("x", "y", "h").agg(F.sum("b").alias("n")), ["x", "y"], 8, "far")
+    asked = open_.select("x", "y", "area").distinct()
+    alike = asked.join(n.where("a is not null").select("x", "y", "karea", "h", "a"), ["x", "y"]).where(F.col("karea").between(F.col("area") * 0.5, F.col("area") * 2))
+    near = _lower_median(alike.groupBy("x", "y", "area", "h").agg(F.sum("a").alias("n")), ["x", "y", "area"], 5, "near")
+    pick = asked.join(far, ["x", "y"]).join(near, ["x", "y", "area"], "left").select("x", "y", "area", F.coalesce("near", F.when(F.col("area") >= 60, F.col("far"))).alias("near_dm"))
+    return open_.select("id", "x", "y", "area").join(pick, ["x", "y", "area"]).select("id", "near_dm")
+
+
+def _lower_median(counts: DataFrame, by: list[str], least: int, name: str) -> DataFrame:
+    """(by, name): the lower median of h by its counts (by, h, n), null where there are fewer than ``least``."""
+    w = Window.partitionBy(*by)
+    x = counts.withColumns({"total": F.sum("n").over(w), "to": F.sum("n").over(w.orderBy("h").rowsBetween(Window.unboundedPreceding, 0))})
+    return x.groupBy(*by).agg(F.min(F.when((F.col("total") >= least) & (F.col("to") >= F.floor((F.col("total") - 1) / 2) + 1), F.col("h"))).alias(name))
 
 
 def row_runs(cells: DataFrame, by: list[str]) -> DataFrame:
