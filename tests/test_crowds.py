@@ -4,6 +4,7 @@ from threading import Timer
 
 from pyspark.sql import functions as F
 
+from wayline.operators import corridors as C
 from wayline.operators import pyramids as P
 
 
@@ -31,3 +32,10 @@ def test_neighbour_heights_far_stage(spark):
     asked = spark.createDataFrame([(1, 0.0, 0.0, 60.0), (2, 0.0, 0.0, 59.0), (3, 5000.0, 0.0, 60.0)], "id long, x double, y double, area double")
     known = spark.createDataFrame([(250.0, 0.0, 500.0, h) for h in (40, 40, 50, 60, 70, 80, 90, 90)], "x double, y double, area double, h int")
     assert {r.id: r.near_dm for r in P.neighbour_heights(asked, known).collect()} == {1: 60, 2: None}
+
+
+def test_parallel_tracks_of_a_crowd(spark):
+    k = F.col("id")
+    points = spark.range(600_000).select((k % 3 + k % 2 * 10).alias("track"), (k % 2 * 100.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("heading"), F.lit(0).alias("service"))
+    got = ended(spark, C.parallel_tracks(points))
+    assert sorted(map(tuple, got)) == [(a + z, b + z) for z in (0, 10) for a in range(3) for b in range(3) if a != b]

@@ -40,13 +40,18 @@ def frontage(samples: DataFrame, boxes: DataFrame, along: float = 50.0, step: fl
 
 def parallel_tracks(points: DataFrame, within: float = 40.0, degrees: float = 20.0) -> DataFrame:
     """(track, other): tracks with points close to each other, of one service and about one direction (either way).
-    points: track, x, y, heading (radians), service."""
+    points: track, x, y, heading (radians), service.
+
+    Places are paired, not points: tracks that share a place, direction and service are one set there, and each pair of sets is taken apart once."""
     cell = lambda v: F.floor(F.col(v) / within)
-    a = points.select("track", "x", "y", "heading", "service", F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select("*", "c.cx", "c.cy").drop("c")
-    b = points.select(F.col("track").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("heading").alias("oh"), "service", cell("x").alias("cx"), cell("y").alias("cy"))
+    p = points.groupBy("x", "y", "heading", "service").agg(F.array_sort(F.collect_set("track")).alias("tracks"))
+    a = p.select("tracks", "x", "y", "heading", "service", F.explode(F.array(*[F.struct((cell("x") + i).alias("cx"), (cell("y") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("c")).select("*", "c.cx", "c.cy").drop("c")
+    b = p.select(F.col("tracks").alias("others"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("heading").alias("oh"), "service", cell("x").alias("cx"), cell("y").alias("cy"))
     turn = F.pmod(F.abs(F.col("heading") - F.col("oh")), F.lit(math.pi))
     near = (F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")) <= within) & (F.least(turn, math.pi - turn) <= math.radians(degrees))
-    return a.join(b, ["cx", "cy", "service"]).where(near & (F.col("track") != F.col("other"))).select("track", "other").distinct()
+    sets = a.join(b, ["cx", "cy", "service"]).where(near).select("tracks", "others").distinct()
+    each = sets.select(F.explode("tracks").alias("track"), "others").select("track", F.explode("others").alias("other"))
+    return each.where(F.col("track") != F.col("other")).distinct()
 
 
 def _near_parts(places: DataFrame, key: str, reach: Column) -> DataFrame:
