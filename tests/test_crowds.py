@@ -39,3 +39,12 @@ def test_parallel_tracks_of_a_crowd(spark):
     points = spark.range(600_000).select((k % 3 + k % 2 * 10).alias("track"), (k % 2 * 100.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("heading"), F.lit(0).alias("service"))
     got = ended(spark, C.parallel_tracks(points))
     assert sorted(map(tuple, got)) == [(a + z, b + z) for z in (0, 10) for a in range(3) for b in range(3) if a != b]
+
+
+def test_frontage_of_a_crowd(spark):
+    k = F.col("id")
+    samples = spark.range(200_000).select("id", (k % 2 * 1000.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("heading"), (k % 4 == 2).alias("hidden"))
+    boxes = spark.range(2_000).select((-100.0 - k * 0.01).alias("x0"), F.lit(10.0).alias("y0"), (100.0 + k * 0.01).alias("x1"), F.lit(20.0).alias("y1"))
+    got = ended(spark, C.frontage(samples, boxes).groupBy(F.col("id") % 4, F.round("share", 6)).count())
+    # boxes of the left side only, at most 30 m from every point; none near the second place; hidden ones have none
+    assert sorted(map(tuple, got)) == [(0, 0.5, 50_000), (1, 0.0, 50_000), (2, 0.0, 50_000), (3, 0.0, 50_000)]

@@ -23,19 +23,24 @@ def frontage(samples: DataFrame, boxes: DataFrame, along: float = 50.0, step: fl
 
     samples: id, x, y (metres), heading (radians from east), hidden boolean (tunnels and rails: share 0).  boxes: x0, y0, x1, y1.  Points every ``step`` within
     ``along`` of the sample; on each side the nearest box counts 1 up to ``near`` metres, fading to 0 at ``far``; the mean over points and
-    sides.  Boxes under ``least_m2`` or wider than ``widest`` are left out.  A box is on the side of its centre."""
+    sides.  Boxes under ``least_m2`` or wider than ``widest`` are left out.  A box is on the side of its centre.
+
+    Samples of one place and heading are measured once, and boxes are met in the cells whose points can reach them only."""
     n = int(along // step)
     cell = lambda v: F.floor(v / far)
     b = boxes.where(((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= least_m2) & (F.col("x1") - F.col("x0") <= widest) & (F.col("y1") - F.col("y0") <= widest)).select("x0", "y0", "x1", "y1").distinct()
-    b = b.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")) - 1, cell(F.col("x1")) + 1))).withColumn("cy", F.explode(F.sequence(cell(F.col("y0")) - 1, cell(F.col("y1")) + 1)))
-    s = samples.where(~F.coalesce("hidden", F.lit(False))).select("id", "heading", "x", "y", F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("k"))
+    # a point's cell is among those of the box grown by ``far``
+    b = b.withColumn("cx", F.explode(F.sequence(cell(F.col("x0") - far), cell(F.col("x1") + far)))).withColumn("cy", F.explode(F.sequence(cell(F.col("y0") - far), cell(F.col("y1") + far))))
+    seen = samples.where(~F.coalesce("hidden", F.lit(False)))
+    s = seen.select("x", "y", "heading").distinct().select("x", "y", "heading", F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("k"))
     s = s.withColumn("px", F.col("x") + F.cos("heading") * F.col("k") * step).withColumn("py", F.col("y") + F.sin("heading") * F.col("k") * step)
     j = s.withColumn("cx", cell(F.col("px"))).withColumn("cy", cell(F.col("py"))).join(b, ["cx", "cy"])
     left = F.cos("heading") * ((F.col("y0") + F.col("y1")) / 2 - F.col("py")) - F.sin("heading") * ((F.col("x0") + F.col("x1")) / 2 - F.col("px")) > 0
     w = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (far - _box_distance(F.col("px"), F.col("py"))) / (far - near)))
-    best = j.groupBy("id", "k", left.alias("side")).agg(F.max(w).alias("w"))
-    got = best.groupBy("id").agg((F.sum("w") / (2 * (2 * n + 1))).alias("share"))
-    return samples.select("id").distinct().join(got, "id", "left").select("id", F.coalesce("share", F.lit(0.0)).alias("share"))
+    best = j.groupBy("x", "y", "heading", "k", left.alias("side")).agg(F.max(w).alias("w"))
+    got = best.groupBy("x", "y", "heading").agg((F.sum("w") / (2 * (2 * n + 1))).alias("share"))
+    share = seen.select("id", "x", "y", "heading").join(got, ["x", "y", "heading"]).select("id", "share")
+    return samples.select("id").distinct().join(share, "id", "left").select("id", F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def parallel_tracks(points: DataFrame, within: float = 40.0, degrees: float = 20.0) -> DataFrame:
