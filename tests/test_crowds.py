@@ -5,6 +5,7 @@ from threading import Timer
 from pyspark.sql import functions as F
 
 from wayline.operators import corridors as C
+from wayline.operators import lookups as J
 from wayline.operators import pyramids as P
 
 
@@ -48,3 +49,18 @@ def test_frontage_of_a_crowd(spark):
     got = ended(spark, C.frontage(samples, boxes).groupBy(F.col("id") % 4, F.round("share", 6)).count())
     # boxes of the left side only, at most 30 m from every point; none near the second place; hidden ones have none
     assert sorted(map(tuple, got)) == [(0, 0.5, 50_000), (1, 0.0, 50_000), (2, 0.0, 50_000), (3, 0.0, 50_000)]
+
+
+def test_overlay_picks_of_a_crowd(spark):
+    k = F.col("id")
+    boxes = spark.range(100_000).select("id", F.lit(0).alias("west"), F.lit(0).alias("south"), F.lit(5).alias("east"), F.lit(5).alias("north"))
+    # ranks run against the order of rows; the odd ones contain the boxes, the even ones only meet them
+    sets = spark.range(40_000).select(F.concat(F.lit("S"), k % 7).alias("name"), (40_000 - k).alias("rank"), (k % 2 * -10 + 3).alias("w"), F.lit(-1).alias("s"), F.lit(50).alias("e"), F.lit(50).alias("n"))
+    got = ended(spark, J.overlay_picks(boxes, sets).groupBy("name", "rank").count())
+    assert sorted(map(tuple, got)) == [("S1", 1, 100_000)]
+
+
+def test_overlay_picks_of_datasets_of_one_name(spark):
+    boxes = spark.createDataFrame([(1, 0, 0, 5, 5), (2, 0, 0, 5, 5)], "id long, west int, south int, east int, north int")
+    sets = spark.createDataFrame([("S", 1, 4, 4, 9, 9), ("S", 2, 90, 90, 99, 99), ("S", 3, 0, 0, 5, 5), ("T", 4, 0, 0, 5, 5)], "name string, rank int, w int, s int, e int, n int")
+    assert sorted(map(tuple, J.overlay_picks(boxes, sets).collect())) == [(i, "S", r) for i in (1, 2) for r in (1, 3)]

@@ -68,12 +68,21 @@ def first_by_rank(left: DataFrame, pieces: DataFrame, on: str, order: list[Colum
 
 def overlay_picks(boxes: DataFrame, datasets: DataFrame, cell: float = 20.0) -> DataFrame:
     """(id, name, rank): for each box (id, west, south, east, north) the datasets (name, rank, w, s, e, n) that meet it in order of rank, up to
-    the first that contains it; joined by the cells that both cover."""
-    d = datasets.select(F.col("name").alias("id"), F.col("w").alias("west"), F.col("s").alias("south"), F.col("e").alias("east"), F.col("n").alias("north"))
-    j = boxes_meet(boxes, d, cell).select(F.col("a_id").alias("id"), F.col("b_id").alias("name")).join(boxes, "id").join(datasets, "name")
+    the first that contains it; joined by the cells that both cover.
+
+    Boxes of one extent have the same datasets, so extents are met, each with the best rank of its datasets; the rows come last.  Ids are unique."""
+    def extents(d: DataFrame, sides: list[str], *best: Column) -> DataFrame:
+        g = d.groupBy(*[F.col(c).alias(k) for c, k in zip(sides, ("west", "south", "east", "north"))]).agg(F.count("*"), *best)
+        return g.withColumn("id", F.struct("west", "south", "east", "north"))
+
+    a, d = extents(boxes, ["west", "south", "east", "north"]), extents(datasets, ["w", "s", "e", "n"], F.min("rank").alias("best"))
+    met = boxes_meet(a, d, cell).select(*[F.col(f"a_id.{c}").alias(c) for c in ("west", "south", "east", "north")], *[F.col(f"b_id.{c}").alias(k) for c, k in zip(("west", "south", "east", "north"), "wsen")])
+    met = met.join(d.select(*[F.col(c).alias(k) for c, k in zip(("west", "south", "east", "north"), "wsen")], "best"), list("wsen"))
     holds = (F.col("w") <= F.col("west")) & (F.col("e") >= F.col("east")) & (F.col("s") <= F.col("south")) & (F.col("n") >= F.col("north"))
-    first = F.min(F.when(holds, F.col("rank"))).over(Window.partitionBy("id"))
-    return j.withColumn("__f", first).where(F.col("__f").isNull() | (F.col("rank") <= F.col("__f"))).select("id", "name", "rank")
+    upto = F.col("__f").isNull() | (F.col("best") <= F.col("__f"))
+    met = met.withColumn("__f", F.min(F.when(holds, F.col("best"))).over(Window.partitionBy("west", "south", "east", "north"))).where(upto)
+    picks = met.join(datasets, list("wsen")).where(F.col("__f").isNull() | (F.col("rank") <= F.col("__f"))).select("west", "south", "east", "north", "name", "rank")
+    return boxes.join(picks, ["west", "south", "east", "north"]).select("id", "name", "rank")
 
 
 def available(pieces: DataFrame) -> DataFrame:
