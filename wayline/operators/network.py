@@ -12,11 +12,12 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayline.operators.registers import connected
-from wayline.session import cut
+from wayline.session import cut, shuffle_width
 
 # Greatest turn (degrees) of a continuation, for unnamed into named ways and for all others.
 TURN_UNNAMED, TURN = 35.0, 100.0
@@ -37,26 +38,95 @@ def pair_ends(ways: DataFrame) -> DataFrame:
 
     Best: a shared ref (3), else the same name (2), else both bare (neither name nor ref) of one class (1), else one of them bare, of one
     class (0, at most 35 degrees); never more than 100 degrees, never against two one-ways; then the straightest, the smaller id, the
-    end's code.  Two ways that both have refs, none in common, don't continue each other.  A node is one place, so its group is small."""
+    end's code.  Two ways that both have refs, none in common, don't continue each other.  Ends of one ref or name meet at their node; of a
+    class, only the nearest by heading are looked at (_straightest), so a node may have any number of them."""
     a = way_ends(ways)
-    b = a.select([F.col(c).alias(c if c == "node" else f"{c}2") for c in a.columns])
-    bare = lambda x: (F.col(f"name{x}") == "") & (F.size(f"refs{x}") == 0)
-    level = (
-        F.when((F.size("refs") > 0) & (F.size("refs2") > 0), F.when(F.arrays_overlap("refs", "refs2"), 3))
-        .when((F.col("name") != "") & (F.col("name") == F.col("name2")), 2)
-        .when((F.col("class") == F.col("class2")) & bare("") & bare("2"), 1)
-        .when((F.col("class") == F.col("class2")) & (bare("") != bare("2")), 0)
-    )
+    free = F.coalesce(~F.col("oneway"), F.lit(False))
+    a = a.select(
+        "id", "kind", "class", "name", "refs", "end", "node", "heading", (free | (F.col("end") == 1)).alias("comes"), (free | (F.col("end") == 0)).alias("goes"),
+        (F.size("refs") > 0).alias("refd"), ((F.col("name") == "") & (F.size("refs") == 0)).alias("bare"),
+    ).where("abs(heading) < double('inf')")
+    named = F.when(F.col("name") != "", F.array(F.struct(F.lit(2).alias("level"), F.col("name").alias("key")))).otherwise(F.array().cast("array<struct<level int, key string>>"))
+    keyed = a.where("not bare").select("node", "kind", "id", "end", "heading", "comes", "goes", "refd", F.explode(F.concat(F.transform(F.array_distinct("refs"), lambda r: F.struct(F.lit(3).alias("level"), r.alias("key"))), named)).alias("k"))
+    keyed = keyed.select("node", "kind", "k.level", "k.key", "id", "end", "heading", "comes", "goes", "refd")
+    on = ["node", "kind", "level", "key"]
+    p = keyed.join(keyed.select([F.col(c).alias(c if c in on else f"{c}2") for c in keyed.columns]), on).where("id <> id2 and (level = 3 or not (refd and refd2)) and ((comes and goes2) or (comes2 and goes))")
     off = F.pmod(F.abs(F.col("heading") + math.pi - F.col("heading2")), F.lit(2 * math.pi))
-    turn = F.least(off, 2 * math.pi - off)
-    go = lambda x, y: (~F.col(f"oneway{x}") | (F.col(f"end{x}") == 1)) & (~F.col(f"oneway{y}") | (F.col(f"end{y}") == 0))
-    p = a.join(b, "node").where("id <> id2 and kind = kind2").withColumn("level", level).withColumn("turn", turn)
-    p = p.where(F.col("level").isNotNull() & (go("", "2") | go("2", "")) & (F.col("turn") <= F.radians(F.when(F.col("level") == 0, TURN_UNNAMED).otherwise(TURN))))
+    p = p.select("node", "id", "end", "level", F.least(off, 2 * math.pi - off).alias("turn"), "id2", "end2").unionByName(_straightest(a))
+    p = p.where(F.col("turn") <= F.radians(F.when(F.col("level") == 0, TURN_UNNAMED).otherwise(TURN)))
     best = p.groupBy("node", "id", "end").agg(F.min_by(F.struct("id2", "end2"), F.struct(-F.col("level"), "turn", "id2", "end2")).alias("x")).select("node", "id", "end", "x.*")
     back = best.select("node", F.col("id").alias("id2"), F.col("end").alias("end2"), F.col("id2").alias("id"), F.col("end2").alias("end"))
     return best.join(back, ["node", "id", "end", "id2", "end2"]).select("id", "end", "id2", "end2")
 
 
+def _straightest(ends: DataFrame) -> DataFrame:
+    """(node, id, end, level, turn, id2, end2): of each end the straightest other one at its node and class: of the bare ones a bare one (level 1) and
+    one that isn't bare (0), of the others a bare one (0).  Found among ends sorted by heading, many nodes to a group."""
+    a = ends.where("class is not null and (comes or goes)")
+    at = a.where("bare").select("node", "kind", "class").distinct()
+    a = a.select("node", "kind", "class", "id", "end", "heading", "comes", "goes", "bare").join(at, ["node", "kind", "class"], "left_semi")
+    # the place as text, so that any kind of node can be told apart
+    a = a.withColumn("at", F.to_json(F.struct("node", "kind", "class"))).withColumn("bucket", F.pmod(F.xxhash64("at"), F.lit(8 * shuffle_width(ends.sparkSession))))
+    types = {f.name: f.dataType.simpleString() for f in a.schema}
+
+    def run(t: pa.Table) -> pa.Table:
+        g = t["at"].combine_chunks().dictionary_encode().indices.to_numpy()
+        ids, ends_, heading = (t[c].to_numpy() for c in ("id", "end", "heading"))
+        comes, goes, bare = (t[c].to_numpy() for c in ("comes", "goes", "bare"))
+        out = []
+        for asks, has, level in ((bare, bare, 1), (bare, ~bare, 0), (~bare, bare, 0)):
+            for who, whom in ((comes & goes, comes | goes), (comes & ~goes, goes), (goes & ~comes, comes)):
+                q, c = np.flatnonzero(asks & who), np.flatnonzero(has & whom)
+                if len(q) and len(c):
+                    turn, k = nearest_opposite(g, heading, ids, ends_, q, c, math.radians(TURN if level else TURN_UNNAMED))
+                    ok = k >= 0
+                    out.append((q[ok], k[ok], turn[ok], np.full(int(ok.sum()), level, np.int32)))
+        q, k, turn, level = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+        return pa.table({"node": t["node"].take(pa.array(q)), "id": t["id"].take(pa.array(q)), "end": t["end"].take(pa.array(q)), "level": pa.array(level, pa.int32()), "turn": pa.array(turn, pa.float64()), "id2": t["id"].take(pa.array(k)), "end2": t["end"].take(pa.array(k))})
+
+    return a.groupBy("bucket").applyInArrow(run, f"node {types['node']}, id {types['id']}, end {types['end']}, level int, turn double, id2 {types['id']}, end2 {types['end']}")
+
+
+def nearest_opposite(group: np.ndarray, heading: np.ndarray, ids: np.ndarray, ends: np.ndarray, q: np.ndarray, c: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``q`` the least turn to a row of ``c`` in its group with another id, and that row (-1: none within ``most``); of equal turns the smaller id, then end.
+
+    Rows of ``c`` are sorted by heading; from the opposite of the asking heading both ways are followed until they lead farther away than the best.
+    Rows of one heading are one step: its first row, or the first with another id, stands for all."""
+    full = 2 * math.pi
+    c = c[np.lexsort((ends[c], ids[c], heading[c], np.mod(heading[c], full), group[c]))]
+    cg, ch, cid = group[c], heading[c], ids[c]
+    start = np.flatnonzero(np.r_[True, (cg[1:] != cg[:-1]) | (ch[1:] != ch[:-1])])
+    run = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(c)]))
+    second = np.minimum.reduceat(np.where(cid != cid[start][run], np.arange(len(c)), len(c)), start)
+    rg, rh = cg[start], ch[start]
+    rp, qg, qh, qid = np.mod(rh, full), group[q], heading[q], ids[q]
+    o = np.lexsort((np.r_[np.zeros(len(rg)), np.ones(len(q))], np.r_[rp, np.mod(qh + math.pi, full)], np.r_[rg, qg]))
+    at = np.empty(len(o), np.int64)
+    at[o] = np.cumsum(o < len(rg))
+    at = at[len(rg):]
+    low = np.searchsorted(rg, qg, "left")
+    n = np.searchsorted(rg, qg, "right") - low
+    turn, best = np.full(len(q), np.inf), np.full(len(q), -1)
+    slack = 1e-12 + 4e-15 * max(np.abs(heading[q]).max(), np.abs(ch).max())
+    live = [np.flatnonzero(n > 0)] * 2
+    step = 0
+    while len(live[0]) or len(live[1]):
+        for way in (0, 1):
+            i = live[way]
+            r = low[i] + (at[i] - low[i] + (step if way else -1 - step)) % n[i]
+            off = np.mod(np.abs(qh[i] + math.pi - rh[r]), full)
+            d = np.minimum(off, full - off)
+            k = np.where(cid[start[r]] != qid[i], start[r], second[r])
+            found = k < len(c)
+            k = c[np.where(found, k, 0)]
+            b, had = best[i], best[i] >= 0
+            better = found & (d <= most + slack) & (~had | (d < turn[i]) | ((d == turn[i]) & ((ids[k] < ids[b]) | ((ids[k] == ids[b]) & (ends[k] < ends[b])))))
+            turn[i[better]], best[i[better]] = d[better], k[better]
+            live[way] = i[(d <= np.minimum(turn[i], most) + slack) & (step + 1 < n[i])]
+        step += 1
+    return turn, best
+
+
 def _ends_of(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Where travel that leaves a way by one of its ends comes to: (id, end, last, far, low) for the ways out that end, and
     (id, end, low) for those that go round for ever, None if there are none.
