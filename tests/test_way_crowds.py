@@ -50,3 +50,13 @@ def test_pairs_of_a_crowded_node(spark):
     w = spark.range(400_000).select("id", F.lit(1).alias("kind"), F.lit(0).alias("class"), F.lit(False).alias("oneway"), F.lit("").alias("name"), F.array().cast("array<string>").alias("refs"), F.lit(0).alias("node0"), F.lit(None).cast("int").alias("node1"), (turn + east * math.pi).alias("heading0"), F.lit(0.0).alias("heading1"))
     got = ended(spark, N.pair_ends(w).select(F.count("*"), F.sum((F.floor(k / 2) == F.floor(F.col("id2") / 2)).cast("int"))))
     assert tuple(got[0]) == (400_000, 400_000)
+
+
+def test_roads_through_a_crowded_node(spark):
+    # roads of three ways through two nodes that all roads share, told apart by their headings there
+    road, part = F.floor(F.col("id") / 3), F.col("id") % 3
+    turn = road * 1e-6
+    node = lambda k: F.when(k.isin(1, 2), k)
+    w = spark.range(300_000).select("id", F.lit(1).alias("kind"), F.lit(0).alias("class"), F.lit(False).alias("oneway"), F.lit("").alias("name"), F.array().cast("array<string>").alias("refs"), node(part).alias("node0"), node(part + 1).alias("node1"), turn.alias("heading0"), (turn + math.pi).alias("heading1"), (part + 1.0).alias("length"))
+    x = N.chain_roads(w).groupBy((F.col("id") - F.col("road")).alias("part"), "road_length", "offset", "reverse").count()
+    assert sorted(map(tuple, ended(spark, x))) == [(0, 6.0, 0.0, 0, 100_000), (1, 6.0, 1.0, 0, 100_000), (2, 6.0, 3.0, 0, 100_000)]

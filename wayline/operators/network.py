@@ -128,13 +128,13 @@ def nearest_opposite(group: np.ndarray, heading: np.ndarray, ids: np.ndarray, en
 
 
 def _ends_of(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Where travel that leaves a way by one of its ends comes to: (id, end, last, far, low) for the ways out that end, and
+    """Where travel that leaves a way by one of its ends comes to: (id, end, last, far, low) for the linked ways out that end, and
     (id, end, low) for those that go round for ever, None if there are none.
 
-    links: id, end, id2, out2, length2 (leaving ``id`` by ``end`` one comes through ``id2`` and out by its end ``out2``; null where the way ends).  last: the last way,
-    far: the length of the ways after the own one, low: the smallest way among them and the own one.  Each round joins every way
+    links: id, end, id2, out2, length2 (leaving ``id`` by ``end`` one comes through ``id2`` and out by its end ``out2``); an end without a row is a way out that
+    ends at once.  last: the last way, far: the length of the ways after the own one, low: the smallest way among them and the own one.  Each round joins every way
     out with the one its reach ends at, so reaches double: the rounds grow with the logarithm of the longest road."""
-    state = cut(links.select("id", "end", F.col("id2").alias("to"), F.col("out2").alias("to_end"), F.coalesce("id2", "id").alias("last"), F.coalesce("length2", F.lit(0.0)).alias("far"), F.least("id", F.coalesce("id2", "id")).alias("low")))
+    state = cut(links.select("id", "end", F.col("id2").alias("to"), F.col("out2").alias("to_end"), F.col("id2").alias("last"), F.coalesce("length2", F.lit(0.0)).alias("far"), F.least("id", "id2").alias("low")))
     before = None
     while True:
         open_, lows = state.where("to is not null").agg(F.count("*"), F.sum(F.xxhash64("id", "end", "low").cast("decimal(38,0)"))).first()
@@ -145,7 +145,7 @@ def _ends_of(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
             return state.where("to is null").select("id", "end", "last", "far", "low"), state.where("to is not null").select("id", "end", "low")
         before = (open_, lows)
         on = state.select(F.col("id").alias("to"), F.col("end").alias("to_end"), F.col("to").alias("to2"), F.col("to_end").alias("to_end2"), F.col("last").alias("last2"), F.col("far").alias("far2"), F.col("low").alias("low2"))
-        going = state.where("to is not null").join(on.hint("merge"), ["to", "to_end"]).select("id", "end", F.col("to2").alias("to"), F.col("to_end2").alias("to_end"), F.col("last2").alias("last"), (F.col("far") + F.col("far2")).alias("far"), F.least("low", "low2").alias("low"))
+        going = state.where("to is not null").join(on.hint("merge"), ["to", "to_end"], "left").select("id", "end", F.col("to2").alias("to"), F.col("to_end2").alias("to_end"), F.coalesce("last2", "last").alias("last"), (F.col("far") + F.coalesce("far2", F.lit(0.0))).alias("far"), F.least("low", "low2").alias("low"))
         state = cut(state.where("to is null").unionByName(going))
 
 
@@ -161,8 +161,7 @@ def chain_roads(ways: DataFrame, length: str = "length") -> DataFrame:
 
 def _follow(size: DataFrame, to: DataFrame) -> DataFrame:
     """chain_roads() of pieces (id, length) by where each of their ends leads (id, end, id2, out2, length2)."""
-    sides = size.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("end"))
-    links = cut(sides.join(to, ["id", "end"], "left"))
+    links = cut(to.where("id2 is not null"))
     ended, rings = _ends_of(links)
     if rings is not None:
         ring = cut(rings)
@@ -170,12 +169,14 @@ def _follow(size: DataFrame, to: DataFrame) -> DataFrame:
         opened = links.join(ring.select("id", "end", "low"), ["id", "end"])
         # a ring's smallest way is not left by its start, nor come to through it
         shut = (first & (F.col("end") == 0)) | ((F.col("id2") == F.col("low")) & (F.col("out2") == 1))
-        ended = ended.unionByName(_ends_of(opened.select("id", "end", *[F.when(~shut, F.col(c)).alias(c) for c in ("id2", "out2", "length2")]))[0])
+        ended = ended.unionByName(_ends_of(opened.where(~shut).select("id", "end", "id2", "out2", "length2"))[0])
     both = ended.groupBy("id").agg(*[F.max(F.when(F.col("end") == e, F.struct("last", "far", "low"))).alias(f"e{e}") for e in (0, 1)])
-    forward = F.col("e0.last") <= F.col("e1.last")
-    return size.join(both, "id").select(
-        "id", F.least("e0.low", "e1.low").alias("road"), (F.col("length") + F.col("e0.far") + F.col("e1.far")).alias("road_length"),
-        F.when(forward, F.col("e0.far")).otherwise(F.col("e1.far")).alias("offset"), F.when(forward, 0).otherwise(1).cast("long").alias("reverse"),
+    # an end that leads nowhere has the way itself as its last one
+    last, far = [F.coalesce(f"e{e}.last", "id") for e in (0, 1)], [F.coalesce(f"e{e}.far", F.lit(0.0)) for e in (0, 1)]
+    forward = last[0] <= last[1]
+    return size.join(both, "id", "left").select(
+        "id", F.least("id", "e0.low", "e1.low").alias("road"), (F.col("length") + far[0] + far[1]).alias("road_length"),
+        F.when(forward, far[0]).otherwise(far[1]).alias("offset"), F.when(forward, 0).otherwise(1).cast("long").alias("reverse"),
     )
 
 
