@@ -1,10 +1,9 @@
 """Records of two sources that describe the same things without a common key.
 
 Collective graph linkage.  Records become nodes; an edge joins two records whose names share
-a rare word, exactly or up to one slip of the pen, weighted by how rare what they share is.  Words are matched
-once per pair of words, not per record; a pair of words of more than BUDGET pairs of records is purged as a block of its own, and its
-records meet where they share another word, a kind, region, place or year too.
-Meta-blocking drops edges that are weak for both ends.  What is left is scored on all
+a rare word, exactly or up to one slip of the pen.  Words are matched
+once per pair of words, not per record; a pair of words of more than BUDGET pairs of records is joined in parts of that size.
+No edge is dropped unseen: all are scored on all
 attributes, and scores are refined by what the neighbours of a record (rows of its own source
 that agree on name, kind and place or year) say of the same partner, until no score changes any more.
 
@@ -37,7 +36,7 @@ WEIGHTS = {"word": (4.0, -9.0), "slip": 3.0, "whole": (2.0, -4.0), "kind": (2.0,
 ACCEPT = 3.0
 #: Share of the neighbours' mean score that a record's own score takes on; scores that change less are stable (each round's changes are at most SPREAD of the last one's).
 SPREAD, STABLE = 0.3, 1e-3
-#: Pairs of records that one pair of words may make by itself.
+#: Pairs of records of one pair of words that are joined in one part; more are split.
 BUDGET = 100_000
 
 # Words that say nothing of what a thing is.
@@ -141,51 +140,31 @@ def _keys(core: str) -> Column:
 
 
 def word_pairs(words: DataFrame) -> DataFrame:
-    """(wa, wb, pairs, weight): words of the two sides' rare words that are equal or a slip apart, with how many pairs of records they make."""
+    """(wa, wb, pairs): words of the two sides' rare words that are equal or a slip apart, with how many pairs of records they make."""
     n = words.groupBy("w").agg(*[F.count(F.when(F.col("side") == x, 1)).alias(x) for x in "ab"])
     form = F.explode(_keys("w")).alias("form")
     a, b = n.where("a > 0").select(F.col("w").alias("wa"), F.col("a").alias("na"), form), n.where("b > 0").select(F.col("w").alias("wb"), F.col("b").alias("nb"), form)
-    same = F.when(F.col("wa") == F.col("wb"), 1.0).otherwise(0.5)
     met = a.join(b, "form").select("wa", "wb", "na", "nb").distinct()
-    return met.select("wa", "wb", (F.col("na") * F.col("nb")).alias("pairs"), (same / F.log2(F.col("na") + F.col("nb") + 1.0)).alias("weight"))
+    return met.select("wa", "wb", (F.col("na") * F.col("nb")).alias("pairs"))
 
 
-def second_keys(named: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(side, id, key): what records of a frequent word must share besides: another word, a kind, region, place or year."""
-    both = None
-    for side, df in (("a", left), ("b", right)):
-        x = df.select(F.lit(side).alias("side"), "id", "regions", "near", "places", "year")
-        both = x if both is None else both.unionByName(x)
-    listed = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    said = [(F.concat(listed("regions"), listed("near")), "r"), (listed("places"), "p"), (F.array(F.col("year").cast("string")), "y")]
-    keys = named.select("side", "id", F.explode("whole").alias("v"), F.lit("w").alias("what")).unionByName(named.where("kind <> ''").select("side", "id", F.col("kind").alias("v"), F.lit("k").alias("what")))
-    keys = keys.unionByName(named.select("side", "id", F.explode("aside").alias("v"), F.lit("p").alias("what")))
-    for values, what in said:
-        keys = keys.unionByName(both.select("side", "id", F.explode(values).alias("v"), F.lit(what).alias("what")))
-    return keys.where("v <> ''").distinct()
-
-
-def candidates(named: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, weight): records of the two sides that share a rare word or one a slip apart, after meta-blocking."""
+def candidates(named: DataFrame) -> DataFrame:
+    """(a, b): all records of the two sides that share a rare word or one a slip apart; how many that are is no reason to leave any out, as only
+    the score tells partners from others."""
     words = cut(named.select("side", "id", F.explode("core").alias("w")).distinct())
     met = cut(word_pairs(words))
     a, b = words.where("side = 'a'").select(F.col("id").alias("a"), F.col("w").alias("wa")), words.where("side = 'b'").select(F.col("id").alias("b"), F.col("w").alias("wb"))
-    edges = a.join(met.where(F.col("pairs") <= BUDGET).select("wa", "wb", "weight"), "wa").join(b, "wb").select("a", "b", "weight")
+    found = a.join(met.where(F.col("pairs") <= BUDGET).select("wa", "wb"), "wa").join(b, "wb").select("a", "b")
     hot = met.where(F.col("pairs") > BUDGET)
     if hot.limit(1).count():
-        # words themselves count as second keys only where they are others than the frequent ones
-        keys = second_keys(named, left, right)
-        frequent = hot.select(F.explode(F.array("wa", "wb")).alias("v"), F.lit("w").alias("what")).distinct()
-        keys = keys.join(frequent, ["v", "what"], "left_anti")
-        key = F.xxhash64("v", "what").alias("key")
-        x = a.join(hot.select("wa", "wb", "weight"), "wa").join(keys.where("side = 'a'").select(F.col("id").alias("a"), key), "a")
-        y = b.join(hot.select("wb").distinct(), "wb").join(keys.where("side = 'b'").select(F.col("id").alias("b"), key), "b")
-        edges = edges.unionByName(x.join(y, ["wb", "key"]).select("a", "b", "wa", "wb", "weight").distinct().select("a", "b", "weight"))
-    edges = cut(edges.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
-    # an edge stays when it is at least half of the mean of either end
-    mean = lambda end: edges.groupBy(end).agg(F.avg("weight").alias(f"mean_{end}"))
-    both = edges.join(mean("a"), "a").join(mean("b"), "b")
-    return both.where("weight >= 0.5 * least(mean_a, mean_b)").select("a", "b", "weight")
+        # a square of parts by the records of either side: each is one group of the join, of about BUDGET pairs
+        hot = cut(hot.select("wa", "wb", F.ceil(F.sqrt(F.col("pairs") / BUDGET)).alias("parts")))
+        own = lambda side: F.pmod(F.xxhash64(side), F.col("parts"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        x = a.join(hot, "wa").select("a", "wa", "wb", own("a").alias("i"), every.alias("j"))
+        y = b.join(hot, "wb").select("b", "wa", "wb", every.alias("i"), own("b").alias("j"))
+        found = found.unionByName(x.join(y, ["wa", "wb", "i", "j"]).select("a", "b"))
+    return found.distinct()
 
 
 def bare_candidates(named: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame | None:
@@ -254,7 +233,7 @@ def link(left: DataFrame, right: DataFrame, phrases: tuple[str, ...] = ()) -> Da
         x = x.withColumn("places", F.filter(F.array_distinct(F.concat(F.coalesce("places", F.array().cast("array<string>")), "aside")), lambda p: p.isNotNull() & (p != ""))).drop("aside")
         return x.select([F.col(c).alias(side if c == "id" else f"{side}_{c}") for c in x.columns])
 
-    found, bare = candidates(named, left, right).select("a", "b"), bare_candidates(named, left, right)
+    found, bare = candidates(named), bare_candidates(named, left, right)
     e = (found if bare is None else found.unionByName(bare).distinct()).join(features(left, "a"), "a").join(features(right, "b"), "b")
     region = (
         f"case when coalesce(size(a_regions), 0) <= 0 or coalesce(size(b_regions), 0) + coalesce(size(b_near), 0) <= 0 then 0D when arrays_overlap(a_regions, b_regions) then {WEIGHTS['region'][0]}D "
